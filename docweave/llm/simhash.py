@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .text import LOWER, NOT_SPACE, pieces, signed, staged, words
+from .text import LOWER, NOT_SPACE, joined, pieces, signed, staged, words
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -46,22 +46,14 @@ def shingle_hashes(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE_WORDS) ->
     starts, ends, first = words(low, off, NOT_SPACE)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    # Word bytes and one separator after each word, so that any run of words is a slice.
-    keep = NOT_SPACE[low]
-    gap = ends[ends < len(low)]
-    gap = gap[~keep[gap]]
-    low[gap] = 0x20
-    keep[gap] = True
-    place = np.cumsum(keep) - 1
-    text = low[keep].tobytes()
+    text, begin, end = joined(low, starts, ends, NOT_SPACE)
     count = np.diff(first)
     shingles = np.where(count >= k, count - k + 1, np.minimum(count, 1))
     row_first = np.concatenate([[0], np.cumsum(shingles)])
     head = np.arange(row_first[-1]) + np.repeat(first[:-1] - row_first[:-1], shingles)
     tail = head + np.repeat(np.minimum(count, k) - 1, shingles)
-    begin, end = place[starts[head]].tolist(), (place[ends[tail] - 1] + 1).tolist()
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(text[i:j], SEED) for i, j in zip(begin, end)), np.uint64, len(begin)), row_first
+    return np.fromiter((digest(text[i:j], SEED) for i, j in zip(begin[head].tolist(), end[tail].tolist())), np.uint64, len(head)), row_first
 
 
 def simhashes(h: np.ndarray, row_first: np.ndarray) -> np.ndarray:

@@ -13,7 +13,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -99,6 +100,22 @@ def words(buf: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.ndar
     return starts, ends, np.searchsorted(starts, off)
 
 
+def joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, member: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The slice with one space after each word instead of what stood there, and the words' new starts and ends."""
+    buf, keep = buf.copy(), member[buf]
+    gap = ends[ends < len(buf)]
+    gap = gap[~keep[gap]]
+    buf[gap] = 0x20
+    keep[gap] = True
+    place = np.cumsum(keep) - 1
+    return buf[keep].tobytes(), place[starts], place[ends - 1] + 1
+
+
+def text_id() -> list[Column]:
+    """The two halves t1 and t2 of a 128-bit identity of the column `text`."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+
+
 def powers(n: int, sign: int = 1) -> np.ndarray:
     """Powers 0..n-1 of the hash base (sign 1) or of its inverse (sign -1), modulo 2**64."""
     have = _powers[sign]
@@ -154,8 +171,9 @@ def sequence_hash(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mixed(out)
 
 
-def minimizers(h: np.ndarray, width: int) -> np.ndarray:
-    """Sorted positions that hold the smallest of `width` consecutive entries (the last of equals) for some run.
+def minimizers(h: np.ndarray, width: int, begins: np.ndarray) -> np.ndarray:
+    """Positions that hold the smallest of `width` consecutive entries (the last of equals) for some run that begins at
+    one of the places where `begins` is true.
 
     What is chosen in a run depends on its content alone, so equal runs hold
     chosen positions at equal places.
@@ -171,8 +189,8 @@ def minimizers(h: np.ndarray, width: int) -> np.ndarray:
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.ascontiguousarray(np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1]).ravel()
     least = np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
-    at = n - 1 - (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return at[np.r_[True, at[1:] != at[:-1]]]
+    at = n - 1 - (least[begins[: len(least)]] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
 
 
 def signed(h: np.ndarray) -> np.ndarray:
