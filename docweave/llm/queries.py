@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ready, table
-from . import decontam, exactdedup, langid, packing, simhash, substrings
+from . import decontam, exactdedup, langid, packing, simhash, substrings, suffixes
 
 
 def op2_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(ready(spark), sf_dir, "documents"))
 
 
+def op3_interval_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.summary(table(ready(spark), sf_dir, "documents"))
+
+
 def op4_level_doubling_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.summary(table(ready(spark), sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_stateful_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_golay_simhash, op4_level_doubling_substrings, op6_best_fit_packing, op8_viterbi_language, op9_wu_manber_decontamination, op10_stateful_exact_dedup)}
+    return {f.__name__: f for f in (op2_golay_simhash, op3_interval_tree_dedup, op4_level_doubling_substrings, op6_best_fit_packing, op8_viterbi_language, op9_wu_manber_decontamination, op10_stateful_exact_dedup)}
 
 
 _PLAIN = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
