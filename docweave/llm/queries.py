@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ready, table
-from . import decontam, exactdedup, langid, packing, simhash, substrings, suffixes
+from . import credentials, decontam, exactdedup, langid, packing, quality, simhash, substrings, suffixes
+
+
+def op1_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = langid.held_out(F.col("doc_id"))
+    scores, _ = quality.scored(table(ready(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +39,10 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_multipart_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.summary(table(ready(spark), sf_dir, "documents"))
+
+
 def op8_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents")
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
@@ -49,7 +59,7 @@ def op10_stateful_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_golay_simhash, op3_interval_tree_dedup, op4_level_doubling_substrings, op6_best_fit_packing, op8_viterbi_language, op9_wu_manber_decontamination, op10_stateful_exact_dedup)}
+    return {f.__name__: f for f in (op1_rule_ensemble_quality, op2_golay_simhash, op3_interval_tree_dedup, op4_level_doubling_substrings, op6_best_fit_packing, op7_multipart_credentials, op8_viterbi_language, op9_wu_manber_decontamination, op10_stateful_exact_dedup)}
 
 
 _PLAIN = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
