@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ready, table
-from . import credentials, decontam, exactdedup, langid, packing, quality, simhash, substrings, suffixes
+from . import credentials, decontam, exactdedup, langid, packing, quality, shards, simhash, substrings, suffixes
 
 
 def op1_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_level_doubling_substrings(spark: SparkSession, sf_dir: str) -> DataFrame
     return substrings.summary(table(ready(spark), sf_dir, "documents"))
 
 
+def op5_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.summary(table(ready(spark), sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(ready(spark), sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_stateful_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rule_ensemble_quality, op2_golay_simhash, op3_interval_tree_dedup, op4_level_doubling_substrings, op6_best_fit_packing, op7_multipart_credentials, op8_viterbi_language, op9_wu_manber_decontamination, op10_stateful_exact_dedup)}
+    return {f.__name__: f for f in (op1_rule_ensemble_quality, op2_golay_simhash, op3_interval_tree_dedup, op4_level_doubling_substrings, op5_size_tiered_shards, op6_best_fit_packing, op7_multipart_credentials, op8_viterbi_language, op9_wu_manber_decontamination, op10_stateful_exact_dedup)}
 
 
 _PLAIN = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
