@@ -36,7 +36,7 @@ from .text import LOWER, NOT_SPACE, joined, pieces, signed, staged, words
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 #: A key's run of at most so many fingerprints is compared pair by pair in its task.
-SHORT_RUN = 64
+SHORT_RUN = 1024
 SEED = 42
 
 
@@ -139,22 +139,17 @@ def candidate_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate([k | n << 40 for n, k in enumerate(keys, 1)])
 
 
-def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
-    """Of linked pairs, those that join what was apart."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    out = []
-    for x, y in pairs.tolist():
-        p, q = root(x), root(y)
-        if p != q:
-            parent[p] = q
-            out.append((x, y))
-    return out
+def _roots(run: np.ndarray) -> np.ndarray:
+    """(r, n) fingerprints of r runs: for each the least place in its run that chains of links reach."""
+    near = np.bitwise_count((run[:, :, None] ^ run[:, None, :]).view(np.uint64)) <= MAX_BITS
+    n = run.shape[1]
+    root = np.broadcast_to(np.arange(n), run.shape)
+    while True:
+        least = np.where(near, root[:, None, :], n).min(axis=2)
+        least = np.take_along_axis(least, least, axis=1)
+        if np.array_equal(least, root):
+            return root
+        root = least
 
 
 def _verify_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,16 +163,11 @@ def _verify_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.r_[edge, len(key)])
         links, over = [np.zeros((0, 2), np.int64)], [fp[s : s + n] for s, n in zip(edge[size > SHORT_RUN], size[size > SHORT_RUN])]
         for n in np.unique(size[(size > 1) & (size <= SHORT_RUN)]):
-            for begin in np.array_split(edge[size == n], max(1, (size == n).sum() * n * n // 4_000_000)):
+            for begin in np.array_split(edge[size == n], max(1, (size == n).sum() * n * n // 2_000_000)):
                 run = fp[begin[:, None] + np.arange(n)]
-                i, j = np.triu_indices(n, 1)
-                near = np.bitwise_count((run[:, i] ^ run[:, j]).view(np.uint64)) <= MAX_BITS
-                which, pair = np.nonzero(near)
-                many = near.sum(axis=1) > 2 * n
-                few = ~many[which]
-                links.append(np.stack([run[which[few], i[pair[few]]], run[which[few], j[pair[few]]]], axis=1))
-                for r in np.flatnonzero(many):
-                    links.append(np.array(_forest(np.stack([run[r, i[near[r]]], run[r, j[near[r]]]], axis=1)), np.int64).reshape(-1, 2))
+                root = _roots(run)
+                which, place = np.nonzero(root != np.arange(n))
+                links.append(np.stack([run[which, place], run[which, root[which, place]]], axis=1))
         links = np.concatenate(links)
         return emit(links[:, 0], links[:, 1], np.concatenate(over) if over else np.zeros(0, np.int64))
 
@@ -206,7 +196,7 @@ def _verify_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """(a, b) links that span every group of distinct fingerprints `fp` at MAX_BITS or fewer differing bits."""
+    """(a, b): pairs that span every group of distinct fingerprints `fp` that chains of MAX_BITS or fewer differing bits connect."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
@@ -223,7 +213,8 @@ def links(distinct: DataFrame) -> DataFrame:
     members = found.filter("b is null").select("a").distinct()
     points = members.select("a", F.explode(ball).alias("mask")).select(F.col("a").bitwiseXOR(F.col("mask")).alias("point"), "a")
     nearest = points.groupBy("point").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    far = points.join(nearest, "point").filter("a != b").select("a", "b").distinct()
+    # Spark takes the exploded rows for as few as the members and would broadcast them.
+    far = points.hint("merge").join(nearest.hint("merge"), "point").filter("a != b").select("a", "b").distinct()
     return short.unionByName(far).distinct()
 
 
