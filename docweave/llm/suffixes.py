@@ -1,13 +1,13 @@
 """Repeated byte strings from a sparse enhanced suffix array and its common-prefix interval tree.
 
 Suffixes are sampled: of each run of bytes that could be a repeated string of
-`min_length` bytes, the suffix that begins at the 32-gram with the smallest hash
+`min_length` bytes, the suffix that begins at the 96-gram with the smallest hash
 is taken, so equal strings hold sampled suffixes at equal places (about one
-suffix in 185 bytes). Suffixes whose 32-gram occurs once are dropped. A suffix
+suffix in 150 bytes). Suffixes whose 96-gram occurs once are dropped. A suffix
 is bounded by its context: what a string of min_length bytes around it can
 reach on the left and on the right.
 
-The contexts of one 32-gram, sorted by their right side, are a piece of the
+The contexts of one 96-gram, sorted by their right side, are a piece of the
 suffix array. A stack scan over the common prefixes of neighbours yields the
 intervals of the common-prefix tree from the deepest up. Where an interval joins
 its children, suffixes of different children are held against each other in the
@@ -16,8 +16,9 @@ maximal repeat, whose occurrences are all suffixes of the interval that share
 the left extension. The smaller child is merged into the larger one, so n
 suffixes cost n log n comparisons, not n squared.
 
-Equal contexts are one class with a count, however many occurrences it has. A
-32-gram with more than LARGE different contexts is not scanned in one task: its
+Equal contexts are one class with a count, however many occurrences it has, and
+the bytes of a class are fetched once, and only where a gram has several. A
+96-gram with more than LARGE different contexts is not scanned in one task: its
 contexts are cut into their strings of min_length bytes, which are counted.
 """
 
@@ -35,8 +36,9 @@ from pyspark.sql import functions as F
 from .text import minimizers, mixed, pieces, prefix_hash, range_hash, signed, staged, text_id
 
 MIN_LENGTH = 400
-GRAM = 32
-LARGE = 4096
+GRAM = 96
+#: Contexts of one gram that are scanned in one task: 35 MB of them.
+LARGE = 50_000
 
 
 def _ends(off: np.ndarray) -> np.ndarray:
@@ -51,47 +53,50 @@ def _samples(string: bytes, min_length: int) -> set[int]:
     return set(minimizers(h, min_length - GRAM + 1, np.ones(len(h), bool)).tolist())
 
 
+def _bounds(off: np.ndarray, row: np.ndarray, at: np.ndarray, min_length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the contexts of suffixes at `at`."""
+    return np.maximum(off[row], at - (min_length - GRAM)), np.minimum(off[row + 1], at + min_length)
+
+
 def _sampled(min_length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t1 = batch.column(0).to_numpy()
-            for lo, hi, buf, off in pieces(batch.column(1), 1 << 19):
+            t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, hi, buf, off in pieces(batch.column(2), 1 << 19):
                 n = len(buf) - GRAM + 1
                 if n < 1:
                     continue
-                at = np.arange(n)
-                h = range_hash(prefix_hash(buf), at, at + GRAM)
+                prefix, at = prefix_hash(buf), np.arange(n)
+                h = range_hash(prefix, at, at + GRAM)
                 at = minimizers(h, min_length - GRAM + 1, np.arange(len(buf)) + min_length <= _ends(off))
                 row = np.searchsorted(off, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])), pa.array(t1[lo:hi][row]), pa.array(at - off[row])], ["h", "t1", "p"])
+                a, b = _bounds(off, row, at, min_length)
+                c1 = mixed(range_hash(prefix, a, b) ^ (at - a).astype(np.uint64))
+                c2 = mixed(range_hash(prefix, a, at) * np.uint64(3) ^ range_hash(prefix, at, b))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])), pa.array(signed(c1)), pa.array(signed(c2)), pa.array(t1[lo:hi][row]), pa.array(t2[lo:hi][row]), pa.array((at - off[row]).astype(np.int32)), pa.array((at - a).astype(np.int32)), pa.array((b - at).astype(np.int32))], ["h", "c1", "c2", "t1", "t2", "p", "l", "r"])
 
     return run
 
 
 def _contexts(min_length: int):
-    reach = min_length - GRAM
+    """(text, classes (h, c1, c2, n, p)): each class with the bytes left and right of its suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t1, t2, at, gram = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3), batch.column(4)
-            place, bounds, grams = at.values.to_numpy(), at.offsets.to_numpy(), gram.values.to_numpy()
-            for lo, hi, buf, off in pieces(batch.column(2), 1 << 19):
+            wanted = batch.column(1)
+            bounds, field = wanted.offsets.to_numpy(), wanted.values.field
+            h, c1, c2, n, place = (field(k) for k in range(5))
+            place = place.to_numpy()
+            for lo, hi, buf, off in pieces(batch.column(0), 1 << 19):
                 raw = buf.tobytes()
-                prefix = prefix_hash(buf)
+                each = np.arange(bounds[lo], bounds[hi])
                 row = np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1]))
-                p = place[bounds[lo] : bounds[hi]]
-                real = off[row] + p + GRAM <= off[row + 1]
-                row, p, h = row[real], p[real], grams[bounds[lo] : bounds[hi]][real]
-                a, m, b = np.maximum(off[row], off[row] + p - reach), off[row] + p, np.minimum(off[row + 1], off[row] + p + min_length)
-                long = b - a >= min_length
-                row, p, h, a, m, b = row[long], p[long], h[long], a[long], m[long], b[long]
-                if not len(row):
-                    continue
-                c1, c2 = mixed(range_hash(prefix, a, b) ^ (m - a).astype(np.uint64)), mixed(range_hash(prefix, a, m) * np.uint64(3) ^ range_hash(prefix, m, b))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(signed(c1)), pa.array(signed(c2)), pa.array(t1[lo:hi][row]), pa.array(t2[lo:hi][row]), pa.array(p), pa.array([raw[i:j] for i, j in zip(a.tolist(), m.tolist())], pa.binary()), pa.array([raw[i:j] for i, j in zip(m.tolist(), b.tolist())], pa.binary())],
-                    ["h", "c1", "c2", "t1", "t2", "p", "left", "right"],
-                )
+                at = off[row] + place[each]
+                real = at + GRAM <= off[row + 1]
+                each, row, at = pa.array(each[real]), row[real], at[real]
+                a, b = _bounds(off, row, at, min_length)
+                cuts = lambda i, j: pa.array([raw[x:y] for x, y in zip(i.tolist(), j.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(x.take(each) for x in (h, c1, c2, n)), cuts(a, at), cuts(at, b)], ["h", "c1", "c2", "n", "left", "right"])
 
     return run
 
@@ -179,7 +184,7 @@ def interval_scan(lefts: list[bytes], rights: list[bytes], counts: list[int], mi
 
 
 def _scan(min_length: int, with_groups: bool):
-    """Batches sorted by (h, right): the reach of each class, or a mark that its 32-gram has too many classes."""
+    """Batches sorted by (h, right, left), equal rows (of a repeated document) as one: the reach of each class, or a mark that its gram has too many classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(rows: list[tuple]):
@@ -208,6 +213,8 @@ def _scan(min_length: int, with_groups: bool):
                 if row[0] != now:
                     out += [] if large else settle(group)
                     now, group, large = row[0], [], False
+                if group and group[-1][1:3] == row[1:3]:
+                    continue
                 group.append(row)
                 if len(group) > LARGE or large:
                     out += [(g[0], g[1], g[2], -1, -1, []) for g in group]
@@ -239,31 +246,36 @@ def _found(docs: DataFrame, id_col: str, text_col: str, min_length: int, with_gr
     """(occurrences (t1, t2, p, l, r, repeats), names (id, t1, t2), identified documents)."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("id", "text", *text_id())
     names = staged(rows.select("id", "t1", "t2"), "names")
-    chosen = names.groupBy("t1", "t2").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id")).alias("first"))
-    suffixes = rows.select("t1", "text").mapInArrow(_sampled(min_length), "h long, t1 long, p long")
-    where = F.xxhash64("t1", "p")
+    suffixes = rows.select("t1", "t2", "text").mapInArrow(_sampled(min_length), "h long, c1 long, c2 long, t1 long, t2 long, p int, l int, r int")
+    where = F.xxhash64("t1", "t2", "p")
     again = suffixes.groupBy("h").agg(F.min(where).alias("least"), F.max(where).alias("most")).filter("least != most").select("h")
-    places = suffixes.join(again, "h", "left_semi").distinct().groupBy("t1").agg(F.array_sort(F.collect_list(F.struct("p", "h"))).alias("at"))
-    wanted = chosen.join(places, "t1").select(F.col("first.id").alias("id"), "t1", "t2", "at.p", "at.h")
+    spots = staged(suffixes.join(again, "h", "left_semi").distinct(), "spots")
+    every = spots.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "p")).alias("at"), F.first("l").alias("l"), F.first("r").alias("r"))
+    every = staged(every, "every")
+    several = every.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
+    # Alone in its gram, a class that occurs twice is repeated as far as its context goes.
+    alone = every.join(several, "h", "left_anti").filter((F.col("n") > 1) & (F.col("l") + F.col("r") >= min_length))
+    wanted = every.join(several, "h", "left_semi").groupBy("at.t1", "at.t2").agg(F.collect_list(F.struct("h", "c1", "c2", "n", F.col("at.p").alias("p"))).alias("classes"))
+    chosen = names.groupBy("t1", "t2").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id")).alias("first"))
+    chosen = chosen.join(wanted, ["t1", "t2"]).select(F.col("first.id").alias("id"), "t1", "t2", "classes")
     same = (F.col("r.t1") == F.col("w.t1")) & (F.col("r.t2") == F.col("w.t2")) & F.col("r.id").eqNullSafe(F.col("w.id"))
-    texts = rows.alias("r").join(wanted.alias("w"), same).select("r.t1", "r.t2", "r.text", "w.p", "w.h")
-    contexts = staged(texts.mapInArrow(_contexts(min_length), "h long, c1 long, c2 long, t1 long, t2 long, p long, left binary, right binary"), "contexts")
-    spots = contexts.select("h", "c1", "c2", "t1", "t2", "p")
-    classes = contexts.groupBy("h", "c1", "c2").agg(F.count_distinct(F.xxhash64("t1", "t2", "p")).alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
-    classes = staged(classes, "classes")
+    texts = rows.alias("r").join(chosen.alias("w"), same).select("r.text", "w.classes")
+    classes = staged(texts.mapInArrow(_contexts(min_length), "h long, c1 long, c2 long, n long, left binary, right binary"), "classes")
     scanned = staged(classes.repartition("h").sortWithinPartitions("h", "right", "left").mapInArrow(_scan(min_length, with_groups), "h long, c1 long, c2 long, l int, r int, repeats array<string>"), "scanned")
     large = classes.join(scanned.filter("l < 0").select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi")
     strings = large.select("h", "c1", "c2", "n", "left", "right").mapInArrow(_strings(min_length), "k1 long, k2 long, h long, c1 long, c2 long, n long, l int, r int")
     who = F.xxhash64("h", "c1", "c2")
     twice = strings.groupBy("k1", "k2").agg(F.min(who).alias("least"), F.max(who).alias("most"), F.max("n").alias("n")).filter("least != most or n > 1").select("k1", "k2")
     counted = strings.join(twice, ["k1", "k2"], "left_semi").groupBy("h", "c1", "c2").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    reach = scanned.filter("l >= 0").unionByName(counted.withColumn("repeats", F.array().cast("array<string>")))
-    return spots.join(reach, ["h", "c1", "c2"]).select("t1", "t2", "p", "l", "r", "repeats"), names, rows
+    none = F.array().cast("array<string>")
+    named = F.array(F.concat_ws(":", F.sha2(F.concat_ws(":", "c1", "c2"), 256), "l", "r")) if with_groups else none
+    reach = scanned.filter("l >= 0").unionByName(counted.withColumn("repeats", none)).unionByName(alone.select("h", "c1", "c2", "l", "r", named.alias("repeats")))
+    return spots.drop("l", "r").join(reach, ["h", "c1", "c2"]).select("t1", "t2", "p", "l", "r", "repeats"), names, rows
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:
     """(repeat, t1, t2, doc_id, start, length): all occurrences of the maximal repeats, in bytes, one row for each
-    occurrence in each document that holds the text (bounded by the context of a suffix; repeats in a 32-gram with
+    occurrence in each document that holds the text (bounded by the context of a suffix; repeats in a gram with
     more than LARGE contexts are left to without_repeats)."""
     found, names, _ = _found(docs, id_col, text_col, min_length, True)
     each = found.select("t1", "t2", "p", F.explode("repeats").alias("repeat")).withColumn("part", F.split("repeat", ":"))
