@@ -1,17 +1,21 @@
 """Repeated word windows, found level by level at doubling lengths.
 
-Lengths double from a quarter of the window: 5, 10 and 20 words for a window of
-20. The first level takes, of each run that could be a window, the 5-word run
-with the smallest hash (equal windows choose at equal places), which is one in
-eight. A run that occurs once in the corpus is dropped; the others are extended
-to the runs of twice the length that contain them, of which again only the
-repeated ones go on, until the runs are whole windows. So the corpus is counted
-at one sparse level, and everything longer concerns survivors only.
-
-Counts are combined before they are shuffled, and rows meet the repeated keys in
-joins whose large side Spark can split, so a passage shared by a third of all
-documents is never gathered in one task. Copies of a text are searched once:
-every row but the first of equal texts is removed whole.
+The first level has runs of half a window: of the runs that could begin a
+window's first half and a word more, each window takes the one with the
+smallest hash (equal windows choose at equal places), about one run in six. A
+run that occurs once in the corpus is dropped. Those that are repeated are
+extended to the runs of twice the length that chose them: whole windows, of
+which the repeated ones count. So the corpus is counted at one sparse level,
+and all that is longer concerns survivors only.
+
+The windows of one chosen run make up a stretch of text. Equal stretches are a
+class: a later occurrence is covered by the first one, and only windows of a
+class's first occurrence are looked up one by one.
+
+Counts and minima are combined before they are shuffled, and rows meet the
+repeated keys in joins whose large side Spark can split, so a passage shared by
+a third of all documents is never gathered in one task. Copies of a text are
+searched once: every row but the first of equal texts is removed whole.
 """
 
 from __future__ import annotations
@@ -23,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import NOT_SPACE, joined, minimizers, mixed, pieces, sequence_hash, signed, staged, text_id, word_hashes, words
+from .text import NOT_SPACE, joined, minimum_at, mixed, pieces, prefix_sum, sequence_hash, signed, staged, sum_hash, text_id, word_hashes, words
 
 WINDOW = 20
+_LEVEL = ["c1", "c2", "id", "s", "n", "k1", "k2"]
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -34,9 +39,15 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "text", *text_id())
 
 
-def _anchors(window: int):
-    base = window // 4
+def _chosen(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words at which windows begin, and the run each of them chooses."""
+    half = window // 2
+    stop = np.repeat(first[1:], np.diff(first))
+    begins = np.flatnonzero(np.arange(len(h)) + window <= stop)
+    return begins, minimum_at(sequence_hash(h, half), half + 1)[begins]
 
+
+def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t1 = batch.column(0).to_numpy()
@@ -45,29 +56,20 @@ def _anchors(window: int):
                 if len(starts) < window:
                     continue
                 h = word_hashes(buf, starts, ends)
-                stop = np.repeat(first[1:], np.diff(first))  # each word's end of row
-                short = sequence_hash(h, base)
-                at = minimizers(short, window - base + 1, np.arange(len(h)) + window <= stop)
+                at = _chosen(h, first, window)[1]
+                at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
                 row = np.searchsorted(first, at, "right") - 1
-                double = sequence_hash(h, 2 * base)
-                pick = lambda q: np.where((q >= first[row]) & (q + 2 * base <= stop[at]), signed(double[np.clip(q, 0, len(double) - 1)]), 0)
-                place = at - first[row]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(short[at])), pa.array(t1[lo:hi][row]), pa.array(place.astype(np.int32)), pa.array(pick(at)), pa.array(pick(at - base))], ["h", "t1", "p", "ahead", "behind"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(sequence_hash(h, window // 2)[at])), pa.array(t1[lo:hi][row]), pa.array((at - first[row]).astype(np.int32))], ["h", "t1", "p"])
 
     return run
 
 
-def _repeated(rows: DataFrame, key: str, place: str) -> DataFrame:
-    """The rows whose key occurs at two or more places; a place is a text and a position, so copies of a text are one."""
-    where = F.xxhash64("t1", place)
-    again = rows.groupBy(key).agg(F.min(where).alias("least"), F.max(where).alias("most")).filter("least != most").select(key)
-    return rows.join(again, key, "left_semi")
-
-
-def _windows(window: int):
-    half = window // 2
+def _stretches(window: int):
+    """Of texts with the places of repeated runs: a row (c1, c2, id, s, n) for each stretch of n windows from word s, and for
+    a class that this task hasn't seen lately the rows (c1, c2, d, k1, k2) of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids, hits = batch.column(0), batch.column(2)
             place, place_off = hits.values.to_numpy(), hits.offsets.to_numpy()
@@ -76,51 +78,74 @@ def _windows(window: int):
                 if len(starts) < window:
                     continue
                 h = word_hashes(buf, starts, ends)
-                mark = np.zeros(len(h) + 1, np.int64)
+                begins, at = _chosen(h, first, window)
                 row = np.repeat(np.arange(hi - lo), np.diff(place_off[lo : hi + 1]))
-                q = first[row] + place[place_off[lo] : place_off[hi]]
-                begin, stop = np.maximum(q - half, first[row]), np.minimum(q + 1, first[row + 1] - window + 1)
-                real = begin < stop
-                np.add.at(mark, begin[real], 1)
-                np.add.at(mark, stop[real], -1)
-                at = np.flatnonzero(np.cumsum(mark[:-1]))
+                wanted = np.zeros(len(h) + 1, bool)
+                p = first[row] + place[place_off[lo] : place_off[hi]]
+                wanted[p[p < first[row + 1]]] = True
+                begins, at = begins[wanted[at]], at[wanted[at]]
                 if not len(at):
                     continue
-                row = np.searchsorted(first, at, "right") - 1
-                k1, k2 = sequence_hash(h, window)[at], sequence_hash(mixed(h), window, 1)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(k1)), pa.array(signed(k2)), ids.take(pa.array(lo + row)), pa.array((at - first[row]).astype(np.int32))], ["k1", "k2", "id", "s"])
+                # Windows that choose the same run follow one another.
+                edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                s, n = begins[edge], np.diff(np.r_[edge, len(at)])
+                prefix1, prefix2 = prefix_sum(h), prefix_sum(mixed(h))
+                c1, c2 = sum_hash(prefix1, s, s + n + window - 1), sum_hash(prefix2, s, s + n + window - 1)
+                row = np.searchsorted(first, s, "right") - 1
+                none = lambda k, kind: pa.nulls(k, kind)
+                k = len(s)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(c1)), pa.array(signed(c2)), ids.take(pa.array(lo + row)), pa.array((s - first[row]).astype(np.int32)), pa.array(n.astype(np.int32)), none(k, pa.int64()), none(k, pa.int64())], _LEVEL)
+                if len(seen) > 500_000:
+                    seen.clear()
+                fresh = []
+                for i, key in enumerate(zip(c1.tolist(), c2.tolist())):
+                    if key not in seen:
+                        seen.add(key)
+                        fresh.append(i)
+                fresh = np.array(fresh, np.int64)
+                which = np.repeat(fresh, n[fresh])
+                d = np.arange(len(which)) - np.repeat(np.cumsum(n[fresh]) - n[fresh], n[fresh])
+                w = s[which] + d
+                k1, k2 = sum_hash(prefix1, w, w + window), sum_hash(prefix2, w, w + window)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(c1[which])), pa.array(signed(c2[which])), none(len(w), ids.type), pa.array(d.astype(np.int32)), none(len(w), pa.int32()), pa.array(signed(k1)), pa.array(signed(k2))], _LEVEL)
 
     return run
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(rows (id, t1, copy, starts) of the texts with a window that starts earlier, the identified documents).
+    """(rows (id, t1, copy, ranges) of the texts with a window that starts earlier, the identified documents).
 
-    starts are word positions of such windows; copy marks a row whose whole
-    text stands in an earlier row (a smaller id).
+    ranges are (s, n): the n windows from word s on start earlier; copy marks a
+    row whose whole text stands in an earlier row (a smaller id).
     """
-    if window % 4:
-        raise ValueError("the window has to be a multiple of four words")
+    if window % 2:
+        raise ValueError("the window has to be an even number of words")
     rows = _identified(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
     names = staged(rows.select("id", "t1", "t2"), "names")
     classes = names.groupBy("t1", "t2").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id")).alias("first"))
-    anchors = rows.select("t1", "text").mapInArrow(_anchors(window), "h long, t1 long, p int, ahead long, behind long")
-    level1 = staged(_repeated(anchors, "h", "p").select("t1", "p", "ahead", "behind").distinct(), "level1")
-    base = window // 4
-    both = level1.select("t1", F.inline(F.array(F.struct(F.col("ahead").alias("h"), F.col("p").alias("q")), F.struct(F.col("behind").alias("h"), (F.col("p") - base).alias("q"))))).filter("h != 0")
-    level2 = _repeated(both.distinct(), "h", "q").groupBy("t1").agg(F.array_sort(F.collect_set("q")).alias("places"))
-    chosen = classes.join(level2, "t1").select(F.col("first.id").alias("id"), "t1", "places")
+    # Half windows. Copies of a text count here too; the texts that are searched further are each one of its kind.
+    anchors = rows.select("t1", "text").mapInArrow(_anchors(window), "h long, t1 long, p int")
+    again = anchors.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
+    places = anchors.join(again, "h", "left_semi").groupBy("t1").agg(F.array_sort(F.collect_set("p")).alias("places"))
+    chosen = classes.join(places, "t1").select(F.col("first.id").alias("id"), "t1", "places")
     same = (F.col("r.t1") == F.col("c.t1")) & F.col("r.id").eqNullSafe(F.col("c.id"))
-    level3 = rows.alias("r").join(chosen.alias("c"), same).select("r.id", "r.text", "c.places").mapInArrow(_windows(window), f"k1 long, k2 long, id {kind}, s int")
-    level3 = staged(level3, "level3")
-    where = F.struct(F.col("id").isNotNull().alias("some"), F.col("id").alias("id"), F.col("s").alias("s"))
-    firsts = level3.groupBy("k1", "k2").agg(F.min(where).alias("least"), F.max(where).alias("most")).filter("least != most").select("k1", "k2", "least")
-    later = level3.join(firsts, ["k1", "k2"]).filter(where != F.col("least")).groupBy("id").agg(F.array_sort(F.collect_set("s")).alias("starts"))
-    # The first row of equal texts carries the window starts, the others are copies.
+    # Whole windows.
+    texts = rows.alias("r").join(chosen.alias("c"), same).select("r.id", "r.text", "c.places")
+    level = staged(texts.mapInArrow(_stretches(window), f"c1 long, c2 long, id {kind}, s int, n int, k1 long, k2 long"), "windows")
+    where = lambda s: F.struct(F.col("id").isNotNull().alias("some"), F.col("id").alias("id"), s.alias("s"))
+    stretch = level.filter("k1 is null").select("c1", "c2", "id", "s", "n")
+    earliest = staged(stretch.groupBy("c1", "c2").agg(F.min(where(F.col("s"))).alias("least"), F.count("*").alias("k")), "earliest")
+    copied = stretch.join(earliest.filter("k > 1"), ["c1", "c2"]).filter(where(F.col("s")) != F.col("least")).select("id", "s", "n")
+    single = level.filter("k1 is not null").select("c1", "c2", F.col("s").alias("d"), "k1", "k2").join(earliest, ["c1", "c2"]).select("k1", "k2", F.col("least.some").alias("some"), F.col("least.id").alias("id"), (F.col("least.s") + F.col("d")).alias("s"))
+    single = staged(single, "single")
+    firsts = single.groupBy("k1", "k2").agg(F.min(where(F.col("s"))).alias("least"), F.max(where(F.col("s"))).alias("most")).filter("least != most").select("k1", "k2", "least")
+    later = single.join(firsts, ["k1", "k2"]).filter(where(F.col("s")) != F.col("least")).select("id", "s", F.lit(1).alias("n"))
+    ranges = copied.unionByName(later).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("s", "n"))).alias("ranges"))
+    # The first row of equal texts carries the ranges, the others are copies.
     ranked = names.join(classes, ["t1", "t2"]).select("id", "t1", F.coalesce(F.col("id") != F.col("first.id"), F.col("id").isNotNull() & F.col("first.id").isNull()).alias("copy"))
-    found = ranked.distinct().join(later.withColumnRenamed("id", "own"), F.col("id").eqNullSafe(F.col("own")) & ~F.col("copy"), "left")
-    return found.filter("copy or starts is not null").select("id", "t1", "copy", "starts"), rows
+    found = ranked.distinct().join(ranges.withColumnRenamed("id", "own"), F.col("id").eqNullSafe(F.col("own")) & ~F.col("copy"), "left")
+    return found.filter("copy or ranges is not null").select("id", "t1", "copy", "ranges"), rows
 
 
 def _cleaned(window: int):
@@ -129,7 +154,7 @@ def _cleaned(window: int):
             n_words = np.zeros(batch.num_rows, np.int64)
             removed = np.zeros(batch.num_rows, np.int64)
             kept: list[str] = []
-            copy, starts_of = batch.column(2).to_pylist(), batch.column(3)
+            copy, ranges_of = batch.column(2).to_pylist(), batch.column(3)
             for lo, hi, buf, off in pieces(batch.column(1)):
                 starts, ends, first = words(buf, off, NOT_SPACE)
                 n_words[lo:hi] = np.diff(first)
@@ -139,11 +164,11 @@ def _cleaned(window: int):
                     if copy[lo + row] and b - a >= window:
                         removed[lo + row] = b - a
                         kept.append("")
-                    elif starts_of[lo + row].is_valid and b > a:
-                        s = np.array(starts_of[lo + row].as_py())
+                    elif ranges_of[lo + row].is_valid and b > a:
+                        s, n = np.array([(x["s"], x["n"]) for x in ranges_of[lo + row].as_py()]).T
                         cover = np.zeros(b - a + 1, np.int64)
                         np.add.at(cover, s, 1)
-                        np.add.at(cover, s + window, -1)
+                        np.add.at(cover, s + n - 1 + window, -1)
                         stay = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
                         removed[lo + row] = b - a - len(stay)
                         kept.append(b" ".join(text[i:j] for i, j in zip(begin[a + stay].tolist(), end[a + stay].tolist())).decode())
@@ -167,7 +192,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = rows.schema["id"].dataType.simpleString()
     on = (F.col("r.t1") == F.col("f.t1")) & F.col("r.id").eqNullSafe(F.col("f.id"))
     whole = rows.select("id", "text", "t1").alias("r").join(found.alias("f"), on, "left")
-    return whole.select("r.id", "r.text", F.coalesce("f.copy", F.lit(False)).alias("copy"), "f.starts").mapInArrow(_cleaned(window), f"doc_id {kind}, n_words long, n_removed long, kept_text string")
+    return whole.select("r.id", "r.text", F.coalesce("f.copy", F.lit(False)).alias("copy"), "f.ranges").mapInArrow(_cleaned(window), f"doc_id {kind}, n_words long, n_removed long, kept_text string")
 
 
 def summary(docs: DataFrame) -> DataFrame:

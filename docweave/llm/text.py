@@ -142,10 +142,20 @@ def prefix_hash(buf: np.ndarray) -> np.ndarray:
     return out
 
 
+def prefix_sum(values: np.ndarray) -> np.ndarray:
+    """As prefix_hash(), of 64-bit values; sum_hash() takes the hash of any range."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values)), out=out[1:])
+    return out
+
+
 def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mixed((prefix[ends] - prefix[starts]) * powers(len(prefix), -1)[starts])
 
 
+sum_hash = range_hash
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return range_hash(prefix_hash(buf), starts, ends)
 
@@ -171,12 +181,11 @@ def sequence_hash(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     return mixed(out)
 
 
-def minimizers(h: np.ndarray, width: int, begins: np.ndarray) -> np.ndarray:
-    """Positions that hold the smallest of `width` consecutive entries (the last of equals) for some run that begins at
-    one of the places where `begins` is true.
+def minimum_at(h: np.ndarray, width: int) -> np.ndarray:
+    """For each run of `width` consecutive entries, by its beginning, where its smallest entry stands (the last of equals).
 
-    What is chosen in a run depends on its content alone, so equal runs hold
-    chosen positions at equal places.
+    What is chosen in a run depends on its content alone, so equal runs choose
+    at equal places.
     """
     n = len(h)
     if n < width:
@@ -189,7 +198,13 @@ def minimizers(h: np.ndarray, width: int, begins: np.ndarray) -> np.ndarray:
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.ascontiguousarray(np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1]).ravel()
     least = np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
-    at = n - 1 - (least[begins[: len(least)]] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return n - 1 - (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def minimizers(h: np.ndarray, width: int, begins: np.ndarray) -> np.ndarray:
+    """The places that minimum_at() gives for runs that begin where `begins` is true."""
+    at = minimum_at(h, width)
+    at = at[begins[: len(at)]]
     return at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
 
 

@@ -34,7 +34,7 @@ def test_edges(edge, empty):
     assert got == expected(edge.select("doc_id", "text").collect(), 20)
     assert substrings.summary(empty).count() == 0
     with pytest.raises(ValueError):
-        substrings.repeated_windows(edge, window=10)
+        substrings.repeated_windows(edge, window=7)
 
 
 def test_planted_passages(spark):
