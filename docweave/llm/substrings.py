@@ -128,20 +128,22 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     anchors = rows.select("t1", "text").mapInArrow(_anchors(window), "h long, t1 long, p int")
     again = anchors.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
     places = anchors.join(again, "h", "left_semi").groupBy("t1").agg(F.array_sort(F.collect_set("p")).alias("places"))
-    chosen = classes.join(places, "t1").select(F.col("first.id").alias("id"), "t1", "places")
+    chosen = staged(classes.join(places, "t1").select(F.col("first.id").alias("id"), "t1", "places"), "places", free=True)
     same = (F.col("r.t1") == F.col("c.t1")) & F.col("r.id").eqNullSafe(F.col("c.id"))
     # Whole windows.
     texts = rows.alias("r").join(chosen.alias("c"), same).select("r.id", "r.text", "c.places")
-    level = staged(texts.mapInArrow(_stretches(window), f"c1 long, c2 long, id {kind}, s int, n int, k1 long, k2 long"), "windows")
+    level = staged(texts.mapInArrow(_stretches(window), f"c1 long, c2 long, id {kind}, s int, n int, k1 long, k2 long"), "windows", free=True)
     where = lambda s: F.struct(F.col("id").isNotNull().alias("some"), F.col("id").alias("id"), s.alias("s"))
     stretch = level.filter("k1 is null").select("c1", "c2", "id", "s", "n")
-    earliest = staged(stretch.groupBy("c1", "c2").agg(F.min(where(F.col("s"))).alias("least"), F.count("*").alias("k")), "earliest")
+    earliest = staged(stretch.groupBy("c1", "c2").agg(F.min(where(F.col("s"))).alias("least"), F.count("*").alias("k")), "earliest", free=True)
     copied = stretch.join(earliest.filter("k > 1"), ["c1", "c2"]).filter(where(F.col("s")) != F.col("least")).select("id", "s", "n")
+    gathered = lambda hits, name: staged(hits.groupBy("id").agg(F.collect_set(F.struct("s", "n")).alias("ranges")), name, free=True)
+    copied = gathered(copied, "copied")
     single = level.filter("k1 is not null").select("c1", "c2", F.col("s").alias("d"), "k1", "k2").join(earliest, ["c1", "c2"]).select("k1", "k2", F.col("least.some").alias("some"), F.col("least.id").alias("id"), (F.col("least.s") + F.col("d")).alias("s"))
-    single = staged(single, "single")
+    single = staged(single.distinct(), "single", free=True)
     firsts = single.groupBy("k1", "k2").agg(F.min(where(F.col("s"))).alias("least"), F.max(where(F.col("s"))).alias("most")).filter("least != most").select("k1", "k2", "least")
     later = single.join(firsts, ["k1", "k2"]).filter(where(F.col("s")) != F.col("least")).select("id", "s", F.lit(1).alias("n"))
-    ranges = copied.unionByName(later).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("s", "n"))).alias("ranges"))
+    ranges = copied.unionByName(gathered(later, "later")).groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"))
     # The first row of equal texts carries the ranges, the others are copies.
     ranked = names.join(classes, ["t1", "t2"]).select("id", "t1", F.coalesce(F.col("id") != F.col("first.id"), F.col("id").isNotNull() & F.col("first.id").isNull()).alias("copy"))
     found = ranked.distinct().join(ranges.withColumnRenamed("id", "own"), F.col("id").eqNullSafe(F.col("own")) & ~F.col("copy"), "left")

@@ -45,10 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: computed once, lineage cut, safe against lost executors."""
+def staged(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """df written as a table in the shared folder and read again: computed once, lineage cut, safe against lost executors.
+
+    With `free`, the driver collects its garbage, which lets Spark delete the
+    shuffle files of what was written.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if free:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
