@@ -20,8 +20,13 @@ from pyspark.sql.types import StructType
 
 from .text import shared_dir, staged
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk. Stores are many and small, so they don't allocate space ahead, and a batch saves its changes only.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 
 def without_space(text: Column) -> Column:
@@ -47,13 +52,15 @@ def remembered(path: str, schema: StructType) -> DataFrame:
     def land(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/state/batch={number}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in _STATE}
+    for key, value in _STATE.items():
+        spark.conf.set(key, value)
     try:
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{root}/stream").trigger(availableNow=True).foreachBatch(land).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before) if before is not None else spark.conf.unset(_PROVIDER)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     landed_as = f"digest string, best struct<keep_id:{schema['row_id'].dataType.simpleString()},locator:string>, group_size long, batch long"
     spark.createDataFrame([], landed_as).drop("batch").write.parquet(f"{root}/state/batch=-1")
     landed = spark.read.schema(landed_as).parquet(f"{root}/state")
