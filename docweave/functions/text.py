@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed patterns.
-ELEMENT_ID = r"^[a-f0-9]{10}$"
-NODE_ID = r"(?U)^(?:[a-f0-9]{10}|doc_[\w\-. ()]{1,59})$"
-OBJECT_NAME = r"(?U)^[\w\-./ ()]+$"
+ELEMENT_ID = r"^[a-f0-9]{10}\z"
+NODE_ID = r"(?U)^(?:[a-f0-9]{10}|doc_[\w\-. ()]{1,59})\z"
+OBJECT_NAME = r"(?U)^[\w\-./ ()]+\z"
 CITED = r"\[src:([a-f0-9]+)\]"
 PICTURED = r"\[img:([a-f0-9]+)\]"
 FOLLOW_UP = r"""search_vectors\(["'](.+?)["']\)"""

@@ -13,11 +13,12 @@ MAX_HOPS = 10
 def normalised(nodes: DataFrame) -> DataFrame:
     """One row a node: a Document shows its filename and page 0, a SectionHeader tag wins over others, nulls get defaults."""
     is_doc = F.col("tag") == "Document"
+    filename = F.col("filename") if "filename" in nodes.columns else F.col("text")
     shown = nodes.select(
         "node_id",
         "tag",
         F.when(is_doc, "document").otherwise(F.coalesce("label", F.lit(""))).alias("label"),
-        F.coalesce(F.when(is_doc, F.col("filename")).otherwise(F.col("text")), F.lit("")).alias("text"),
+        F.coalesce(F.when(is_doc, filename).otherwise(F.col("text")), F.lit("")).alias("text"),
         F.when(~is_doc, F.nullif("minio_url", F.lit(""))).alias("minio_url"),
         F.when(is_doc, 0).otherwise(F.coalesce("page_no", F.lit(0))).cast("int").alias("page_no"),
     )

@@ -35,7 +35,7 @@ class Dataset:
     def elements(self) -> DataFrame:
         doc = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
         named = self.lines.withColumn("id", T.element_id(doc, F.col("page_no"), F.col("ord"), F.col("line")))
-        return corpus.with_parents(named)
+        return corpus.with_parents(named).persist()  # several joins of a query read it
 
     @cached_property
     def _graph(self) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +77,7 @@ class Dataset:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return rank.reranked(self.hits, RERANK_K)
+        return rank.reranked(self.hits, RERANK_K).persist()
 
     @cached_property
     def selections(self) -> DataFrame:
@@ -90,7 +90,7 @@ class Dataset:
     @cached_property
     def sections(self) -> DataFrame:
         """chosen with section_id and breadcrumbs."""
-        return self.chosen.join(graph.climb(self.chosen, self.parent_of, self.nodes), "element_id")
+        return self.chosen.join(graph.climb(self.chosen, self.parent_of, self.nodes), "element_id").persist()
 
     @cached_property
     def section_elements(self) -> DataFrame:
