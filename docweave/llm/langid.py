@@ -89,10 +89,11 @@ def language_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
 
 class Model:
     def __init__(self, languages: list[str], grams: np.ndarray, scripts: np.ndarray):
-        share = (grams + 0.5) / (grams + 0.5).sum(axis=1, keepdims=True)
-        score = np.log(share)
+        score = np.log((grams + 0.5) / (grams + 0.5).sum(axis=1, keepdims=True))
+        if languages:
+            score -= score.mean(axis=0)
         self.languages = languages
-        self.score = np.ascontiguousarray((score - score.mean(axis=0)).T.astype(np.float32))  # bucket, language
+        self.score = np.ascontiguousarray(score.T.astype(np.float32))  # bucket, language
         seen = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         allowed = (seen >= SCRIPT_SHARE).T
         allowed[~allowed.any(axis=1)] = True  # no language has the script: all stay candidates
