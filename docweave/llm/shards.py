@@ -27,6 +27,8 @@ from .text import shared_dir
 TARGET_BYTES = 128 << 20
 FAN_IN = 4
 TIER_FACTOR = 4
+#: A round rewrites this share of the store at most (and one run at least), so it needs so much space beside the store.
+ROUND_SHARE = 0.34
 MANIFEST = "shard long, path string, bytes long, rows long, tier int, version int"
 
 
@@ -97,14 +99,19 @@ class Store:
                 continue
 
     def plan(self, shards: DataFrame) -> DataFrame:
-        """(path, run): which shards a round merges. Runs fill a target each and stay within a tier; single shards are left."""
+        """(path, shard, run): which shards a round merges. Runs fill a target each and stay within a tier; single shards are left,
+        and what goes beyond ROUND_SHARE waits for the next round."""
         small = shards.filter(F.col("bytes") < self.target_bytes // 2)
         crowd = small.groupBy("tier").agg(F.count("*").alias("n")).filter(F.col("n") >= self.fan_in)
         order = Window.partitionBy("tier").orderBy("bytes", "shard")
         filled = small.join(crowd, "tier").withColumn("before", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)))
         runs = filled.withColumn("run", F.concat_ws("-", "tier", F.floor(F.coalesce("before", F.lit(0)) / self.target_bytes)))
-        many = runs.groupBy("run").agg(F.count("*").alias("n")).filter("n > 1").select("run")
-        return runs.join(many, "run").select("path", "shard", "run")
+        many = runs.groupBy("run").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")).filter("n > 1")
+        # One row a run, not a shard.
+        reach = F.sum("size").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+        room = shards.agg(F.sum("bytes")).first()[0] or 0
+        now = many.withColumn("before", F.coalesce(reach, F.lit(0))).filter(F.col("before") + F.col("size") <= F.greatest(F.lit(int(room * ROUND_SHARE)), F.col("size"))).select("run")
+        return runs.join(now, "run").select("path", "shard", "run")
 
     def compact(self) -> int:
         """Rounds of merging until no tier is crowded; each round commits a version and then removes the files it replaced."""
@@ -129,6 +136,7 @@ class Store:
                     continue
                 for path in paths:
                     self.files.delete(self._path(path), False)
+                self.jvm.System.gc()  # lets Spark delete the round's shuffle files
             finally:
                 plan.unpersist()
 
