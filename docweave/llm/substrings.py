@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import NOT_SPACE, joined, minimum_at, mixed, pieces, prefix_sum, sequence_hash, signed, staged, sum_hash, text_id, word_hashes, words
+from .text import NOT_SPACE, discard, joined, minimum_at, mixed, pieces, prefix_sum, sequence_hash, signed, staged, sum_hash, text_id, word_hashes, words
 
 WINDOW = 20
 _LEVEL = ["c1", "c2", "id", "s", "n", "k1", "k2"]
@@ -133,6 +133,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Whole windows.
     texts = rows.alias("r").join(chosen.alias("c"), same).select("r.id", "r.text", "c.places")
     level = staged(texts.mapInArrow(_stretches(window), f"c1 long, c2 long, id {kind}, s int, n int, k1 long, k2 long"), "windows", free=True)
+    discard(chosen)
     where = lambda s: F.struct(F.col("id").isNotNull().alias("some"), F.col("id").alias("id"), s.alias("s"))
     stretch = level.filter("k1 is null").select("c1", "c2", "id", "s", "n")
     earliest = staged(stretch.groupBy("c1", "c2").agg(F.min(where(F.col("s"))).alias("least"), F.count("*").alias("k")), "earliest", free=True)
@@ -140,7 +141,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gathered = lambda hits, name: staged(hits.groupBy("id").agg(F.collect_set(F.struct("s", "n")).alias("ranges")), name, free=True)
     copied = gathered(copied, "copied")
     single = level.filter("k1 is not null").select("c1", "c2", F.col("s").alias("d"), "k1", "k2").join(earliest, ["c1", "c2"]).select("k1", "k2", F.col("least.some").alias("some"), F.col("least.id").alias("id"), (F.col("least.s") + F.col("d")).alias("s"))
-    single = staged(single.distinct(), "single", free=True)
+    single = staged(single, "single", free=True)
+    for done in (level, earliest):
+        discard(done)
     firsts = single.groupBy("k1", "k2").agg(F.min(where(F.col("s"))).alias("least"), F.max(where(F.col("s"))).alias("most")).filter("least != most").select("k1", "k2", "least")
     later = single.join(firsts, ["k1", "k2"]).filter(where(F.col("s")) != F.col("least")).select("id", "s", F.lit(1).alias("n"))
     ranges = copied.unionByName(gathered(later, "later")).groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"))

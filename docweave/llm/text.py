@@ -55,7 +55,16 @@ def staged(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     df.write.parquet(path)
     if free:
         df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    spark = table.sparkSession.sparkContext
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
