@@ -38,6 +38,13 @@ def caption_links(captions: DataFrame, resources: DataFrame, reach: float = 300)
     return near.withColumn("n", F.row_number().over(order)).filter("n = 1").select("doc_id", "page_no", "ord", "resource", "distance")
 
 
+def linked_to(links: DataFrame, elements: DataFrame, relation: str = "CAPTION_OF") -> DataFrame:
+    """(src, dst, relation) edges of caption links, by the ids of elements (doc_id, ord, id)."""
+    ids = elements.select("doc_id", "ord", "id")
+    captions = links.join(ids, ["doc_id", "ord"]).select("doc_id", F.col("resource").alias("ord"), F.col("id").alias("src"))
+    return captions.join(ids, ["doc_id", "ord"]).select("src", F.col("id").alias("dst"), F.lit(relation).alias("relation"))
+
+
 def graph_tables(elements: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, parent_of) of elements (doc_id, ord, id, label, line, page_no, par_ord) and documents (doc_id)."""
     tag = F.replace(F.initcap(F.replace("label", F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))

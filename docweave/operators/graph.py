@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 MAX_HOPS = 10
 
 
@@ -41,13 +43,13 @@ def climb(starts: DataFrame, parent_of: DataFrame, nodes: DataFrame, max_hops: i
     the section. breadcrumbs (node_id, label, text) run from the top down. Only
     unfinished rows take part in the next hop.
     """
-    up = parents(parent_of, nodes).persist()
+    up = cut(parents(parent_of, nodes))
     crumb = F.struct(F.col("parent_id").alias("node_id"), F.coalesce(F.nullif("label", F.lit("")), F.col("tag"), F.lit("")).alias("label"), F.substring(F.coalesce("text", F.lit("")), 1, 120).alias("text"))
     none = F.array().cast("array<struct<node_id:string,label:string,text:string>>")
     now = starts.select("element_id").distinct().select("element_id", F.col("element_id").alias("at"), F.lit(None).cast("string").alias("section"), F.lit(0).alias("hops"), none.alias("crumbs"))
     ended = []
     for hop in range(1, max_hops + 1):
-        step = now.join(up, now["at"] == up["dst"], "left").persist()
+        step = cut(now.join(up, now["at"] == up["dst"], "left"))
         ended.append(step.filter("parent_id is null").select("element_id", "section", "hops", "crumbs"))
         section = F.coalesce("section", F.when(F.col("tag") == "SectionHeader", F.col("parent_id")))
         moved = step.filter("parent_id is not null").select("element_id", F.col("parent_id").alias("at"), section.alias("section"), F.lit(hop).alias("hops"), F.concat(F.array(crumb), "crumbs").alias("crumbs"), F.coalesce("tag", F.lit("")).alias("tag"))
@@ -77,11 +79,12 @@ def ordered_children(found: DataFrame) -> DataFrame:
 
 def subtree(roots: DataFrame, parent_of: DataFrame, max_depth: int = 20) -> DataFrame:
     """(root, node_id, depth, path): all nodes below each root; path holds the sequences from the root down, zero-padded."""
-    edges = parent_of.persist()
+    edges = cut(parent_of)
     level = roots.select(F.col("node_id").alias("root"), "node_id", F.lit(0).alias("depth"), F.lit("").alias("path"))
     found = [level]
     for depth in range(1, max_depth + 1):
-        level = level.join(edges, level["node_id"] == edges["src"]).select("root", F.col("dst").alias("node_id"), F.lit(depth).alias("depth"), F.concat("path", F.lpad(F.col("sequence").cast("string"), 8, "0"), F.lit("/")).alias("path")).persist()
+        level = level.join(edges, level["node_id"] == edges["src"]).select("root", F.col("dst").alias("node_id"), F.lit(depth).alias("depth"), F.concat("path", F.lpad(F.col("sequence").cast("string"), 8, "0"), F.lit("/")).alias("path"))
+        level = cut(level)
         if level.isEmpty():
             break
         found.append(level)

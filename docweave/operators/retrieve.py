@@ -101,6 +101,16 @@ def hashed_embedding(dims: int = 384):
     return embed
 
 
+def chunk_rows(raw: DataFrame) -> DataFrame:
+    """Stored metadata as chunk columns: missing texts are empty, missing numbers 0, an empty media URL is null."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    number = lambda c: F.coalesce(F.col(c).try_cast("int"), F.lit(0)).alias(c)
+    return raw.select(
+        F.col("chunk_id").cast("string"), *(text(c) for c in ("element_id", "graph_node_id", "document", "filename", "label")), *(number(c) for c in ("page_no", "page_position", "ref_position")),
+        F.nullif(F.col("minio_url"), F.lit("")).alias("minio_url"), F.col("distance").cast("double"),
+    )
+
+
 def compatible(df: DataFrame, dims: int, model: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with vectors of the wanted size and model, the others)."""
     fits = F.coalesce(F.size("embedding") == dims, F.lit(False))

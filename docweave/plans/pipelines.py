@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as M
 from ..functions import text as T
 from ..operators import answer, corpus, evaluate, graph, rank, retrieve
+from ..session import cut
 
 MAX_ROUNDS = 3
 
@@ -59,6 +60,14 @@ def prompts(questions: DataFrame, rows: DataFrame) -> DataFrame:
     return listed.join(questions.select("question_id", "question"), "question_id").select("question_id", M.prompt(F.col("question"), F.col("contexts")).alias("prompt"))
 
 
+def answer_simple(questions: DataFrame, selections: DataFrame, parent_of: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prompts of the questions from the selected elements as they are, without dropping repeated sections; questions
+    without a selected element)."""
+    good = selections.filter(T.is_node_id(F.col("element_id")))
+    placed = good.join(graph.climb(good, parent_of, nodes), "element_id")
+    return prompts(questions, contexts(placed, parent_of, nodes, dedupe=False)), questions.join(good, "question_id", "left_anti")
+
+
 def bounded_loop(questions: DataFrame, retrieve_: Callable, respond: Callable, embed: Callable, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """All rounds' responses (question_id, round, response, next_query, ...).
 
@@ -68,7 +77,7 @@ def bounded_loop(questions: DataFrame, retrieve_: Callable, respond: Callable, e
     """
     rounds, batch = [], questions
     for number in range(1, max_rounds + 1):
-        said = answer.answered(respond(retrieve_(batch), number), max_rounds).persist()
+        said = cut(answer.answered(respond(retrieve_(batch), number), max_rounds))
         rounds.append(said)
         more = said.filter("next_query is not null")
         if number == max_rounds or more.isEmpty():

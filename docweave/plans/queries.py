@@ -418,8 +418,7 @@ def resource_text(d):
 @query("""SELECT c.id AS src, r.id AS dst, n.minio_url FROM links k JOIN el c ON c.doc_id = k.doc_id AND c.ord = k.ord
     JOIN el r ON r.doc_id = k.doc_id AND r.ord = k.resource JOIN nodes n ON n.node_id = r.id""")
 def linked_media(d):
-    ids = d.elements.select("doc_id", "ord", "id")
-    linked = caption_link(d).join(ids, ["doc_id", "ord"]).select("doc_id", F.col("resource").alias("ord"), F.col("id").alias("src")).join(ids, ["doc_id", "ord"]).select("src", F.col("id").alias("dst"))
+    linked = corpus.linked_to(caption_link(d), d.elements)
     return linked.join(d.nodes, F.col("dst") == F.col("node_id")).select("src", "dst", "minio_url")
 
 

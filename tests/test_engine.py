@@ -227,3 +227,50 @@ def test_parents_by_header_stack(spark):
     rows = [(1, i, lvl) for i, lvl in enumerate([None, 1, None, 2, None, 3, 2, None, 1, None])]
     got = corpus.with_parents(spark.createDataFrame(rows, "doc_id long, ord int, lvl int")).orderBy("ord").collect()
     assert [r.par_ord for r in got] == [None, None, 1, 1, 3, 3, 1, 6, None, 8]
+
+
+def test_simple_answers_keep_repeated_sections(spark, small_graph):
+    nodes, edges = small_graph
+    nodes = nodes.withColumn("node_id", F.when(F.length("node_id") < 5, F.rpad("node_id", 10, "0")).otherwise(F.col("node_id"))).withColumn("node_id", F.regexp_replace("node_id", "^[spoxyd]", "f"))
+    name = lambda c: F.when(F.length(c) < 5, F.regexp_replace(F.rpad(c, 10, "0"), "^[spoxyd]", "f")).otherwise(F.col(c)).alias(c)
+    edges = edges.filter("src like 's%' and dst like 's%' or src = 'doc_a' or dst like 'p%'").select(name("src"), name("dst"), "sequence")
+    chosen = spark.createDataFrame([(1, "f100000000", 1), (1, "f200000000", 2), (2, "bad id!", 1)], "question_id long, element_id string, ord int")
+    questions = spark.createDataFrame([(1, "Q1"), (2, "Q2"), (3, "Q3")], "question_id long, question string")
+    made, none = pipelines.answer_simple(questions, chosen, edges, nodes)
+    assert made.count() == 1 and "Source 2" in made.first().prompt
+    assert sorted(r.question_id for r in none.collect()) == [2, 3]
+
+
+def test_chunk_rows(spark):
+    raw = spark.createDataFrame([("c", "e", None, "t", None, None, "7", None, "x", "", 0.5)], "chunk_id string, element_id string, graph_node_id string, document string, filename string, label string, page_no string, page_position string, ref_position string, minio_url string, distance double")
+    got = retrieve.chunk_rows(raw).first()
+    assert (got.graph_node_id, got.filename, got.page_no, got.page_position, got.ref_position, got.minio_url) == ("", "", 7, 0, 0, None)
+
+
+def test_replacing_one_document_leaves_the_others(spark, tmp_path):
+    path = f"{tmp_path}/docs"
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "doc string, text string")
+    tables.replace_documents(rows, path, "doc")
+    tables.replace_documents(rows.filter("doc = 'a'").withColumn("text", F.lit("new")), path, "doc")
+    assert sorted((r.doc, r.text) for r in spark.read.parquet(path).collect()) == [("a", "new"), ("b", "y")]
+
+
+def test_search_and_evaluation(spark):
+    chunks = spark.createDataFrame([(i, [float(i == 1), float(i != 1)], f"text {i}", f"f{i % 2}") for i in range(4)], "chunk_id long, embedding array<float>, document string, filename string").withColumn("element_id", F.lit("e"))
+    questions = spark.createDataFrame([(9, "text 1", [1.0, 0.0]), (8, "", [1.0, 0.0])], "question_id long, question string, embedding array<float>")
+    hits, bad = pipelines.search(questions, chunks, 2)
+    assert [r.question_id for r in bad.collect()] == [8]
+    assert hits.filter("rn = 1").first().chunk_id == 1
+    assert pipelines.search(questions, chunks, 51)[0].count() == 0
+    assert pipelines.sources(questions, chunks, 2).count() >= 1
+    golden = spark.createDataFrame([(9, 1)], "question_id long, chunk_id long")
+    before = spark.createDataFrame([("context_recall", 0.5)], "metric string, value double")
+    got = {r.metric: (r.value, r.change, r.below) for r in pipelines.evaluated(hits, golden, before, 2).collect()}
+    assert got == {"context_precision": (0.5, None, True), "context_recall": (1.0, 0.5, False)}
+
+
+def test_prompt_order_and_budget(spark):
+    rows = spark.createDataFrame([(1, o, 10) for o in range(5)], "question_id long, ord int, size int")
+    assert sorted(r.ord for r in answer.within_budget(rows, 30, F.col("size")).collect()) == [0, 1, 2]
+    made = answer.prompt_messages(spark.createDataFrame([("t", "P")], "thread_id string, prompt string"), spark.createDataFrame([("t", 3, "user", "h"), ("z", 1, "user", "no")], "thread_id string, turn int, role string, content string"), "S")
+    assert [(r.role, r.content) for r in made.orderBy("ord").collect()] == [("system", "S"), ("user", "h"), ("user", "P")]
