@@ -66,14 +66,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_rule_ensemble_quality, op2_golay_simhash, op3_interval_tree_dedup, op4_level_doubling_substrings, op5_size_tiered_shards, op6_best_fit_packing, op7_multipart_credentials, op8_viterbi_language, op9_wu_manber_decontamination, op10_stateful_exact_dedup)}
 
 
-_PLAIN = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
+_ORACLES = {
+    "op3_interval_tree_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS s FROM d)),
+again AS (SELECT doc_id, s FROM win QUALIFY count(*) OVER (PARTITION BY k) > 1),
+step AS (SELECT doc_id, s, lag(s) OVER w AS before, lead(s) OVER w AS after FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+run AS (SELECT doc_id, s, least(400, coalesce(after - s, 400)) AS n, sum(CASE WHEN before IS NULL OR s > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM step),
+span AS (SELECT doc_id, r, min(s) AS lo, max(s) + 400 AS hi, sum(n) AS n FROM run GROUP BY 1, 2),
+gap AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM span
+    UNION ALL SELECT d.doc_id, coalesce(max(hi), 0), max(len(h) // 2) FROM d LEFT JOIN span USING (doc_id) GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a, b) AS t FROM gap JOIN d USING (doc_id) GROUP BY 1),
+total AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n, count(*) AS spans FROM span GROUP BY 1)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN total USING (doc_id)""",
+    "op4_level_doubling_substrings": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s+19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)),
+later AS (SELECT doc_id, s FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM later),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op9_wu_manber_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, m, array_to_string(w[s:s+m-1], ' ') AS k FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, m, s, array_to_string(w[s:s+m-1], ' ') AS k FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM bw))),
+occ AS (SELECT doc_id, s, m, item_id FROM dw JOIN bw USING (m, k)),
+hit AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(s, s + m)) AS i FROM occ) GROUP BY 1),
+item AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM occ) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(item.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)""",
+    "op10_stateful_exact_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain, length(coalesce(text, '')) AS size FROM documents),
+r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY plain ORDER BY size DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM r""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op10_stateful_exact_dedup": f"""
-            WITH d AS (SELECT doc_id, {_PLAIN} AS plain, length(coalesce(text, '')) AS size FROM documents),
-            r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY plain ORDER BY size DESC, doc_id) AS keep_id,
-                         count(*) OVER (PARTITION BY plain) AS group_size FROM d)
-            SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM r""",
-    }
+    return dict(_ORACLES)
