@@ -22,9 +22,9 @@ def value(spark, column):
 
 
 def test_group_by_document(spark):
-    hits = spark.createDataFrame([(1, "abc123", "e1", "docling.pdf", 0.92, 1), (1, "def456", "e2", "docling.pdf", 0.75, 2), (1, "ghi789", "e3", "autre.pdf", 0.30, 3)], "question_id long, chunk_id string, element_id string, filename string, score double, rr int")
+    hits = spark.createDataFrame([(1, "abc123", "e1", "one.pdf", 0.92, 1), (1, "def456", "e2", "one.pdf", 0.75, 2), (1, "ghi789", "e3", "two.pdf", 0.30, 3)], "question_id long, chunk_id string, element_id string, filename string, score double, rr int")
     got = [(r.filename, r.best_score, len(r.chunks)) for r in rank.by_document(hits).orderBy("group_rank").collect()]
-    assert got == [("docling.pdf", 0.92, 2), ("autre.pdf", 0.30, 1)]
+    assert got == [("one.pdf", 0.92, 2), ("two.pdf", 0.30, 1)]
     assert rank.by_document(hits.limit(0)).count() == 0
     assert rank.by_document(hits.withColumn("score", F.lit(None).cast("double"))).agg(F.max("best_score")).first()[0] == 0.0
 
