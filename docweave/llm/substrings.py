@@ -146,7 +146,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         discard(done)
     firsts = single.groupBy("k1", "k2").agg(F.min(where(F.col("s"))).alias("least"), F.max(where(F.col("s"))).alias("most")).filter("least != most").select("k1", "k2", "least")
     later = single.join(firsts, ["k1", "k2"]).filter(where(F.col("s")) != F.col("least")).select("id", "s", F.lit(1).alias("n"))
-    ranges = copied.unionByName(gathered(later, "later")).groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"))
+    later = gathered(later, "later")
+    discard(single)
+    ranges = copied.unionByName(later).groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"))
     # The first row of equal texts carries the ranges, the others are copies.
     ranked = names.join(classes, ["t1", "t2"]).select("id", "t1", F.coalesce(F.col("id") != F.col("first.id"), F.col("id").isNotNull() & F.col("first.id").isNull()).alias("copy"))
     found = ranked.distinct().join(ranges.withColumnRenamed("id", "own"), F.col("id").eqNullSafe(F.col("own")) & ~F.col("copy"), "left")

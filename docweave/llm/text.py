@@ -8,6 +8,7 @@ that is longer than a slice) and no Python code runs per character.
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -54,6 +55,7 @@ def staged(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if free:
+        time.sleep(1)  # until Spark has let go of the query that wrote
         df.sparkSession.sparkContext._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
