@@ -90,25 +90,29 @@ def language_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
 class Model:
     def __init__(self, languages: list[str], grams: np.ndarray, scripts: np.ndarray):
         score = np.log((grams + 0.5) / (grams + 0.5).sum(axis=1, keepdims=True))
-        if languages:
-            score -= score.mean(axis=0)
         self.languages = languages
-        self.score = np.ascontiguousarray(score.T.astype(np.float32))  # bucket, language
+        # What the languages have in common on a bucket, in nats above the background (all buckets alike).
+        common = score.mean(axis=0) if languages else np.zeros(BUCKETS)
+        self.common = (common + np.log(BUCKETS)).astype(np.float32)
+        self.score = np.ascontiguousarray((score - common).T.astype(np.float32))  # bucket, language
         seen = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         allowed = (seen >= SCRIPT_SHARE).T
         allowed[~allowed.any(axis=1)] = True  # no language has the script: all stay candidates
         self.barred = np.where(allowed, 0, _BAR).astype(np.float32)  # script, language
+        self.known = (seen >= SCRIPT_SHARE).T  # script, language
 
     def word_scores(self, buf: np.ndarray, off: np.ndarray):
+        """Of each word: scores by language, letters, what the languages have in common, script; and each row's first word."""
         starts, ends, first, bucket, script = _featured(buf, off)
         if not len(starts):
-            return np.zeros((0, len(self.languages)), np.float32), np.zeros(0, np.int64), first
+            return np.zeros((0, len(self.languages)), np.float32), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int8), first
         flat = self.score[bucket]
         edges = np.empty(2 * len(starts), np.int64)
         edges[0::2], edges[1::2] = starts, ends
         if edges[-1] == len(flat):
             edges = edges[:-1]
-        return np.add.reduceat(flat, edges, axis=0)[::2] + self.barred[script], ends - starts, first
+        common = np.add.reduceat(self.common[bucket], edges)[::2]
+        return np.add.reduceat(flat, edges, axis=0)[::2] + self.barred[script], ends - starts, common, script, first
 
     def paths(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The best label of each word; all rows advance together, the longest first."""
@@ -157,10 +161,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     return Model(languages, grams, scripts)
 
 
-def _predict(model: Model, texts) -> tuple[list, np.ndarray, list]:
-    """Language, score and labelled spans [(first word, words, language)] of each text."""
+def _predict(model: Model, texts) -> tuple[list, np.ndarray, list, np.ndarray]:
+    """Language, score, labelled spans [(first word, words, language)], and (fit, script share) of each text."""
     n = len(texts)
-    names, share, spans = [None] * n, np.zeros(n), [[] for _ in range(n)]
+    names, share, spans, measures = [None] * n, np.zeros(n), [[] for _ in range(n)], np.zeros((n, 2))
     buf, off = utf8(texts)
     group: list[tuple] = []
 
@@ -170,13 +174,17 @@ def _predict(model: Model, texts) -> tuple[list, np.ndarray, list]:
         lo = group[0][0]
         scores = np.concatenate([g[2] for g in group])
         weight = np.concatenate([g[3] for g in group])
-        count = np.concatenate([np.diff(g[4]) for g in group])
+        common, script = (np.concatenate([g[k] for g in group]) for k in (4, 5))
+        count = np.concatenate([np.diff(g[6]) for g in group])
         first = np.r_[0, np.cumsum(count)]
         label = model.paths(scores, first)
         row = np.repeat(np.arange(len(count)), count)
         langs = len(model.languages)
         letters = np.bincount(row * langs + label, weight, len(count) * langs).reshape(-1, langs)
         top, total = letters.argmax(axis=1), letters.sum(axis=1)
+        fit = scores[np.arange(len(label)), label] - model.barred[script, label] + common
+        known = model.known[script, top[row]] * weight
+        sums = np.stack([np.bincount(row, fit, len(count)), np.bincount(row, known, len(count))], axis=1)
         edge = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (row[1:] != row[:-1])]) if len(label) else np.zeros(0, np.int64)
         for e, size in zip(edge.tolist(), np.diff(np.r_[edge, len(label)]).tolist()):
             spans[lo + row[e]].append({"first": int(e - first[row[e]]), "n": size, "lang": model.languages[label[e]]})
@@ -184,6 +192,7 @@ def _predict(model: Model, texts) -> tuple[list, np.ndarray, list]:
             text = buf[off[lo + k] : off[lo + k + 1]]
             if _ASCII_LETTER[text].any() or any(c.isalpha() for c in text.tobytes().decode()):
                 names[lo + k], share[lo + k] = model.languages[top[k]], letters[k, top[k]] / total[k]
+                measures[lo + k] = sums[k] / total[k]
         group.clear()
 
     if model.languages:
@@ -195,7 +204,7 @@ def _predict(model: Model, texts) -> tuple[list, np.ndarray, list]:
                 settle()
                 held = 0
         settle()
-    return names, share, spans
+    return names, share, spans, measures
 
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -203,22 +212,39 @@ _ASCII_LETTER[0x41:0x5B] = True
 _ASCII_LETTER[0x61:0x7B] = True
 
 
-def labelled(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = True) -> DataFrame:
+def labelled(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = True, with_fit: bool = False) -> DataFrame:
     """docs with lang_pred (`und` if the text is null or has no letter, or nothing was learned), score (the predicted
     language's share of the letters, 0 for `und`) and lang_spans (runs of words of one language). Columns of docs
-    that bear these names are replaced; rows come out as they went in, however often they repeat."""
+    that bear these names are replaced; rows come out as they went in, however often they repeat.
+
+    The score compares the learned languages with each other. with_fit adds what compares the text with the language:
+    `fit` (mean log-likelihood of a letter's trigram in the language chosen for its word, in nats above a background
+    in which all trigrams are alike) and `script_share` (share of the letters in scripts that lang_pred was seen
+    with); both are 0 for `und`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_spans")]
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_spans", *["fit", "script_share"] * with_fit)]
     span = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, share, spans = _predict(shared.value, batch.column(len(columns)))
+            names, share, spans, measures = _predict(shared.value, batch.column(len(columns)))
             extra = [pa.array([x or "und" for x in names], pa.string()), pa.array(share, pa.float64())]
             if with_spans:
                 extra.append(pa.array(spans, span))
+            if with_fit:
+                extra += [pa.array(measures[:, 0]), pa.array(measures[:, 1])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], [str(i) for i in range(len(columns) + len(extra))])
 
     kept = docs.select(*columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double" + ", lang_spans array<struct<first:long,n:long,lang:string>>" * with_spans
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double" + ", lang_spans array<struct<first:long,n:long,lang:string>>" * with_spans + ", fit double, script_share double" * with_fit
     return docs.select(*columns, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+
+
+def fit_bounds(rows: DataFrame) -> DataFrame:
+    """(lang_pred, min_fit, min_script_share): half of what all but 1 % of the rows (lang_pred, fit, script_share) reach.
+
+    The rows are labelled ones that were predicted as labelled. Half way to the background leaves room for clean texts
+    that are shorter or plainer than those; random letters and languages that are not akin to a learned one stay below.
+    """
+    low = lambda c: F.greatest(F.percentile_approx(c, 0.01, 10_000), F.lit(0.0)) / 2
+    return rows.groupBy("lang_pred").agg(low("fit").alias("min_fit"), low("script_share").alias("min_script_share"))
