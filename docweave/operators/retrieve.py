@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -30,11 +29,21 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int = 20, metric: str = "cos
     """(question_id, chunk_id, distance, rn): the k nearest chunks of each question, ties by chunk_id.
 
     Questions (question_id long, embedding) are a stated query set: they are
-    broadcast in blocks of BLOCK rows, and each block meets all chunks in one
-    pass that keeps k rows a question and batch. Vectors of another size than
-    the block's first, and null vectors, match nothing.
+    broadcast in blocks of BLOCK rows with vectors of one size, and each block
+    meets all chunks of that size in one pass that keeps k rows a question and
+    batch. Questions that match nothing for want of a vector, or of chunks of
+    its size, are those that unsearchable() reports.
     """
 
+    def blocks() -> Iterator[list]:
+        open_blocks: dict[int, list] = {}
+        for row in questions.select("question_id", "embedding").filter("size(embedding) > 0").toLocalIterator():
+            block = open_blocks.setdefault(len(row[1]), [])
+            block.append(row)
+            if len(block) == BLOCK:
+                yield open_blocks.pop(len(row[1]))
+        yield from open_blocks.values()
+
     def search(ids: np.ndarray, vectors: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -55,10 +64,9 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int = 20, metric: str = "cos
         return run
 
     found = []
-    for block in batched(questions.select("question_id", "embedding").filter("embedding is not null").toLocalIterator(), BLOCK):
+    for block in blocks():
         size = len(block[0][1])
-        same = [r for r in block if len(r[1]) == size]
-        ids, vectors = np.array([r[0] for r in same], np.int64), np.array([r[1] for r in same], np.float64)
+        ids, vectors = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)
         rows = chunks.filter(F.size("embedding") == size).select(F.col("chunk_id").cast("long"), "embedding")
         found.append(rows.mapInArrow(search(ids, vectors), "question_id long, chunk_id long, distance double"))
     if not found:
@@ -68,6 +76,12 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int = 20, metric: str = "cos
     return near.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
 
 
+def unsearchable(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(question_id, size) of the questions that no chunk can be held against: size of the vector, 0 if there is none."""
+    size = F.coalesce(F.greatest(F.size("embedding"), F.lit(0)), F.lit(0)).alias("size")
+    return questions.select("question_id", size).join(chunks.select(size).filter("size > 0").distinct(), "size", "left_anti").select("question_id", "size")
+
+
 def knn_lsh(questions: DataFrame, chunks: DataFrame, k: int = 20, bucket: float = 1.0, tables: int = 12, within: float = 2.0) -> DataFrame:
     """(question_id, chunk_id, distance, rn) among the chunks that share a hash bucket with the question (unit vectors)."""
     as_vector = lambda df, key: df.select(F.col(key), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))

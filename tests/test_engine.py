@@ -274,3 +274,14 @@ def test_prompt_order_and_budget(spark):
     assert sorted(r.ord for r in answer.within_budget(rows, 30, F.col("size")).collect()) == [0, 1, 2]
     made = answer.prompt_messages(spark.createDataFrame([("t", "P")], "thread_id string, prompt string"), spark.createDataFrame([("t", 3, "user", "h"), ("z", 1, "user", "no")], "thread_id string, turn int, role string, content string"), "S")
     assert [(r.role, r.content) for r in made.orderBy("ord").collect()] == [("system", "S"), ("user", "h"), ("user", "P")]
+
+
+def test_knn_searches_questions_of_every_vector_size(spark):
+    unit = lambda n, i: [float(i == j) for j in range(n)]
+    chunks = spark.createDataFrame([(10 * n + i, unit(n, i)) for n in (3, 4) for i in range(n)], "chunk_id long, embedding array<double>")
+    # One stray vector comes first; none of another size, of no size or null may take others with it.
+    rows = [(100, unit(3, 1)), *((200 + i, unit(4, i)) for i in range(4)), (300, unit(7, 0)), (301, []), (302, None), (101, unit(3, 2))]
+    questions = spark.createDataFrame(rows, "question_id long, embedding array<double>").coalesce(1)
+    got = {r.question_id: r.chunk_id for r in retrieve.knn(questions, chunks, 1).collect()}
+    assert got == {100: 31, 101: 32, **{200 + i: 40 + i for i in range(4)}}
+    assert {tuple(r) for r in retrieve.unsearchable(questions, chunks).collect()} == {(300, 7), (301, 0), (302, 0)}
