@@ -114,7 +114,7 @@ class Store:
         return runs.join(now, "run").select("path", "shard", "run")
 
     def compact(self) -> int:
-        """Rounds of merging until no tier is crowded; each round commits a version and then removes the files it replaced."""
+        """Rounds of merging until no tier is crowded; each round commits a version. Older versions stay readable until expire()."""
         while True:
             version = self.version()
             shards = self.manifest(version)
@@ -134,12 +134,27 @@ class Store:
                     self.commit(kept.unionByName(self._written(folder, last)), version + 1)
                 except Conflict:
                     continue
-                for path in paths:
-                    self.files.delete(self._path(path), False)
                 self.jvm.System.gc()  # lets Spark delete the round's shuffle files
             finally:
                 plan.unpersist()
 
+    def expire(self, keep_versions: int = 1) -> None:
+        """Removes all but the newest versions, first from the list and then the files that no kept one names.
+
+        Readers of a removed version fail from then on, so it should be older than any reader.
+        """
+        if keep_versions < 1:
+            raise ValueError("keep_versions must be 1 at least")
+        folder = self._path(f"{self.root}/manifest")
+        listed = sorted(int(s.getPath().getName()[2:]) for s in self.files.listStatus(folder) if s.getPath().getName().startswith("v=")) if self.files.exists(folder) else []
+        shards = lambda versions: {r.path for v in versions for r in self.manifest(v).select("path").toLocalIterator()}  # noqa: E731  one a shard, not a row
+        old = listed[:-keep_versions]
+        gone = shards(old) - shards(listed[-keep_versions:])
+        for v in old:
+            self.files.delete(self._path(f"{self.root}/manifest/v={v:08d}"), True)
+        for path in gone:
+            self.files.delete(self._path(path), False)
+
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, with their shard number in `__shard`."""
         shards = self.manifest(version)

@@ -30,3 +30,23 @@ def test_summary_and_empty(edge, empty):
     got = shards.summary(edge).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in edge.collect())
     assert shards.summary(empty).count() == 0
+
+
+def test_versions_stay_readable_until_they_expire(spark, documents, tmp_path):
+    docs = documents.select("doc_id", "text")
+    store = shards.Store(spark, f"file://{tmp_path}/store", target_bytes=200_000, fan_in=3)
+    parts = docs.randomSplit([1.0] * 4, seed=1)
+    for p in parts:
+        store.append(p.coalesce(2))
+    want = {v: store.read(v).count() for v in range(1, 5)}
+    last = store.compact()
+    assert last > 4
+    for v in range(1, last + 1):
+        assert store.read(v).count() == want.get(v, docs.count())
+    store.expire(keep_versions=2)
+    assert store.read(last - 1).count() == store.read().count() == docs.count()
+    store.expire()
+    assert store.version() == last
+    assert store.read().select("doc_id", "text").exceptAll(docs).count() == 0 and store.read().count() == docs.count()
+    assert len(list(tmp_path.glob("store/shards/**/*.parquet"))) == store.manifest().count()
+    assert [p.name for p in tmp_path.glob("store/manifest/v=*")] == [f"v={last:08d}"]
