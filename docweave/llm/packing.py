@@ -1,28 +1,33 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
-Bulk-synchronous best-fit. Pieces are ordered by length, and ranked within a
-length by a salted two-level count, so that no length is numbered in one task.
-A round takes all pieces of the greatest remaining length at once: a sweep over
-the gaps in order of size finds each piece's successor (the smallest gap that
-holds it), the rank within the length decides which piece gets which gap, the
-gaps shrink, and the round repeats until the length is used up. Pieces of one
-length are interchangeable, so a sweep needs only how many pieces and gaps
-there are of each size: at most `capacity` numbers of each, whatever the
-corpus. Texts, tokens and pieces never leave the executors.
+Bulk-synchronous best-fit. Pieces are taken in classes of halving length, the
+longest first. In a round, the pieces of a class and the gaps of the open
+sequences are sorted together by size into ranges; a gap that can hold several
+pieces of the class stands in the sort with a slot for each. Each task sweeps
+its range: going up, a slot takes the largest piece below it that no smaller
+slot took, so a piece goes to its successor among the free slots. What a sweep
+leaves over at the edges of its range is matched across ranges by rank: the
+n-th slot left there belongs to the n-th piece left below. Then the gaps shrink
+by what they took and the round repeats, until the class is used up; where no
+gap can hold any of its pieces, as many sequences are opened as they need at
+least.
+
+All rows stay on the executors. The driver sees how many rows each range left
+over and how many gaps there are of each size.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import pieces, prefix_hash, range_hash, staged
+from .text import discard, pieces, same_bytes, staged, word_hashes
 
 CAPACITY = 1024
 EOS = 2
@@ -57,24 +62,29 @@ class Chunks:
 
     def clear(self) -> None:
         self.at: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def add(self, keys: list[int], texts: list[str]) -> None:
-        encoded = [self.encode(t) for t in texts]
-        n, sizes = len(self.at), np.fromiter(map(len, encoded), np.int64, len(encoded))
-        total = int(sizes.sum())
-        while n + len(keys) > len(self.start):
-            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
+        self.n = self.used = self.used_raw = 0
+        self.ids, self.raw = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint8)
+        self.start, self.size, self.raw_start, self.raw_size = (np.zeros(1 << 14, np.int64) for _ in range(4))
+
+    def add(self, texts: list[bytes]) -> np.ndarray:
+        """Tokenises chunks and remembers them with their bytes; their numbers."""
+        encoded = [self.encode(t.decode()) for t in texts]
+        sizes, lengths = np.fromiter(map(len, encoded), np.int64, len(encoded)), np.fromiter(map(len, texts), np.int64, len(texts))
+        total, total_raw = int(sizes.sum()), int(lengths.sum())
+        while self.n + len(texts) > len(self.start):
+            self.start, self.size, self.raw_start, self.raw_size = (np.concatenate([x, x]) for x in (self.start, self.size, self.raw_start, self.raw_size))
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
+        while self.used_raw + total_raw > len(self.raw):
+            self.raw = np.concatenate([self.raw, self.raw])
         self.ids[self.used : self.used + total] = np.fromiter((i for e in encoded for i in e), np.uint32, total)
-        self.size[n : n + len(keys)] = sizes
-        self.start[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
-        self.at.update(zip(keys, range(n, n + len(keys))))
+        self.raw[self.used_raw : self.used_raw + total_raw] = np.frombuffer(b"".join(texts), np.uint8)
+        own = np.arange(self.n, self.n + len(texts))
+        self.size[own], self.raw_size[own] = sizes, lengths
+        self.start[own] = self.used + np.cumsum(sizes) - sizes
+        self.raw_start[own] = self.used_raw + np.cumsum(lengths) - lengths
+        self.n, self.used, self.used_raw = self.n + len(texts), self.used + total, self.used_raw + total_raw
+        return own
 
     def tokens(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a slice, one after another, and each row's first id (one entry more than rows)."""
@@ -87,18 +97,22 @@ class Chunks:
         cut[off[:-1][off[:-1] < off[1:]]] = True
         starts = np.flatnonzero(cut)
         ends = np.r_[starts[1:], len(buf)]
-        key, first, which = np.unique(range_hash(prefix_hash(buf), starts, ends), return_index=True, return_inverse=True)
+        key, first, which = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
         if len(self.at) > _CACHED:
             self.clear()
         known = np.fromiter((self.at.get(k, -1) for k in key.tolist()), np.int64, len(key))
         new = np.flatnonzero(known < 0)
+        raw = buf.tobytes()
+        texts = lambda at: [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         if len(new):
-            raw = buf.tobytes()
-            i, j = starts[first[new]].tolist(), ends[first[new]].tolist()
-            n = len(self.at)
-            self.add(key[new].tolist(), [raw[a:b].decode() for a, b in zip(i, j)])
-            known[new] = np.arange(n, n + len(new))
+            known[new] = self.add(texts(first[new]))
+            self.at.update(zip(key[new].tolist(), known[new].tolist()))
         chunk = known[which]
+        # A hash only finds a chunk; its bytes decide.
+        length = ends - starts
+        other = np.flatnonzero((self.raw_size[chunk] != length) | ~same_bytes(buf, starts, self.raw, self.raw_start[chunk], np.minimum(length, self.raw_size[chunk])))
+        if len(other):
+            chunk[other] = self.add(texts(other))
         size = self.size[chunk]
         reach = np.cumsum(size)
         ids = self.ids[np.arange(reach[-1]) + np.repeat(self.start[chunk] - (reach - size), size)]
@@ -142,77 +156,137 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str, pattern: str,
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
-    """Runs (length, first rank, first sequence, offset): the pieces of a length from that rank on, until the next run of
-    the length, go to consecutive sequences at that offset."""
-    runs: list[tuple[int, int, int, int]] = []
-    gaps: list[int] = []  # sizes of open gaps, in order
-    open_at: dict[int, list[tuple[int, int]]] = {}  # (first sequence, how many) by size
-
-    def leave(size: int, first: int, n: int) -> None:
-        if size:
-            if size not in open_at:
-                insort(gaps, size)
-            open_at.setdefault(size, []).append((first, n))
-
-    sequences = 0
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            near = bisect_left(gaps, length)
-            if near == len(gaps):
-                new = max(1, left // (capacity // length))
-                leave(capacity, sequences, new)
-                sequences += new
-                continue
-            size = gaps[near]
-            first, n = open_at[size].pop()
-            if not open_at[size]:
-                del open_at[size], gaps[near]
-            take = min(n, left)
-            runs.append((length, rank, first, capacity - size))
-            leave(size - length, first, take)
-            leave(size, first + take, n - take) if n > take else None
-            rank, left = rank + take, left - take
-    return runs
-
-
-def packed(parts: DataFrame, capacity: int = CAPACITY, rows_a_salt: int = 200_000) -> DataFrame:
-    """The pieces with sequence_id and offset. parts has to give the same rows when read again (a written table)."""
-    total = parts.count()
-    salts = max(8, -(-total // rows_a_salt))
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = best_fit(counts, capacity)
-    key = np.array([length << 48 | rank for length, rank, _, _ in runs], np.int64)
-    order = np.argsort(key)
-    key = key[order]
-    sequence = np.array([r[2] for r in runs], np.int64)[order]
-    offset = np.array([r[3] for r in runs], np.int64)[order]
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    base = sizes.select("length", "salt", F.coalesce(before, F.lit(0)).alias("base"))
-    order_in = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("nth", F.row_number().over(order_in)).join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("nth") - 1).drop("salt", "nth", "base")
-    columns = [c for c in parts.columns]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rank = batch.column(len(columns)).to_numpy()
-            length = batch.column(columns.index("length")).to_numpy()
-            run = np.searchsorted(key, length << 48 | rank, "right") - 1
-            seq = sequence[run] + rank - (key[run] & ((1 << 48) - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(seq), pa.array(offset[run])], [*columns, "sequence_id", "offset"])
+def matched(size: np.ndarray, is_slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pieces and slots in order of size, pieces before slots of their size: (pieces and the slots that take them, slots
+    left in order, pieces left from the largest down). A slot takes the last free piece before it, as a closing bracket does."""
+    depth = np.cumsum(np.where(is_slot, -1, 1))
+    level = depth + is_slot
+    order = np.argsort(level, kind="stable")
+    pair = np.flatnonzero(~is_slot[order[:-1]] & is_slot[order[1:]] & (level[order[:-1]] == level[order[1:]])) if len(order) else np.zeros(0, np.int64)
+    piece, slot = order[pair], order[pair + 1]
+    free = np.ones(len(size), bool)
+    free[piece] = free[slot] = False
+    return piece, slot, np.flatnonzero(free & is_slot), np.flatnonzero(free & ~is_slot)[::-1]
+
+
+_SWEPT = "part int, pid long, length int, seq long, slot int, rank long"
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(size, is_slot, key, slot) of a range in order -> matches, and with a null on one side what is left."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    size, is_slot, key, nth = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in batches]) for k in range(4))
+    piece, slot, slots_left, pieces_left = matched(size, is_slot)
+    part = TaskContext.get().partitionId()
+
+    def rows(p, s, rank):
+        n = len(s) if p is None else len(p)
+        none = lambda kind: pa.nulls(n, kind)
+        of_piece = [none(pa.int64()), none(pa.int32())] if p is None else [pa.array(key[p]), pa.array(size[p].astype(np.int32))]
+        of_slot = [none(pa.int64()), none(pa.int32())] if s is None else [pa.array(key[s]), pa.array(nth[s].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), *of_piece, *of_slot, pa.array(rank) if rank is not None else none(pa.int64())], [x.split()[0] for x in _SWEPT.split(", ")])
+
+    yield rows(piece, slot, None)
+    yield rows(None, slots_left, np.arange(len(slots_left)))
+    yield rows(pieces_left, None, np.arange(len(pieces_left)))
+
+
+def across(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(range of the slots, first rank, end, range of the pieces, what to add to a slot's rank) from (range, slots left, pieces
+    left) of each range in order: slots take what lower ranges left, the nearest first."""
+    waiting: list[list[int]] = []  # [range, next rank, pieces]
+    out = []
+    for part, slots, own in sorted(left):
+        at = 0
+        while at < slots and waiting:
+            below = waiting[-1]
+            n = min(slots - at, below[2])
+            out.append((part, at, at + n, below[0], below[1] - at))
+            at, below[1], below[2] = at + n, below[1] + n, below[2] - n
+            if not below[2]:
+                waiting.pop()
+        if own:
+            waiting.append([part, 0, own])
+    return out
+
+
+#: Rows of a range, and the length up to which pieces are one class.
+ROWS_A_TASK = 200_000
+LAST_CLASS = 16
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
-    return ranked.select(*columns, "rank").mapInArrow(place, schema) if runs else parts.selectExpr("*", "0L sequence_id", "0L offset")
+def packed(parts: DataFrame, capacity: int = CAPACITY, rows_a_task: int | None = None) -> DataFrame:
+    """The pieces with sequence_id and offset. parts is a written table with a number `pid` for each piece."""
+    spark, tasks = parts.sparkSession, lambda n: max(1, -(-n // (rows_a_task or ROWS_A_TASK)))
+    # Of the longest pieces no two share a sequence, so each opens its own, named by the piece; those opened later count down from -1.
+    long = parts.filter(F.col("length") > capacity // 2)
+    placed = [long.select("pid", F.col("pid").alias("seq"), F.lit(0).alias("offset"))]
+    gaps = staged(long.select(F.col("pid").alias("seq"), (capacity - F.col("length")).cast("int").alias("room")).filter("room > 0"), "gaps")
+    opened, hi = 0, capacity // 2
+    while hi:
+        lo = hi // 2 if hi > LAST_CLASS else 0
+        waiting = parts.filter((F.col("length") > lo) & (F.col("length") <= hi)).select("pid", F.col("length").cast("int").alias("length"))
+        n_waiting, total = waiting.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        stuck = False
+        while n_waiting:
+            rooms = {r["room"]: r["n"] for r in gaps.filter(F.col("room") > lo).groupBy("room").agg(F.count("*").alias("n")).collect()}
+            if not rooms or stuck:
+                # As many new sequences as the pieces need at least.
+                more = max(-(-total // capacity), -(-n_waiting // (capacity // (lo + 1))))
+                fresh = spark.range(opened, opened + more).select((-1 - F.col("id")).alias("seq"), F.lit(capacity).alias("room"))
+                gaps, old = staged(gaps.unionByName(fresh), "gaps"), gaps
+                discard(old)
+                opened += more
+                rooms[capacity] = rooms.get(capacity, 0) + more
+            # Gaps that any piece of the class fits are offered from the smallest up, until they have a slot for each piece.
+            most, n_slots = hi - 1, sum(n for room, n in rooms.items() if room < hi)
+            sure = 0
+            for room in sorted(r for r in rooms if r >= hi):
+                if sure >= n_waiting:
+                    break
+                most, sure = room, sure + rooms[room] * (room // hi)
+            offered = gaps.filter((F.col("room") > lo) & (F.col("room") <= most)).withColumn("slots", F.greatest(F.lit(1), F.floor(F.col("room") / hi)).cast("int"))
+            slot = offered.select("seq", "room", "slots", F.explode(F.sequence(F.lit(1), F.col("slots"))).alias("slot"))
+            size = F.least(F.lit(hi), F.when(F.col("slot") < F.col("slots"), F.lit(hi)).otherwise(F.col("room") - (F.col("slots") - 1) * hi))
+            both = waiting.select(F.col("length").alias("size"), F.lit(False).alias("is_slot"), F.col("pid").alias("key"), F.lit(0).alias("slot")).unionByName(slot.select(size.cast("int").alias("size"), F.lit(True).alias("is_slot"), F.col("seq").alias("key"), "slot"))
+            order = ["size", "is_slot", "key", "slot"]
+            swept = staged(both.repartitionByRange(tasks(n_waiting + n_slots + sure), *order).sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT), "swept")
+            left = swept.filter("rank is not null").groupBy("part").agg(F.count("seq").alias("slots"), F.count("pid").alias("pieces"))
+            links = across([tuple(r) for r in left.select("part", "slots", "pieces").collect()])
+            found = swept.filter("pid is not null and seq is not null").select("pid", "length", "seq", "slot")
+            rest = swept.filter("seq is null").select("part", "rank", "pid", "length")
+            if links:
+                link = F.broadcast(spark.createDataFrame(links, "part int, first long, end long, piece_part int, shift long"))
+                slots = swept.filter("pid is null").select("part", "rank", "seq", "slot").join(link, "part").filter("rank >= first and rank < end")
+                slots = slots.select(F.col("piece_part").alias("part"), (F.col("rank") + F.col("shift")).alias("rank"), "seq", "slot")
+                met = staged(rest.join(slots, ["part", "rank"]).select("pid", "length", "seq", "slot"), "met")
+                found, rest = found.unionByName(met), rest.join(met, "pid", "left_anti")
+            before = F.sum("length").over(Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+            now = staged(found.join(offered.select("seq", "room"), "seq").select("pid", "length", "seq", (capacity - F.col("room") + F.coalesce(before, F.lit(0))).cast("int").alias("offset")), "placed")
+            placed.append(now.drop("length"))
+            n_now, length_now = now.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+            if n_now:
+                taken = now.groupBy("seq").agg(F.sum("length").alias("taken"))
+                gaps, old = staged(gaps.join(taken, "seq", "left").select("seq", (F.col("room") - F.coalesce("taken", F.lit(0))).cast("int").alias("room")).filter("room > 0"), "gaps"), gaps
+                discard(old)
+            n_waiting, total, stuck = n_waiting - n_now, total - length_now, not n_now
+            waiting = staged(rest.select("pid", "length"), "waiting") if n_waiting else waiting
+        hi = lo
+    where = placed[0]
+    for more in placed[1:]:
+        where = where.unionByName(more)
+    return parts.join(where, "pid").select(*(c for c in parts.columns if c != "pid"), F.col("seq").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
 
 
 def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, capacity: int = CAPACITY, eos: int = EOS) -> DataFrame:
     """Pieces of all documents with the sequence and offset each is placed at.
 
     Null and empty texts are one piece that holds only `eos`. Rows with equal
-    ids are packed each on their own; an empty table gives no rows. Only
-    doc_id and text are read.
+    ids, or without id, are packed each on their own; of equal lengths any may
+    come first; a very long text is tokenised whole, in one task; an empty
+    table gives no rows. Only doc_id and text are read.
     """
-    return packed(staged(token_pieces(docs, json_path, ranks_path, pattern, capacity, eos), "pieces"), capacity)
+    parts = token_pieces(docs, json_path, ranks_path, pattern, capacity, eos)
+    return packed(staged(parts.withColumn("pid", F.monotonically_increasing_id()), "pieces"), capacity)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import minimizers, mixed, pieces, prefix_hash, range_hash, signed, staged, text_id
+from .text import blocks, minimizers, mixed, pieces, sequence_hash, signed, staged, text_id, wide_hashes
 
 MIN_LENGTH = 400
 GRAM = 96
@@ -45,11 +45,15 @@ def _ends(off: np.ndarray) -> np.ndarray:
     return np.repeat(off[1:], np.diff(off))
 
 
+def _grams(buf: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of GRAM bytes."""
+    return sequence_hash(mixed(blocks(buf)[: len(buf) - 7]), GRAM // 8, step=8)
+
+
 def _samples(string: bytes, min_length: int) -> set[int]:
     """Where suffixes are sampled in every occurrence of the string, whatever stands around it."""
     buf = np.frombuffer(string, np.uint8)
-    at = np.arange(len(buf) - GRAM + 1)
-    h = range_hash(prefix_hash(buf), at, at + GRAM)
+    h = _grams(buf)
     return set(minimizers(h, min_length - GRAM + 1, np.ones(len(h), bool)).tolist())
 
 
@@ -63,16 +67,13 @@ def _sampled(min_length: int):
         for batch in batches:
             t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi, buf, off in pieces(batch.column(2), 1 << 19):
-                n = len(buf) - GRAM + 1
-                if n < 1:
+                if len(buf) < min_length:
                     continue
-                prefix, at = prefix_hash(buf), np.arange(n)
-                h = range_hash(prefix, at, at + GRAM)
+                h = _grams(buf)
                 at = minimizers(h, min_length - GRAM + 1, np.arange(len(buf)) + min_length <= _ends(off))
                 row = np.searchsorted(off, at, "right") - 1
                 a, b = _bounds(off, row, at, min_length)
-                c1 = mixed(range_hash(prefix, a, b) ^ (at - a).astype(np.uint64))
-                c2 = mixed(range_hash(prefix, a, at) * np.uint64(3) ^ range_hash(prefix, at, b))
+                c1, c2 = wide_hashes(buf.tobytes(), a, b, at - a).T
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])), pa.array(signed(c1)), pa.array(signed(c2)), pa.array(t1[lo:hi][row]), pa.array(t2[lo:hi][row]), pa.array((at - off[row]).astype(np.int32)), pa.array((at - a).astype(np.int32)), pa.array((b - at).astype(np.int32))], ["h", "c1", "c2", "t1", "t2", "p", "l", "r"])
 
     return run
@@ -233,9 +234,8 @@ def _strings(min_length: int):
             for h, c1, c2, n, left, right in zip(*(c.to_pylist() for c in batch.columns)):
                 buf = np.frombuffer(left + right, np.uint8)
                 at = np.arange(len(buf) - min_length + 1)
-                prefix = prefix_hash(buf)
-                k1 = range_hash(prefix, at, at + min_length)
-                k2 = mixed(range_hash(prefix, at, at + min_length // 2) * np.uint64(5) ^ range_hash(prefix, at + min_length // 3, at + min_length))
+                each = mixed(buf.astype(np.uint64) + np.uint64(1))
+                k1, k2 = sequence_hash(each, min_length, 1), sequence_hash(each, min_length, 2)
                 same = lambda x: pa.array(np.full(len(at), x))
                 yield pa.RecordBatch.from_arrays([pa.array(signed(k1)), pa.array(signed(k2)), same(h), same(c1), same(c2), same(n), pa.array((len(left) - at).astype(np.int32)), pa.array((at + min_length - len(left)).astype(np.int32))], ["k1", "k2", "h", "c1", "c2", "n", "l", "r"])
 

@@ -8,21 +8,20 @@ that is longer than a slice) and no Python code runs per character.
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_rng = np.random.Generator(np.random.PCG64(7))
-_BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -46,17 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str, free: bool = False) -> DataFrame:
-    """df written as a table in the shared folder and read again: computed once, lineage cut, safe against lost executors.
-
-    With `free`, the driver collects its garbage, which lets Spark delete the
-    shuffle files of what was written.
-    """
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read again: computed once, lineage cut, safe against lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if free:
-        time.sleep(1)  # until Spark has let go of the query that wrote
-        df.sparkSession.sparkContext._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -133,14 +125,38 @@ def text_id() -> list[Column]:
     return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
 
 
-def powers(n: int, sign: int = 1) -> np.ndarray:
-    """Powers 0..n-1 of the hash base (sign 1) or of its inverse (sign -1), modulo 2**64."""
-    have = _powers[sign]
-    while len(have) < n:
-        step = np.uint64(int(have[-1]) * int(_BASE if sign > 0 else _INVERSE) % (1 << 64))
-        have = np.concatenate([have, have * step])
-    _powers[sign] = have
-    return have[:n]
+#: Cells of the bitmap of may_be_in(): 8 MB at most, whatever the keys.
+_CELLS = 1 << 26
+
+
+def may_be_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """rows with __may: false where the hash in `column` is surely not among those of keys, so that such rows need not be
+    shuffled to meet them. A bitmap of a fixed size is broadcast; the more keys, the more rows it lets through."""
+    cell = F.pmod(F.col(column), F.lit(_CELLS)) + 1
+    bits = keys.select(F.bitmap_bucket_number(cell).alias("__bucket"), F.bitmap_bit_position(cell).alias("__at")).groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+    met = rows.withColumn("__bucket", F.bitmap_bucket_number(cell)).join(F.broadcast(bits), "__bucket", "left")
+    at = F.bitmap_bit_position(cell)
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.withColumn("__may", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("__bucket", "__bits")
+
+
+#: A key with more rows than this, and than a thousandth of all, is dealt to SALTS tasks in meet().
+HOT_ROWS = 4096
+SALTS = 128
+
+
+def meet(rows: DataFrame, keys: DataFrame, on: list[str], count: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with distinct keys (a staged table) whose column `count` says how many rows have the key.
+
+    Keys with very many rows, of which there are at most a thousand, are dealt to several tasks by a salt from the
+    columns `spread` of the rows; so a key that a third of all rows have doesn't end in one task.
+    """
+    total = keys.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = keys.filter(F.col(count) > max(HOT_ROWS, total // 1000)).select(*on).withColumn("__hot", F.lit(True))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).drop("__hot")
+    copies = keys.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).otherwise(F.array(F.lit(0).cast("bigint"))))).drop("__hot")
+    return dealt.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -152,48 +168,66 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums from which range_hash() takes the hash of any byte range."""
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[buf] * powers(len(buf)), out=out[1:])
-    return out
-
-
-def prefix_sum(values: np.ndarray) -> np.ndarray:
-    """As prefix_hash(), of 64-bit values; sum_hash() takes the hash of any range."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values)), out=out[1:])
-    return out
-
-
-def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mixed((prefix[ends] - prefix[starts]) * powers(len(prefix), -1)[starts])
-
-
-sum_hash = range_hash
+def blocks(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each byte as a number; zeros follow the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hash(prefix_hash(buf), starts, ends)
-
-
-def sequence_hash(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """Hashes of all runs of k consecutive entries of h (len(h) - k + 1 of them)."""
-    n = len(h) - k + 1
+    """64-bit hashes of byte ranges. Each block of eight bytes passes through mixed(), so ranges of up to eight bytes
+    collide with none of their own length, and no pattern of bytes cancels out as it does in a sum of powers."""
+    size = ends - starts
+    h = mixed(size.astype(np.uint64) * _FACTOR)
+    wide = blocks(buf)
+    at = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    for k in range(0, LONG_WORD, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        h[at] = mixed(h[at] ^ (wide[starts[at] + k] & _FIRST_BYTES[np.minimum(size[at] - k, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes())
+    return h
+
+
+def same_bytes(one: np.ndarray, a: np.ndarray, two: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes from a on in one equal those from b on in two, for each entry."""
+    left, right = blocks(one), blocks(two)
+    same, at, k = np.ones(len(size), bool), np.arange(len(size)), 0
+    while len(at):
+        at = at[size[at] > k]
+        mask = _FIRST_BYTES[np.minimum(size[at] - k, 8)]
+        bad = ((left[a[at] + k] ^ right[b[at] + k]) & mask) != 0
+        same[at[bad]] = False
+        at = at[~bad]
+        k += 8
+    return same
+
+
+def wide_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """(n, 2) halves of 128-bit hashes of byte ranges, for ranges that are few beside the bytes."""
+    digest = xxhash.xxh3_128_digest
+    each = [digest(raw[a:b], seed) for a, b, seed in zip(starts.tolist(), ends.tolist(), seeds.tolist())]
+    return np.frombuffer(b"".join(each), "<u8").reshape(-1, 2)
+
+
+def sequence_hash(h: np.ndarray, k: int, salt: int = 0, step: int = 1) -> np.ndarray:
+    """Hashes of all runs of k entries of h that stand `step` apart; every joint of two parts is mixed."""
+    n = len(h) - (k - 1) * step
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base = np.uint64((0xC2B2AE3D27D4EB4F + 2 * salt * 0x9E3779B97F4A7C15) % (1 << 64) | 1)
-    done, width = h.copy() if not salt else mixed(h ^ np.uint64(salt)), 1
-    out, at = None, 0
-    bits = k
+    done, width = mixed(h ^ np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))) if salt else h, 1
+    out, at, bits = None, 0, k
     while bits:
         if bits & 1:
-            part = done[at : at + n]
-            out = part.copy() if out is None else out * np.uint64(pow(int(base), width, 1 << 64)) + part
+            part = done[at * step : at * step + n]
+            out = part if out is None else mixed(out * _FACTOR + part)
             at += width
         bits >>= 1
         if bits:
-            done = done[:-width] * np.uint64(pow(int(base), width, 1 << 64)) + done[width:]
+            done = mixed(done[: -width * step] * _FACTOR + done[width * step :])
             width *= 2
     return mixed(out)
 

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docweave.llm import packing, queries
@@ -50,24 +51,82 @@ def test_edges(spark, edge, empty, tokenizer):
     check(odd, queries.pack_documents(odd).collect(), tokenizer)
 
 
-def test_best_fit_equals_one_by_one():
-    rng = np.random.default_rng(5)
-    lengths = rng.integers(1, 101, 3000).tolist()
-    counts = {n: lengths.count(n) for n in set(lengths)}
+def best_fit_decreasing(lengths, capacity):
     gaps = []
     for n in sorted(lengths, reverse=True):
         fits = [(g, i) for i, g in enumerate(gaps) if g >= n]
         if fits:
             gaps[min(fits)[1]] -= n
         else:
-            gaps.append(100 - n)
-    runs = packing.best_fit(counts, 100)
-    by_length = defaultdict(list)
-    for length, rank, first, offset in runs:
-        by_length[length].append((rank, first, offset))
-    used = set()
-    for length, n in counts.items():
-        each = sorted(by_length[length])
-        for (rank, first, _), stop in zip(each, [r[0] for r in each[1:]] + [n]):
-            used |= set(range(first, first + stop - rank))
-    assert len(used) == len(gaps)
+            gaps.append(capacity - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("kind, rows_a_task", [("even", 150), ("short", 100_000), ("half", 150)])
+def test_rounds_fill_about_as_well_as_one_by_one(spark, kind, rows_a_task):
+    from docweave.llm.text import staged
+
+    rng = np.random.default_rng(5)
+    lengths = {"even": rng.integers(1, 101, 800), "short": np.minimum(100, rng.geometric(0.1, 800)), "half": rng.integers(45, 56, 400)}[kind].tolist()
+    rows = [(i, int(n)) for i, n in enumerate(lengths)]
+    parts = staged(spark.createDataFrame(rows, "pid long, length long").repartition(3), "parts").withColumn("name", -F.col("pid"))
+    got = packing.packed(parts, 100, rows_a_task).collect()
+    room = defaultdict(list)
+    for r in got:
+        room[r.sequence_id].append((r.offset, r.length))
+    assert sorted((-r.name, r.length) for r in got) == rows
+    for placed in room.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= 100
+    assert len(room) <= best_fit_decreasing(lengths, 100) * 1.03 + 1
+
+
+def test_a_slot_takes_the_largest_free_piece_below_it():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 50, 400):
+        rows = sorted(zip(rng.integers(1, 30, n).tolist(), (rng.random(n) < 0.5).tolist()))
+        size, is_slot = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], bool)
+        stack, pairs, slots = [], set(), []
+        for i, (_, closes) in enumerate(rows):
+            if not closes:
+                stack.append(i)
+            elif stack:
+                pairs.add((stack.pop(), i))
+            else:
+                slots.append(i)
+        piece, slot, slots_left, pieces_left = packing.matched(size, is_slot)
+        assert set(zip(piece.tolist(), slot.tolist())) == pairs
+        assert slots_left.tolist() == slots and pieces_left.tolist() == stack[::-1]
+        # Cut into ranges and matched across them, the same slots and pieces are used.
+        cuts = sorted(rng.integers(0, n + 1, 5).tolist())
+        left, used = [], len(pairs)
+        inner = 0
+        for part, (a, b) in enumerate(zip([0, *cuts], [*cuts, n])):
+            p, _, s, o = packing.matched(size[a:b], is_slot[a:b])
+            inner += len(p)
+            left.append((part, len(s), len(o)))
+        assert inner + sum(e - f for _, f, e, _, _ in packing.across(left)) == used
+
+
+def test_chunks_with_one_hash_are_told_apart(spark, tokenizer, monkeypatch):
+    pattern = "a"
+    for _ in range(10):
+        pattern += pattern.translate(str.maketrans("ab", "ba"))
+    other = pattern.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"x {pattern} y"), (2, f"x {other} y"), (3, "one two"), (4, "six ten")], "doc_id long, text string")
+    check(docs, queries.pack_documents(docs).collect(), tokenizer)
+    path = public_tokenizers.path
+    chunks = packing.Chunks(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    monkeypatch.setattr(packing, "word_hashes", lambda buf, starts, ends: np.zeros(len(starts), np.uint64))
+    texts = ["one two three", "two one", "a bb ccc dddd eeeee", ""]
+    buf, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    for _ in range(2):
+        assert [x.tolist() for x in chunks.rows(buf, off)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_text_of_several_mb(spark, tokenizer):
+    docs = spark.createDataFrame([(1, "word and other words " * 150_000 + "x" * 100_000), (2, "short")], "doc_id long, text string")
+    check(docs, queries.pack_documents(docs).collect(), tokenizer)
