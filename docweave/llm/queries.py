@@ -59,7 +59,7 @@ def op9_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_stateful_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exactdedup.exact_groups(table(ready(spark), sf_dir, "documents"))
+    return exactdedup.exact_groups(table(ready(spark), sf_dir, "documents")).drop("keep_locator")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
