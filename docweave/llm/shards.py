@@ -99,8 +99,8 @@ class Store:
                 continue
 
     def plan(self, shards: DataFrame) -> DataFrame:
-        """(path, shard, run): which shards a round merges. Runs fill a target each and stay within a tier; single shards are left,
-        and what goes beyond ROUND_SHARE waits for the next round."""
+        """(path, shard, run): which shards a round merges, runs numbered from 0. Runs fill a target each and stay within a tier;
+        single shards are left, and what goes beyond ROUND_SHARE waits for the next round."""
         small = shards.filter(F.col("bytes") < self.target_bytes // 2)
         crowd = small.groupBy("tier").agg(F.count("*").alias("n")).filter(F.col("n") >= self.fan_in)
         order = Window.partitionBy("tier").orderBy("bytes", "shard")
@@ -110,8 +110,8 @@ class Store:
         # One row a run, not a shard.
         reach = F.sum("size").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
         room = shards.agg(F.sum("bytes")).first()[0] or 0
-        now = many.withColumn("before", F.coalesce(reach, F.lit(0))).filter(F.col("before") + F.col("size") <= F.greatest(F.lit(int(room * ROUND_SHARE)), F.col("size"))).select("run")
-        return runs.join(now, "run").select("path", "shard", "run")
+        now = many.withColumn("before", F.coalesce(reach, F.lit(0))).filter(F.col("before") + F.col("size") <= F.greatest(F.lit(int(room * ROUND_SHARE)), F.col("size"))).select("run", (F.row_number().over(Window.orderBy("run")) - 1).alias("number"))
+        return runs.join(now, "run").select("path", "shard", F.col("number").alias("run"))
 
     def compact(self) -> int:
         """Rounds of merging until no tier is crowded; each round commits a version. Older versions stay readable until expire()."""
@@ -127,14 +127,13 @@ class Store:
                 rows = self.spark.read.parquet(*paths)
                 tagged = rows.withColumn("__path", F.col("_metadata.file_path")).join(plan.select(F.col("path").alias("__path"), F.col("run").alias("__run")), "__path").drop("__path")
                 folder = f"{self.root}/shards/{uuid.uuid4().hex}"
-                tagged.repartition(runs, "__run").sortWithinPartitions("__run").write.partitionBy("__run").parquet(folder)
+                tagged.repartitionById(runs, F.col("__run")).write.partitionBy("__run").parquet(folder)
                 last = shards.agg(F.max("shard")).first()[0]
                 kept = shards.join(plan.select("shard"), "shard", "left_anti").drop("version")
                 try:
                     self.commit(kept.unionByName(self._written(folder, last)), version + 1)
                 except Conflict:
-                    continue
-                self.jvm.System.gc()  # lets Spark delete the round's shuffle files
+                    self.files.delete(self._path(folder), True)
             finally:
                 plan.unpersist()
 
@@ -167,9 +166,13 @@ def sharded(docs: DataFrame, root: str | None = None, **options) -> Store:
     """A store that holds docs: appended as they lie, then compacted.
 
     Null columns and texts are stored as they are; repeated rows stay repeated;
-    an empty table makes one empty shard. Columns may bear any names but those
-    that begin with two underscores.
+    a very long text stays whole, in a shard that may be larger than the target;
+    shards of equal size are merged in the order of their numbers; an empty
+    table makes one empty shard. Columns may bear any names but __path, __run
+    and __shard, which are refused.
     """
+    if {"__path", "__run", "__shard"} & set(docs.columns):
+        raise ValueError("a column bears a name that the store needs")
     spark = docs.sparkSession
     store = Store(spark, root or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", **options)
     store.append(docs)
