@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, pieces, utf8, words
+from .text import LOWER, fresh, pieces, utf8, words
 
 BUCKETS = 1 << 15
 #: A language is a candidate for a script if at least this share of its words has it.
@@ -39,7 +39,8 @@ SCRIPTS = 14
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 3 == 1
+    """Whether a row is held out of learning; one without id is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
 def _featured(buf: np.ndarray, off: np.ndarray):
@@ -215,7 +216,8 @@ _ASCII_LETTER[0x61:0x7B] = True
 def labelled(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = True, with_fit: bool = False) -> DataFrame:
     """docs with lang_pred (`und` if the text is null or has no letter, or nothing was learned), score (the predicted
     language's share of the letters, 0 for `und`) and lang_spans (runs of words of one language). Columns of docs
-    that bear these names are replaced; rows come out as they went in, however often they repeat.
+    that bear these names are replaced; rows come out as they went in, however often they repeat. Of languages that
+    tie the first by name is taken; a very long text is labelled whole, in one task.
 
     The score compares the learned languages with each other. with_fit adds what compares the text with the language:
     `fit` (mean log-likelihood of a letter's trigram in the language chosen for its word, in nats above a background
@@ -237,7 +239,7 @@ def labelled(docs: DataFrame, model: Model, text_col: str = "text", with_spans:
 
     kept = docs.select(*columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double" + ", lang_spans array<struct<first:long,n:long,lang:string>>" * with_spans + ", fit double, script_share double" * with_fit
-    return docs.select(*columns, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(text_col).cast("string").alias(fresh("__text", columns))).mapInArrow(run, schema)
 
 
 def fit_bounds(rows: DataFrame) -> DataFrame:

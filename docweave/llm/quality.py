@@ -26,8 +26,6 @@ from .text import LOWER, NOT_SPACE, pieces, staged, word_hashes, words
 TREES = 24
 DEPTH = 3
 LASSO = 0.002
-#: Tasks that the training rows are held in.
-TRAINING_PARTITIONS = 16
 
 STATISTICS = ["log_bytes", "log_words", "word_length", "upper", "digit", "symbol", "stop", "bar", "bang", "non_ascii", "distinct_words", "top_word", "line_words", "space", "word_symbol_end"]
 
@@ -130,7 +128,7 @@ def fit(rows: DataFrame, label: str = "label", seed: int = 7) -> RuleEnsemble:
     Where only one label occurs (or none), the score is constant: the share of
     label 1, smoothed by one row of each.
     """
-    rows = staged(rows.filter(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("label"), *STATISTICS).coalesce(TRAINING_PARTITIONS), "training")
+    rows = staged(rows.filter(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("label"), *STATISTICS), "training")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n, ones = sum(counts.values()), counts.get(1.0, 0)
     if len(counts) < 2:
@@ -155,7 +153,9 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc
 
     Null and empty texts have statistics of zero and are scored like any other.
     Null labels are ignored; of repeated labels of an id the mean decides, 0.5
-    counting as 1. Repeated rows get equal scores; an empty table gives no rows.
+    counting as 1. Repeated rows get equal scores; rows without id are scored and
+    teach nothing; the statistics of a very long text are taken whole, in one
+    task; an empty table gives no rows.
     """
     table = staged(statistics(docs, id_col, text_col), "statistics")
     marks = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
