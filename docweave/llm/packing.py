@@ -9,8 +9,7 @@ slot took, so a piece goes to its successor among the free slots. What a sweep
 leaves over at the edges of its range is matched across ranges by rank: the
 n-th slot left there belongs to the n-th piece left below. Then the gaps shrink
 by what they took and the round repeats, until the class is used up; where no
-gap can hold any of its pieces, as many sequences are opened as they need at
-least.
+gap can hold any of its pieces, new sequences are opened.
 
 All rows stay on the executors. The driver sees how many rows each range left
 over and how many gaps there are of each size.
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import discard, pieces, same_bytes, staged, word_hashes
+from .text import pieces, same_bytes, staged, word_hashes
 
 CAPACITY = 1024
 EOS = 2
@@ -169,15 +168,15 @@ def matched(size: np.ndarray, is_slot: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return piece, slot, np.flatnonzero(free & is_slot), np.flatnonzero(free & ~is_slot)[::-1]
 
 
-_SWEPT = "part int, pid long, length int, seq long, slot int, rank long"
+_SWEPT = "part int, pid long, length int, seq long, slot int, room int, rank long"
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(size, is_slot, key, slot) of a range in order -> matches, and with a null on one side what is left."""
+    """(size, is_slot, key, slot, room) of a range in order -> matches, and with a null on one side what is left."""
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
-    size, is_slot, key, nth = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in batches]) for k in range(4))
+    size, is_slot, key, nth, room = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in batches]) for k in range(5))
     piece, slot, slots_left, pieces_left = matched(size, is_slot)
     part = TaskContext.get().partitionId()
 
@@ -185,7 +184,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(s) if p is None else len(p)
         none = lambda kind: pa.nulls(n, kind)
         of_piece = [none(pa.int64()), none(pa.int32())] if p is None else [pa.array(key[p]), pa.array(size[p].astype(np.int32))]
-        of_slot = [none(pa.int64()), none(pa.int32())] if s is None else [pa.array(key[s]), pa.array(nth[s].astype(np.int32))]
+        of_slot = [none(pa.int64()), none(pa.int32()), none(pa.int32())] if s is None else [pa.array(key[s]), pa.array(nth[s].astype(np.int32)), pa.array(room[s].astype(np.int32))]
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), *of_piece, *of_slot, pa.array(rank) if rank is not None else none(pa.int64())], [x.split()[0] for x in _SWEPT.split(", ")])
 
     yield rows(piece, slot, None)
@@ -225,54 +224,59 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, rows_a_task: int | None =
     placed = [long.select("pid", F.col("pid").alias("seq"), F.lit(0).alias("offset"))]
     gaps = staged(long.select(F.col("pid").alias("seq"), (capacity - F.col("length")).cast("int").alias("room")).filter("room > 0"), "gaps")
     opened, hi = 0, capacity // 2
+    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     while hi:
         lo = hi // 2 if hi > LAST_CLASS else 0
         waiting = parts.filter((F.col("length") > lo) & (F.col("length") <= hi)).select("pid", F.col("length").cast("int").alias("length"))
-        n_waiting, total = waiting.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        stuck = False
+        own = {length: n for length, n in counts.items() if lo < length <= hi}
+        n_waiting, total, least = sum(own.values()), sum(length * n for length, n in own.items()), min(own, default=0)
+        tight = True
         while n_waiting:
-            rooms = {r["room"]: r["n"] for r in gaps.filter(F.col("room") > lo).groupBy("room").agg(F.count("*").alias("n")).collect()}
-            if not rooms or stuck:
-                # As many new sequences as the pieces need at least.
-                more = max(-(-total // capacity), -(-n_waiting // (capacity // (lo + 1))))
-                fresh = spark.range(opened, opened + more).select((-1 - F.col("id")).alias("seq"), F.lit(capacity).alias("room"))
-                gaps, old = staged(gaps.unionByName(fresh), "gaps"), gaps
-                discard(old)
+            rooms = {r["room"]: r["n"] for r in gaps.filter(F.col("room") >= least).groupBy("room").agg(F.count("*").alias("n")).collect()}
+            if not rooms:
+                # As many new sequences as the pieces need at least; for what these leave over, one for each slot that is missing.
+                more = max(-(-total // capacity), -(-n_waiting // (capacity // (lo + 1)))) if tight else -(-n_waiting // (capacity // hi))
+                tight = False
+                fresh = spark.range(opened, opened + more, numPartitions=tasks(more)).select((-1 - F.col("id")).alias("seq"), F.lit(capacity).alias("room"))
+                gaps = gaps.unionByName(fresh)
                 opened += more
-                rooms[capacity] = rooms.get(capacity, 0) + more
+                rooms[capacity] = more
             # Gaps that any piece of the class fits are offered from the smallest up, until they have a slot for each piece.
-            most, n_slots = hi - 1, sum(n for room, n in rooms.items() if room < hi)
-            sure = 0
+            most, n_slots, sure = hi - 1, sum(n for room, n in rooms.items() if room < hi), 0
             for room in sorted(r for r in rooms if r >= hi):
                 if sure >= n_waiting:
                     break
                 most, sure = room, sure + rooms[room] * (room // hi)
-            offered = gaps.filter((F.col("room") > lo) & (F.col("room") <= most)).withColumn("slots", F.greatest(F.lit(1), F.floor(F.col("room") / hi)).cast("int"))
+            offered = gaps.filter((F.col("room") >= least) & (F.col("room") <= most)).withColumn("slots", F.greatest(F.lit(1), F.floor(F.col("room") / hi)).cast("int"))
             slot = offered.select("seq", "room", "slots", F.explode(F.sequence(F.lit(1), F.col("slots"))).alias("slot"))
             size = F.least(F.lit(hi), F.when(F.col("slot") < F.col("slots"), F.lit(hi)).otherwise(F.col("room") - (F.col("slots") - 1) * hi))
-            both = waiting.select(F.col("length").alias("size"), F.lit(False).alias("is_slot"), F.col("pid").alias("key"), F.lit(0).alias("slot")).unionByName(slot.select(size.cast("int").alias("size"), F.lit(True).alias("is_slot"), F.col("seq").alias("key"), "slot"))
+            both = waiting.select(F.col("length").alias("size"), F.lit(False).alias("is_slot"), F.col("pid").alias("key"), F.lit(0).alias("slot"), F.lit(0).alias("room")).unionByName(slot.select(size.cast("int").alias("size"), F.lit(True).alias("is_slot"), F.col("seq").alias("key"), "slot", "room"))
             order = ["size", "is_slot", "key", "slot"]
-            swept = staged(both.repartitionByRange(tasks(n_waiting + n_slots + sure), *order).sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT), "swept")
-            left = swept.filter("rank is not null").groupBy("part").agg(F.count("seq").alias("slots"), F.count("pid").alias("pieces"))
-            links = across([tuple(r) for r in left.select("part", "slots", "pieces").collect()])
-            found = swept.filter("pid is not null and seq is not null").select("pid", "length", "seq", "slot")
+            n = tasks(n_waiting + n_slots + sure)
+            ranges = both.repartitionByRange(n, *order) if n > 1 else both.coalesce(1)
+            swept = staged(ranges.sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT), "swept")
+            left = swept.groupBy("part").agg(F.count_if(F.col("pid").isNull()).alias("slots"), F.count_if(F.col("seq").isNull()).alias("pieces"), F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.expr("seq is not null"), F.col("length"))), F.lit(0)).alias("length"), F.min(F.when(F.expr("seq is null"), F.col("length"))).alias("least"))
+            left = left.collect()
+            links = across([(r["part"], r["slots"], r["pieces"]) for r in left])
+            n_now, length_now = sum(r["n"] - r["slots"] - r["pieces"] for r in left), sum(r["length"] for r in left)
+            least = min((r["least"] for r in left if r["pieces"]), default=0)
+            found = swept.filter("pid is not null and seq is not null").select("pid", "length", "seq", "slot", "room")
             rest = swept.filter("seq is null").select("part", "rank", "pid", "length")
             if links:
                 link = F.broadcast(spark.createDataFrame(links, "part int, first long, end long, piece_part int, shift long"))
-                slots = swept.filter("pid is null").select("part", "rank", "seq", "slot").join(link, "part").filter("rank >= first and rank < end")
-                slots = slots.select(F.col("piece_part").alias("part"), (F.col("rank") + F.col("shift")).alias("rank"), "seq", "slot")
-                met = staged(rest.join(slots, ["part", "rank"]).select("pid", "length", "seq", "slot"), "met")
+                slots = swept.filter("pid is null").select("part", "rank", "seq", "slot", "room").join(link, "part").filter("rank >= first and rank < end")
+                slots = slots.select(F.col("piece_part").alias("part"), (F.col("rank") + F.col("shift")).alias("rank"), "seq", "slot", "room")
+                met = staged(rest.join(slots, ["part", "rank"]).select("pid", "length", "seq", "slot", "room"), "met")
+                more_now, more_length = met.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+                n_now, length_now = n_now + more_now, length_now + more_length
                 found, rest = found.unionByName(met), rest.join(met, "pid", "left_anti")
             before = F.sum("length").over(Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-            now = staged(found.join(offered.select("seq", "room"), "seq").select("pid", "length", "seq", (capacity - F.col("room") + F.coalesce(before, F.lit(0))).cast("int").alias("offset")), "placed")
+            now = staged(found.select("pid", "length", "seq", (capacity - F.col("room") + F.coalesce(before, F.lit(0))).cast("int").alias("offset")), "placed")
             placed.append(now.drop("length"))
-            n_now, length_now = now.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-            if n_now:
-                taken = now.groupBy("seq").agg(F.sum("length").alias("taken"))
-                gaps, old = staged(gaps.join(taken, "seq", "left").select("seq", (F.col("room") - F.coalesce("taken", F.lit(0))).cast("int").alias("room")).filter("room > 0"), "gaps"), gaps
-                discard(old)
-            n_waiting, total, stuck = n_waiting - n_now, total - length_now, not n_now
-            waiting = staged(rest.select("pid", "length"), "waiting") if n_waiting else waiting
+            taken = now.groupBy("seq").agg(F.sum("length").alias("taken"))
+            gaps = staged(gaps.join(taken, "seq", "left").select("seq", (F.col("room") - F.coalesce("taken", F.lit(0))).cast("int").alias("room")).filter("room > 0"), "gaps")
+            n_waiting, total = n_waiting - n_now, total - length_now
+            waiting = rest.select("pid", "length")
         hi = lo
     where = placed[0]
     for more in placed[1:]:
