@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Fixed patterns.
 ELEMENT_ID = r"^[a-f0-9]{10}\z"
 NODE_ID = r"(?U)^(?:[a-f0-9]{10}|doc_[\w\-. ()]{1,59})\z"
-OBJECT_NAME = r"(?U)^[\w\-./ ()]+\z"
+OBJECT_NAME = r"(?U)^[\w\-./]+\z"
 CITED = r"\[src:([a-f0-9]+)\]"
 PICTURED = r"\[img:([a-f0-9]+)\]"
 FOLLOW_UP = r"""search_vectors\(["'](.+?)["']\)"""
@@ -46,8 +46,8 @@ def element_id(doc: Column, page: Column, position: Column, text: Column) -> Col
 
 
 def object_name(url: Column) -> Column:
-    """The part of a URL after host and bucket; null if there is none."""
-    return blank_to_null(F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://[^/]+/[^/]+/(.+)$", 1))
+    """The part of a URL's path after the bucket, without query and fragment; null if there is none."""
+    return blank_to_null(F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://[^/?#]+/[^/?#]+/([^?#]+)", 1))
 
 
 def media_path(url: Column) -> Column:

@@ -68,6 +68,21 @@ def selected(hits: DataFrame, selections: DataFrame, first_pass: bool = True, fa
     return chosen.unionByName(rest)
 
 
+def toggled(hits: DataFrame, selections: DataFrame, choices: DataFrame) -> DataFrame:
+    """(question_id, element_id): selections after whole documents were switched on or off; choices are (question_id, filename, on)."""
+    inside = hits.join(choices, ["question_id", "filename"]).select("question_id", "element_id", "on")
+    kept = selections.select("question_id", "element_id").join(inside.filter("not on"), ["question_id", "element_id"], "left_anti")
+    return kept.unionByName(inside.filter("on").drop("on")).distinct()
+
+
+def selected_or_all(hits: DataFrame, selections: DataFrame) -> DataFrame:
+    """(question_id, element_id): the selected elements among the hits, all of them for a question without selection."""
+    each = hits.select("question_id", "element_id").distinct()
+    picked = selections.select("question_id", "element_id").distinct()
+    none = each.join(picked.select("question_id").distinct(), "question_id", "left_anti")
+    return each.join(picked, ["question_id", "element_id"], "left_semi").unionByName(none)
+
+
 def first_per_section(chosen: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Of (question_id, element_id, section_id, ord) the first element of each section that `seen` (question_id, section_id) doesn't hold."""
     order = Window.partitionBy("question_id", "section_id").orderBy("ord", "element_id")

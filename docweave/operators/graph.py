@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 MAX_HOPS = 10
+CYCLE = 1000
 
 
 def normalised(nodes: DataFrame) -> DataFrame:
@@ -34,32 +35,36 @@ def parents(parent_of: DataFrame, nodes: DataFrame) -> DataFrame:
     return first.join(nodes.select(F.col("node_id").alias("parent_id"), "tag", "label", "text"), "parent_id", "left")
 
 
-def climb(starts: DataFrame, parent_of: DataFrame, nodes: DataFrame, max_hops: int = MAX_HOPS, full: bool = False) -> DataFrame:
+def climb(starts: DataFrame, parent_of: DataFrame, nodes: DataFrame, max_hops: int = MAX_HOPS, full: bool = False, levels: int = 1) -> DataFrame:
     """(element_id, section_id, hops, breadcrumbs) for each distinct element_id: the nearest enclosing section.
 
-    Climbs from the parent up; stops at the first SectionHeader (or, with
-    `full`, at the Document), at a Document, at a node without parent, or after
-    max_hops, which also bounds cycles. Without a section the element itself is
-    the section. breadcrumbs (node_id, label, text) run from the top down. Only
-    unfinished rows take part in the next hop.
+    Climbs from the parent up; stops at the SectionHeader number `levels` (or,
+    with `full`, at the Document), at a Document, at a node without parent, or
+    after max_hops, which also bounds cycles. The section is the last header
+    that counts (with `full` the first one); without any, the element itself.
+    breadcrumbs (node_id, label, text) run from the top down. Only unfinished
+    rows take part in a hop, and only edges and nodes that they reach.
     """
-    up = cut(parents(parent_of, nodes))
     crumb = F.struct(F.col("parent_id").alias("node_id"), F.coalesce(F.nullif("label", F.lit("")), F.col("tag"), F.lit("")).alias("label"), F.substring(F.coalesce("text", F.lit("")), 1, 120).alias("text"))
     none = F.array().cast("array<struct<node_id:string,label:string,text:string>>")
-    now = starts.select("element_id").distinct().select("element_id", F.col("element_id").alias("at"), F.lit(None).cast("string").alias("section"), F.lit(0).alias("hops"), none.alias("crumbs"))
+    now = starts.select("element_id").distinct().select("element_id", F.col("element_id").alias("at"), F.lit(None).cast("string").alias("section"), F.lit(0).alias("hops"), none.alias("crumbs"), F.lit(0).alias("headers"))
     ended = []
     for hop in range(1, max_hops + 1):
-        step = cut(now.join(up, now["at"] == up["dst"], "left"))
+        reached = parent_of.join(now.select(F.col("at").alias("dst")).distinct(), "dst", "left_semi")
+        first = reached.groupBy("dst").agg(F.min_by("src", F.struct("sequence", "src")).alias("parent_id"))
+        known = nodes.select(F.col("node_id").alias("parent_id"), "tag", "label", "text").join(first.select("parent_id").distinct(), "parent_id", "left_semi")
+        step = cut(now.join(first.join(known, "parent_id", "left"), F.col("at") == F.col("dst"), "left"))
         ended.append(step.filter("parent_id is null").select("element_id", "section", "hops", "crumbs"))
-        section = F.coalesce("section", F.when(F.col("tag") == "SectionHeader", F.col("parent_id")))
-        moved = step.filter("parent_id is not null").select("element_id", F.col("parent_id").alias("at"), section.alias("section"), F.lit(hop).alias("hops"), F.concat(F.array(crumb), "crumbs").alias("crumbs"), F.coalesce("tag", F.lit("")).alias("tag"))
-        stop = (F.col("tag") == "Document") if full else F.col("tag").isin("Document", "SectionHeader")
-        ended.append(moved.filter(stop).drop("at", "tag"))
+        header = F.coalesce(F.col("tag") == "SectionHeader", F.lit(False))
+        section = F.coalesce("section", F.when(header, F.col("parent_id"))) if full else F.when(header, F.col("parent_id")).otherwise(F.col("section"))
+        moved = step.filter("parent_id is not null").select("element_id", F.col("parent_id").alias("at"), section.alias("section"), F.lit(hop).alias("hops"), F.concat(F.array(crumb), "crumbs").alias("crumbs"), (F.col("headers") + header.cast("int")).alias("headers"), F.coalesce("tag", F.lit("")).alias("tag"))
+        stop = (F.col("tag") == "Document") if full else (F.col("tag") == "Document") | (F.col("headers") >= levels)
+        ended.append(moved.filter(stop).drop("at", "tag", "headers"))
         now = moved.filter(~stop).drop("tag")
         if now.isEmpty():
             break
     else:
-        ended.append(now.drop("at"))
+        ended.append(now.drop("at", "headers"))
     return reduce(DataFrame.unionByName, ended).select("element_id", F.coalesce("section", "element_id").alias("section_id"), "hops", F.col("crumbs").alias("breadcrumbs"))
 
 
@@ -77,17 +82,21 @@ def ordered_children(found: DataFrame) -> DataFrame:
     return found.groupBy("section_id").agg(F.array_sort(F.collect_list(child)).alias("elements"))
 
 
-def subtree(roots: DataFrame, parent_of: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(root, node_id, depth, path): all nodes below each root; path holds the sequences from the root down, zero-padded."""
+def subtree(roots: DataFrame, parent_of: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(root, node_id, depth, path): all nodes below each root, down to max_depth or, without one, to the last; path holds
+    the sequences from the root down, zero-padded. A level deeper than CYCLE is taken for a cycle and refused."""
     edges = cut(parent_of)
     level = roots.select(F.col("node_id").alias("root"), "node_id", F.lit(0).alias("depth"), F.lit("").alias("path"))
     found = [level]
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, (max_depth or CYCLE) + 1):
         level = level.join(edges, level["node_id"] == edges["src"]).select("root", F.col("dst").alias("node_id"), F.lit(depth).alias("depth"), F.concat("path", F.lpad(F.col("sequence").cast("string"), 8, "0"), F.lit("/")).alias("path"))
         level = cut(level)
         if level.isEmpty():
             break
         found.append(level)
+    else:
+        if max_depth is None:
+            raise ValueError(f"more than {CYCLE} levels: the edges hold a cycle")
     return reduce(DataFrame.unionByName, found)
 
 
@@ -111,3 +120,8 @@ def integrity(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     both = chunks.select("element_id").distinct().join(nodes.select("node_id").distinct(), F.col("element_id") == F.col("node_id"), "full_outer")
     status = F.when(F.col("node_id").isNull(), "chunk_only").when(F.col("element_id").isNull(), "node_only").otherwise("matched")
     return both.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def id_collisions(elements: DataFrame) -> DataFrame:
+    """(id, n): ids that several elements (doc_id, ord) share. An id has 40 bits, so past a million elements some are to be expected."""
+    return elements.groupBy("id").agg(F.count_distinct("doc_id", "ord").alias("n")).filter("n > 1")

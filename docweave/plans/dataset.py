@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answer, corpus, graph, rank, retrieve
 from ..session import ready, table
+from . import pipelines
 
 K, RERANK_K = 20, 10
 FOLLOW_EVERY = 100
+PAGE_LINES = 10
 
 
 class Dataset:
@@ -29,12 +31,12 @@ class Dataset:
         split = self.table("documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("ord", "line"))
         size = F.length("line")
         label = F.when(size <= 60, "section_header").when(F.col("ord") % 7 == 3, "table").when(F.col("ord") % 11 == 5, "picture").when(F.col("ord") % 13 == 6, "code").otherwise("paragraph")
-        return split.select("doc_id", "ord", "line", (1 + F.floor(F.col("ord") / 10)).cast("int").alias("page_no"), label.alias("label"), F.when(size <= 60, (1 + size % 3).cast("int")).alias("lvl"))
+        return split.select("doc_id", "ord", "line", (1 + F.floor(F.col("ord") / PAGE_LINES)).cast("int").alias("page_no"), label.alias("label"), F.when(size <= 60, (1 + size % 3).cast("int")).alias("lvl"))
 
     @cached_property
     def elements(self) -> DataFrame:
         doc = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
-        named = self.lines.withColumn("id", T.element_id(doc, F.col("page_no"), F.col("ord"), F.col("line")))
+        named = self.lines.withColumn("id", T.element_id(doc, F.col("page_no"), F.col("ord") % PAGE_LINES, F.col("line")))
         return corpus.with_parents(named).persist()  # several joins of a query read it
 
     @cached_property
@@ -95,11 +97,7 @@ class Dataset:
     @cached_property
     def section_elements(self) -> DataFrame:
         """(question_id, node_id, filename, page_no, text, minio_url, ord) of the children of each question's sections."""
-        first = answer.first_per_section(self.sections)
-        found = graph.children(first, self.parent_of, self.nodes)
-        file = F.coalesce(F.get(F.filter("breadcrumbs", lambda b: b["label"] == "document"), F.lit(0))["text"], F.lit(""))
-        rows = first.select("question_id", "section_id", "ord", file.alias("filename")).withColumnRenamed("ord", "sec").join(found, "section_id")
-        return rows.select("question_id", "node_id", "filename", "page_no", "text", "minio_url", (F.col("sec") * 1_000_000 + F.col("sequence")).alias("ord"))
+        return pipelines.section_elements(answer.first_per_section(self.sections), self.parent_of, self.nodes)
 
     @cached_property
     def responses(self) -> DataFrame:
@@ -123,8 +121,10 @@ class Dataset:
 
     @cached_property
     def golden(self) -> DataFrame:
-        topic = self.chunks.select("chunk_id", F.col("topic").alias("chunk_topic"))
-        return self.near.filter("rn <= 5").join(topic, "chunk_id").join(self.questions.select("question_id", "topic"), "question_id").filter("topic = chunk_topic").select("question_id", "chunk_id")
+        """The chunks of a question's topic among those numbered after it, up to the next question: given by the labels, not by a search."""
+        row = self.table("embeddings").select("vec_id", "label", (F.col("vec_id") - F.col("vec_id") % 50).alias("question_id"))
+        asked = row.filter("vec_id = question_id").select("question_id", "label")
+        return row.filter("vec_id != question_id").join(asked, ["question_id", "label"]).select("question_id", F.col("vec_id").alias("chunk_id"))
 
     @cached_property
     def tree(self) -> tuple[DataFrame, DataFrame]:
@@ -154,7 +154,7 @@ lev AS (SELECT *, max(CASE WHEN lvl = 1 THEN ord END) OVER w AS m1, max(CASE WHE
     max(CASE WHEN lvl = 3 THEN ord END) OVER w AS m3 FROM lab
     WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 el AS (SELECT doc_id, ord, page_no, lvl, label, line,
-    substr(sha256('doc_' || doc_id || '|' || page_no || '|' || ord || '|' || substr(line, 1, 50)), 1, 10) AS id,
+    substr(sha256('doc_' || doc_id || '|' || page_no || '|' || ord % 10 || '|' || substr(line, 1, 50)), 1, 10) AS id,
     CASE lvl WHEN 1 THEN NULL WHEN 2 THEN m1 WHEN 3 THEN greatest(m1, m2) ELSE greatest(m1, m2, m3) END AS par_ord FROM lev),
 nodes AS (SELECT id AS node_id, CASE label WHEN 'section_header' THEN 'SectionHeader' WHEN 'table' THEN 'Table'
         WHEN 'picture' THEN 'Picture' WHEN 'code' THEN 'Code' ELSE 'Paragraph' END AS tag, label, line AS text,
@@ -222,8 +222,8 @@ links AS (SELECT * FROM (SELECT c.doc_id, c.page_no, c.ord, r.ord AS resource, a
     row_number() OVER (PARTITION BY c.doc_id, c.page_no, c.ord ORDER BY abs(c.x - r.x) + abs(c.y - r.y), r.ord) AS n
     FROM cap c JOIN cap r ON r.doc_id = c.doc_id AND r.page_no = c.page_no AND r.label IN ('picture', 'table')
     WHERE c.label = 'paragraph' AND abs(c.x - r.x) + abs(c.y - r.y) <= 300) WHERE n = 1),
-golden AS (SELECT n.question_id, n.chunk_id FROM near n JOIN embeddings c ON c.vec_id = n.chunk_id JOIN embeddings q ON q.vec_id = n.question_id
-    WHERE n.rn <= 5 AND c.label = q.label),
+golden AS (SELECT q.vec_id AS question_id, c.vec_id AS chunk_id FROM embeddings q JOIN embeddings c ON c.vec_id > q.vec_id AND c.vec_id < q.vec_id + 50
+    AND c.label = q.label WHERE q.vec_id % 50 = 0),
 tree_nodes AS (SELECT 'r' || r_regionkey AS node_id, 'Document' AS tag, r_name AS text FROM region UNION ALL SELECT 'n' || n_nationkey, 'SectionHeader', n_name FROM nation
     UNION ALL SELECT 'c' || c_custkey, 'Group', c_name FROM customer UNION ALL SELECT 'o' || o_orderkey, 'Group', '' FROM orders
     UNION ALL SELECT 'l' || l_orderkey || '_' || l_linenumber, 'Paragraph', '' FROM lineitem),

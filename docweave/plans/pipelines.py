@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown as M
@@ -92,20 +92,60 @@ def start(questions: DataFrame, messages: DataFrame, chunks: DataFrame, k: int =
     return threads, answer.last_messages(messages), sources(questions, chunks, k, rerank_k)
 
 
-def resume(threads: DataFrame, selections: DataFrame, ranked: DataFrame, questions: DataFrame, parent_of: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(prompts, rejected selections): selections of open threads (question_id) continue, others are rejected."""
-    known = selections.join(threads, "question_id", "left_semi")
-    unknown = selections.join(threads, "question_id", "left_anti")
-    hits = ranked.join(threads, "question_id", "left_semi")
-    chosen = answer.selected(hits, known)
-    placed = chosen.join(graph.climb(chosen, parent_of, nodes), "element_id")
-    return prompts(questions, contexts(placed, parent_of, nodes)), unknown
+def resume(threads: DataFrame, selections: DataFrame, ranked: DataFrame, questions: DataFrame, parent_of: DataFrame, nodes: DataFrame, respond: Callable, again: Callable, max_rounds: int = MAX_ROUNDS) -> dict[str, DataFrame]:
+    """Answers of the open threads (question_id) from the elements that were selected of their hits.
+
+    Selections of other threads are `rejected`. A round rebuilds the sections
+    that the thread does not hold yet, renders the prompts from all sections so
+    far, lets respond(prompts, hits, round) answer (question_id, response), and
+    goes on with the answers that ask for a search: again(answers, round) gives
+    their new hits, of which the best three are taken without selection. At
+    most max_rounds retrievals. Gives `answers` (question_id, round, response,
+    answer) of the last round, the `contexts` of all, `citations` and `images`
+    (resolved among the last hits, then the elements of all sections), `rounds`
+    and `rejected`.
+    """
+    rejected = selections.join(threads, "question_id", "left_anti")
+    hits = cut(ranked.join(threads, "question_id", "left_semi"))
+    taken = answer.selected(hits, selections.join(threads, "question_id", "left_semi"))
+    placed, said, last_hits = None, [], []
+    for number in range(1, max_rounds + 1):
+        found = taken.join(graph.climb(taken, parent_of, nodes), "element_id")
+        fresh = answer.first_per_section(found, placed).withColumn("ord", F.lit(number * 1_000_000) + F.col("ord"))
+        placed = cut(fresh if placed is None else placed.unionByName(fresh))
+        asked = hits.select("question_id").distinct()
+        made = prompts(questions, contexts(placed.join(asked, "question_id", "left_semi"), parent_of, nodes))
+        replies = respond(made, hits, number).select("question_id", F.lit(number).alias("round"), "response")
+        said.append(cut(answer.answered(replies, max_rounds)))
+        last_hits.append(hits.withColumn("round", F.lit(number)))
+        more = said[-1].filter("next_query is not null")
+        if number == max_rounds or more.isEmpty():
+            break
+        hits = cut(again(more, number))
+        taken = answer.selected(hits, selections, first_pass=False)
+    rounds = reduce(DataFrame.unionByName, said)
+    final = rounds.groupBy("question_id").agg(F.max_by(F.struct("round", "response", "answer"), "round").alias("a")).select("question_id", "a.*")
+    shown = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), last_hits).join(final.select("question_id", "round"), ["question_id", "round"], "left_semi")
+    inside = section_elements(placed, parent_of, nodes)
+    return {
+        "answers": final, "rounds": rounds, "rejected": rejected, "contexts": contexts(placed, parent_of, nodes),
+        "citations": answer.citations(final, shown, inside), "images": answer.images(final, answer.media_map(inside, shown)),
+    }
+
+
+def section_elements(placed: DataFrame, parent_of: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(question_id, node_id, filename, page_no, text, minio_url, ord) of the children of the sections (question_id, section_id, ord, breadcrumbs)."""
+    found = graph.children(placed, parent_of, nodes)
+    file = F.coalesce(F.get(F.filter("breadcrumbs", lambda b: b["label"] == "document"), F.lit(0))["text"], F.lit(""))
+    rows = placed.select("question_id", "section_id", F.col("ord").alias("sec"), file.alias("filename")).join(found, "section_id")
+    return rows.select("question_id", "node_id", "filename", "page_no", "text", "minio_url", (F.col("sec").cast("long") * 1_000_000 + F.col("sequence")).alias("ord"))
 
 
 def build_corpus(documents: DataFrame, embed=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks, nodes, parent_of) of lines (doc_id, ord, line, label, lvl, page_no)."""
     doc = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
-    elements = corpus.with_parents(documents.withColumn("id", T.element_id(doc, F.col("page_no"), F.col("ord"), F.col("line"))))
+    on_page = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("ord")) - 1
+    elements = corpus.with_parents(documents.withColumn("id", T.element_id(doc, F.col("page_no"), on_page, F.col("line"))))
     nodes, parent_of = corpus.graph_tables(elements, documents.select("doc_id").distinct())
     rows = elements.filter(T.stripped(F.col("line")) != "").select(F.col("id").alias("chunk_id"), F.col("id").alias("element_id"), T.cut(F.col("line"), 1000).alias("document"), "label", "page_no")
     return rows.withColumn("embedding", (embed or retrieve.hashed_embedding())("document")), nodes, parent_of

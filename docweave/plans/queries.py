@@ -496,7 +496,8 @@ def event_json(d):
     return lines.select("event_id", "e.token", F.coalesce("e.reset", F.lit(False)).alias("reset"), F.coalesce("e.done", F.lit(False)).alias("done"))
 
 
-@query("""SELECT question_id, 4 + CAST(question_id % 100 = 0 AS INTEGER) AS n_sentences, 1 + CAST(question_id % 100 = 0 AS INTEGER) AS n_uncited FROM responses""")
+@query("""SELECT question_id, len(s) AS n_sentences, len(list_filter(s, lambda x: NOT regexp_matches(x, '\\[(src|img):'))) AS n_uncited FROM
+    (SELECT question_id, list_filter(string_split(regexp_replace(response, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x) <> '') AS s FROM responses)""")
 def uncited_sentences(d):
     each = T.sentences(F.col("response"))
     return d.responses.select("question_id", F.size(each).alias("n_sentences"), F.size(F.filter(each, lambda s: ~s.rlike(r"\[(src|img):"))).alias("n_uncited"))
@@ -568,8 +569,11 @@ def latency_p95(d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import pipeline_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)

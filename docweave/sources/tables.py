@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,15 +31,16 @@ def edges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PARENT_OF).parquet(path)
 
 
-def documents_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row an element of extracted documents, with the document's metadata and the element's place `pos`."""
-    rows = spark.read.schema(schemas.EXTRACTED).option("multiLine", "true").json(path)
+def documents_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row an element of extracted documents, with the document's metadata and the element's place `pos`; a file holds a
+    document or, without multi_line, one on each line."""
+    rows = spark.read.schema(schemas.EXTRACTED).option("multiLine", multi_line).json(path)
     return rows.select("metadata.*", F.posexplode("elements").alias("pos", "element")).select("filename", "type_file", "total_pages", "pos", "element.*")
 
 
-def golden(spark: SparkSession, path: str) -> DataFrame:
+def golden(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """One row a golden chunk of a question."""
-    return spark.read.schema(schemas.GOLDEN).option("multiLine", "true").json(path).select("question", "expected_answer", F.explode_outer("chunk_ids").alias("chunk_id"))
+    return spark.read.schema(schemas.GOLDEN).option("multiLine", multi_line).json(path).select("question", "expected_answer", F.explode_outer("chunk_ids").alias("chunk_id"))
 
 
 def media(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
@@ -79,16 +82,37 @@ def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def upsert(rows: DataFrame, path: str, key: str, partition: str, *order: str) -> None:
-    """Replaces the partitions that rows touch by their old rows and the new ones, the last of each key; repeating it changes nothing."""
+    """Replaces the rows of the keys that rows bring, the last of each key; repeating it changes nothing.
+
+    The partitions that the new rows or the old rows of their keys lie in are
+    written anew, so a key that moves leaves its old partition. One writer at a
+    time; a reader may see some partitions before others.
+    """
     spark = rows.sparkSession
-    new = rows
+    new, emptied = rows, []
     if _exists(spark, path):
-        touched = rows.select(partition).distinct()
-        new = spark.read.parquet(path).select(*rows.columns).join(touched, partition, "left_semi").select(*rows.columns).unionByName(rows)
+        old = spark.read.parquet(path).select(*rows.columns)
+        moved = old.join(rows.select(key).distinct(), key, "left_semi").select(partition)
+        touched = moved.unionByName(rows.select(partition)).distinct()
+        new = old.join(touched, partition, "left_semi").select(*rows.columns).unionByName(rows)
+        emptied = moved.distinct()
     kept = latest(new, key, *order)
-    aside = f"{path.rstrip('/')}__new"
-    kept.write.mode("overwrite").parquet(aside)
-    spark.read.schema(kept.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    aside = f"{path.rstrip('/')}__new-{uuid.uuid4().hex}"
+    kept.write.parquet(aside)
+    kept = spark.read.schema(kept.schema).parquet(aside)
+    # Partitions from which all rows have moved away, a list no longer than that of the partitions.
+    gone = [r[0] for r in emptied.join(kept.select(partition).distinct(), partition, "left_anti").collect()] if emptied else []
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    jvm = spark.sparkContext._jvm
+    for value in gone:
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(partition, None if value is None else str(value))
+        _delete(spark, f"{path.rstrip('/')}/{name}")
+    _delete(spark, aside)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def replace_documents(rows: DataFrame, path: str, partition: str) -> None:
@@ -111,3 +135,22 @@ def readiness(sources: dict[str, DataFrame]) -> DataFrame:
 
 def catalog(nodes_: DataFrame, n: int = 50) -> DataFrame:
     return nodes_.filter("tag = 'Document'").select("node_id", "filename").orderBy("node_id").limit(n)
+
+
+def with_history(questions: DataFrame, messages: DataFrame, n: int = 6) -> DataFrame:
+    """questions (question_id, ...) with `history`, the last n messages of the thread of that name, in order."""
+    last = Window.partitionBy("thread_id").orderBy(F.desc("turn"))
+    kept = messages.withColumn("__n", F.row_number().over(last)).filter(F.col("__n") <= n)
+    listed = kept.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("history"))
+    none = F.array().cast(listed.schema["history"].dataType)
+    return questions.join(listed, F.col("question_id") == F.col("thread_id"), "left").drop("thread_id").withColumn("history", F.coalesce("history", none))
+
+
+def thread_state(events: DataFrame) -> DataFrame:
+    """(thread_id, seq, kind): the last event of each thread, which says whether it is open."""
+    return events.groupBy("thread_id").agg(F.max_by(F.struct("seq", "kind"), "seq").alias("last")).select("thread_id", "last.*")
+
+
+def updated_state(state: DataFrame, events: DataFrame) -> DataFrame:
+    """state after more events, which may be late or repeated."""
+    return thread_state(state.unionByName(events.select("thread_id", "seq", "kind")))

@@ -21,33 +21,37 @@ def event_lines(spark: SparkSession, path: str) -> DataFrame:
 def accumulated(events: DataFrame) -> DataFrame:
     """(thread_id, text, n_tokens, done) after each batch, for streams of (thread_id string, seq long, kind, payload).
 
-    A reset drops what came before it; tokens are joined in the order of seq
-    within a batch, and batches follow one another; what was seen already (a
-    seq not above the last) is ignored; nothing is added after done. Of a
-    finished thread the state keeps no text.
+    A reset drops what has a smaller seq; tokens are joined in the order of
+    seq, whichever batch brings them, so a late one takes its place; a seq that
+    came before is ignored. After done nothing is added, and the state keeps no
+    text.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, n, last, done = state.get if state.exists else ("", 0, -1, False)
+        seqs, texts, floor, done = state.get if state.exists else ([], [], -1, False)
         if done:
             for _ in batches:  # late events of a finished thread
                 pass
             return
+        held = dict(zip(seqs, texts))
         rows = pd.concat(list(batches)).sort_values("seq")
-        for seq, kind, payload in zip(rows["seq"], rows["kind"], rows["payload"]):
-            if done or seq <= last:
+        for seq, kind, payload in zip(rows["seq"].tolist(), rows["kind"], rows["payload"]):
+            if done or seq <= floor or seq in held:
                 continue
-            last = int(seq)
             if kind == "reset":
-                text, n = "", 0
+                floor = seq
+                held = {k: v for k, v in held.items() if k > seq}
             elif kind == "done":
                 done = True
+                held = {k: v for k, v in held.items() if k < seq}
             else:
-                text, n = text + (payload or ""), n + 1
-        state.update(("" if done else text, n, last, done))
-        yield pd.DataFrame({"thread_id": [key[0]], "text": [text], "n_tokens": [n], "done": [done]})
+                held[seq] = payload or ""
+        order = sorted(held)
+        text = "".join(held[k] for k in order)
+        state.update(([], [], floor, True) if done else (order, [held[k] for k in order], floor, False))
+        yield pd.DataFrame({"thread_id": [key[0]], "text": [text], "n_tokens": [len(order)], "done": [done]})
 
-    return events.groupBy("thread_id").applyInPandasWithState(step, "thread_id string, text string, n_tokens long, done boolean", "text string, n long, last long, done boolean", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("thread_id").applyInPandasWithState(step, "thread_id string, text string, n_tokens long, done boolean", "seqs array<long>, texts array<string>, floor long, done boolean", "update", GroupStateTimeout.NoTimeout)
 
 
 def resumed(questions: DataFrame, selections: DataFrame, wait: str = "1 hour") -> DataFrame:
@@ -72,3 +76,15 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
 
     stream = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()
+
+
+def landed(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """What the stream gives for all that is there now: the rows of every micro-batch, with its number in `batch`."""
+    spark = stream.sparkSession
+
+    def land(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(land).start().awaitTermination()
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/batch=-1")
+    return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/rows")

@@ -49,6 +49,8 @@ def test_urls(spark):
     url = "http://minio:9000/documents/images/livre/abc123def0_picture.png"
     assert value(spark, T.object_name(F.lit(url))) == "images/livre/abc123def0_picture.png"
     assert value(spark, T.object_name(F.lit("http://minio:9000/documents"))) is None
+    assert value(spark, T.object_name(F.lit(url + "?X-Amz-Signature=1#top"))) == "images/livre/abc123def0_picture.png"
+    assert value(spark, T.media_path(F.lit(url + "?a=b/c"))) == "/media/images/livre/abc123def0_picture.png"
     assert value(spark, T.media_path(F.lit(url))) == "/media/images/livre/abc123def0_picture.png"
     assert value(spark, T.media_path(F.lit("http://example.com/foo"))) == "http://example.com/foo"
 
@@ -60,7 +62,8 @@ def test_ids(spark, text, element, node):
 
 
 def test_object_names_and_strip(spark):
-    assert value(spark, T.is_object_name(F.lit("images/é (1)/a.png"))) is True
+    assert value(spark, T.is_object_name(F.lit("images/é-1/a_b.png"))) is True
+    assert value(spark, T.is_object_name(F.lit("images/é (1)/a.png"))) is False
     assert value(spark, T.is_object_name(F.lit("images/../a.png"))) is False
     assert value(spark, T.stripped(F.lit("  x\ty \n"))) == "x\ty"
 
@@ -182,6 +185,31 @@ def test_upsert_twice_is_once(spark, tmp_path):
     assert sorted((r.id, r.text) for r in spark.read.parquet(path).collect()) == [("a", "new"), ("b", "x"), ("c", "y")]
 
 
+def test_upsert_of_a_key_that_moves(spark, tmp_path):
+    path, schema = f"{tmp_path}/t", "id string, part string, v int"
+    for rows in ([("k", "A", 1), ("m", "C", 1)], [("k", "B", 2)], [("k", "B", 2)]):
+        tables.upsert(spark.createDataFrame(rows, schema), path, "id", "part", "v")
+        now = sorted((r.id, r.part, r.v) for r in spark.read.parquet(path).collect())
+    assert now == [("k", "B", 2), ("m", "C", 1)]
+    assert [p.name for p in tmp_path.iterdir() if "__new" in p.name] == []
+
+
+def test_late_tokens_take_their_place(spark, tmp_path):
+    schema = "thread_id string, seq long, kind string, payload string"
+    for part in ([("t", 3, "token", "c"), ("t", 1, "token", "lost")], [("t", 4, "token", "d"), ("t", 3, "token", "again")], [("t", 2, "reset", None)], [("t", 6, "done", None), ("t", 5, "token", "e")], [("t", 1, "token", "x")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")
+    rows = threads.landed(threads.accumulated(stream), f"{tmp_path}/out", "update").orderBy("batch").collect()
+    assert [(r.text, r.n_tokens, r.done) for r in rows] == [("lostc", 2, False), ("lostcd", 3, False), ("cd", 2, False), ("cde", 3, True)]
+
+
+def test_subtree_has_no_last_level(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1) for i in range(25)], schemas.PARENT_OF)
+    root = spark.createDataFrame([("n0",)], "node_id string")
+    assert graph.subtree(root, edges).agg(F.max("depth")).first()[0] == 25
+    assert graph.subtree(root, edges, 3).agg(F.max("depth")).first()[0] == 3
+
+
 def test_streams(spark, tmp_path):
     schema = "thread_id string, seq long, kind string, payload string"
     events = [("t", 1, "token", "lost"), ("t", 2, "reset", None), ("t", 3, "token", "a"), ("t", 4, "token", "b"), ("t", 5, "done", None), ("t", 6, "token", "late"), ("u", 1, "token", "x")]
@@ -216,11 +244,22 @@ def test_build_corpus_and_resume(spark):
     assert chunks.count() == 2 and nodes.count() == 4 and edges.count() == 3
     assert abs(sum(x * x for x in chunks.first().embedding) - 1) < 1e-5
     body = chunks.filter("document = 'Body text'").first().chunk_id
-    ranked = spark.createDataFrame([(7, body, body, 1)], "question_id long, element_id string, chunk_id string, rr int")
+    ranked = spark.createDataFrame([(7, body, body, 1, "doc_1.txt", 1, "Body text", None)], "question_id long, element_id string, chunk_id string, rr int, filename string, page_no int, document string, minio_url string")
     threads_ = spark.createDataFrame([("x", 7)], "thread_id string, question_id long")
     chosen = spark.createDataFrame([(7, body), (8, body)], "question_id long, element_id string")
-    prompts, rejected = pipelines.resume(threads_, chosen, ranked, spark.createDataFrame([(7, "Q")], "question_id long, question string"), edges, graph.normalised(nodes))
-    assert f"Body text [src:{body}]" in prompts.first().prompt and [r.question_id for r in rejected.collect()] == [8]
+    seen = []
+
+    def respond(prompts, hits, number):
+        seen.extend(r.prompt for r in prompts.collect())
+        return prompts.select("question_id", F.lit(f"[src:{body}] [src:ffff] search_vectors('more')").alias("response"))
+
+    got = pipelines.resume(threads_, chosen, ranked, spark.createDataFrame([(7, "Q")], "question_id long, question string"), edges, graph.normalised(nodes), respond, lambda asked, number: ranked)
+    assert len(seen) == 3 and all(p.count(f"Body text [src:{body}]") == 1 for p in seen)
+    assert [r.question_id for r in got["rejected"].collect()] == [8]
+    final = got["answers"].first()
+    assert (final["round"], final.answer) == (3, f"[src:{body}] [src:ffff]")
+    assert [(r.ordinal, r.element_id, r.filename, r.text_excerpt) for r in got["citations"].collect()] == [(1, body, "doc_1.txt", "Body text")]
+    assert got["contexts"].count() == 1 and got["images"].count() == 0
 
 
 def test_parents_by_header_stack(spark):
