@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import ALNUM, LOWER, pieces, sequence_hash, word_hashes, words
+from .text import ALNUM, LOWER, fresh, pieces, sequence_hash, word_hashes, words
 
 WINDOW = 10
 BLOCK_STRINGS = 200_000
@@ -71,9 +71,9 @@ def _blocks(benchmark: DataFrame, window: int, limit: int) -> Iterator[list[tupl
     for item, text in benchmark.toLocalIterator():
         for key, h in _strings(text, window):
             strings.setdefault(key, (h, set()))[1].add(str(item))
-        if len(strings) >= limit:
-            yield _table(strings)
-            strings = {}
+            if len(strings) >= limit:  # also amid a long item
+                yield _table(strings)
+                strings = {}
     if strings:
         yield _table(strings)
 
@@ -138,21 +138,22 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
 
     Null texts have no words. Columns of docs that bear the added names are
     dropped. An empty benchmark, or one without words, hits nothing; repeated
-    items and strings shared by items each count for every item.
+    items and strings shared by items each count for every item; a very long
+    text is searched whole, in one task.
     """
     spark = docs.sparkSession
     added = ["n_words", "ranges", "items"]
     columns = [c for c in docs.columns if c not in added]
-    kept = len(columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", `__text` string, n_words long, ranges array<long>, items array<string>"
-    now = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
+    kept, work = len(columns), fresh("__text", columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + f", `{work}` string, n_words long, ranges array<long>, items array<string>"
+    now = docs.select(*columns, F.col(text_col).cast("string").alias(work))
     any_block = False
     for table in _blocks(benchmark.select(item_col, item_text_col), window, block_strings):
         now = now.mapInArrow(_scanner(spark.sparkContext.broadcast(pickle.dumps(table)), kept, any_block), schema)
         any_block = True
     if not any_block:
         now = now.mapInArrow(_scanner(None, kept, False), schema)
-    return now.drop("__text")
+    return now.drop(work)
 
 
 def _covered(ranges: list[int]) -> int:
@@ -181,8 +182,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text holds no test string, with their columns."""
+    """The rows of docs whose text holds no test string, with their columns, whatever their names; rows without text stay."""
     clash = {"n_words", "ranges", "items"} & set(docs.columns)
-    safe = docs.withColumnsRenamed({c: f"__own_{c}" for c in clash})
-    clean = occurrences(safe, benchmark, f"__own_{text_col}" if text_col in clash else text_col).filter(F.size("ranges") == 0).drop("n_words", "ranges", "items")
-    return clean.withColumnsRenamed({f"__own_{c}": c for c in clash}).select(*docs.columns)
+    own = {c: fresh(f"__own_{c}", docs.columns) for c in clash}
+    clean = occurrences(docs.withColumnsRenamed(own), benchmark, own.get(text_col, text_col)).filter(F.size("ranges") == 0).drop("n_words", "ranges", "items")
+    return clean.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from docweave.llm import decontam
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -53,3 +55,13 @@ def test_edges_short_items_and_blocks(spark, edge, empty):
     clean = decontam.decontaminated(edge.withColumnRenamed("score", "items"), bench)
     assert clean.columns == edge.withColumnRenamed("score", "items").columns
     assert clean.count() == sum(not r[5] for r in want)
+
+
+def test_columns_of_any_name_and_a_long_item_in_several_blocks(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words[20:40]), "a", "b", 3), (2, "x " + " ".join(words[:8]), "a", "b", 4), (3, None, None, None, None)], "doc_id long, text string, __text string, items string, n_words int")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.decontaminated(docs, bench).collect()) == [2, 3]
+    assert decontam.decontaminated(docs, bench).columns == docs.columns
+    found = decontam.occurrences(docs.select("doc_id", "text", "__text"), bench, block_strings=7).select("doc_id", F.size("ranges").alias("n"), "items").collect()
+    assert sorted((r.doc_id, r.n, r["items"]) for r in found) == [(1, 11, ["1"]), (2, 0, []), (3, 0, [])]
