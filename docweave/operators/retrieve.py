@@ -8,11 +8,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: Questions in one broadcast block: at 384 floats, 6 MB.
 BLOCK = 4096
 
@@ -82,13 +84,76 @@ def unsearchable(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return questions.select("question_id", size).join(chunks.select(size).filter("size > 0").distinct(), "size", "left_anti").select("question_id", "size")
 
 
-def knn_lsh(questions: DataFrame, chunks: DataFrame, k: int = 20, bucket: float = 1.0, tables: int = 12, within: float = 2.0) -> DataFrame:
-    """(question_id, chunk_id, distance, rn) among the chunks that share a hash bucket with the question (unit vectors)."""
-    as_vector = lambda df, key: df.select(F.col(key), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    c, q = as_vector(chunks, "chunk_id"), as_vector(questions, "question_id")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=1).fit(c)
-    pairs = model.approxSimilarityJoin(c, q, within, "l2").select(F.col("datasetB.question_id").alias("question_id"), F.col("datasetA.chunk_id").alias("chunk_id"), F.round(F.col("l2") * F.col("l2") / 2, 9).alias("distance")).filter("question_id != chunk_id")
-    return pairs.withColumn("rn", F.row_number().over(Window.partitionBy("question_id").orderBy("distance", "chunk_id"))).filter(F.col("rn") <= k)
+#: Rows that cells are fitted on, and the most cells: a bounded sample, while every row is indexed.
+CELL_SAMPLE, MAX_CELLS = 20_000, 1024
+
+
+def cells(chunks: DataFrame, n: int | None = None, seed: int = 1) -> np.ndarray:
+    """Centres of n cells (by default the square root of the number of rows, MAX_CELLS at most) fitted by k-means on at most
+    about CELL_SAMPLE rows."""
+    total = chunks.count()
+    if not total:
+        return np.zeros((0, 0))
+    n = n or max(1, min(MAX_CELLS, int(total**0.5)))
+    rows = chunks.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v")).filter("v is not null")
+    rows = rows.sample(min(1.0, CELL_SAMPLE / total), seed) if total > CELL_SAMPLE else rows
+    return np.array(KMeans(featuresCol="v", k=n, seed=seed, maxIter=10).fit(rows).clusterCenters())
+
+
+def in_cells(rows: DataFrame, key: str, centres: np.ndarray, probes: int = 1) -> DataFrame:
+    """(key, embedding, cell): each row with its `probes` nearest cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(1)
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype(np.float64)
+            if not len(x):
+                continue
+            far = (centres * centres).sum(1)[None] - 2 * x @ centres.T
+            near = np.argsort(far, axis=1, kind="stable")[:, :probes]
+            which = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), v.take(which), pa.array(near.ravel().astype(np.int32))], [key, "embedding", "cell"])
+
+    fits = rows.filter(F.size("embedding") == centres.shape[1]).select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<float>").alias("embedding"))
+    return fits.mapInArrow(run, f"{key} long, embedding array<float>, cell int")
+
+
+#: Questions that the number of probes is measured on, and the recall that it has to reach on them.
+PROBE_SAMPLE, RECALL = 64, 0.95
+
+
+def probes_for(questions: DataFrame, chunks: DataFrame, centres: np.ndarray, k: int = 20) -> int:
+    """How many nearest cells hold RECALL of the k nearest chunks of the first PROBE_SAMPLE questions, by exact search."""
+    sample = questions.filter(F.size("embedding") == centres.shape[1]).orderBy("question_id").limit(PROBE_SAMPLE)
+    near = knn(sample, chunks, k).select("question_id", "chunk_id")
+    truth = near.join(in_cells(chunks, "chunk_id", centres).select("chunk_id", "cell"), "chunk_id").select("question_id", "cell").collect()
+    ranks = {}
+    for row in sample.select("question_id", "embedding").collect():
+        order = np.argsort((centres * centres).sum(1) - 2 * centres @ np.array(row[1], np.float64), kind="stable")
+        ranks[row[0]] = np.argsort(order)
+    each = sorted(int(ranks[q][cell]) for q, cell in truth)
+    return each[min(len(each) - 1, int(RECALL * len(each)))] + 1 if each else 1
+
+
+def knn_cells(questions: DataFrame, chunks: DataFrame, k: int = 20, probes: int | None = None, n_cells: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((question_id, chunk_id, distance, rn), the pairs of questions and chunks that were held against each other).
+
+    An approximate form of knn() for cosine distance: chunks lie in the cell
+    of the nearest centre, a question is held against the chunks of its
+    `probes` nearest cells (by default as many as probes_for() finds). Where
+    vectors don't cluster, that is most of them, and knn() is the cheaper form.
+    """
+    spark = questions.sparkSession
+    centres = cells(chunks, n_cells)
+    if not len(centres):
+        none = spark.createDataFrame([], "question_id long, chunk_id long, distance double")
+        return none.withColumn("rn", F.lit(1)), none
+    stored = in_cells(chunks, "chunk_id", centres).withColumnRenamed("embedding", "c")
+    asked = in_cells(questions, "question_id", centres, probes or probes_for(questions, chunks, centres, k)).withColumnRenamed("embedding", "q")
+    pairs = asked.join(stored, "cell").filter("question_id != chunk_id")
+    near = pairs.select("question_id", "chunk_id", F.round(T.distance(F.col("q"), F.col("c")), 9).alias("distance"))
+    order = Window.partitionBy("question_id").orderBy("distance", "chunk_id")
+    return near.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k), near
 
 
 def hashed_embedding(dims: int = 384):

@@ -54,8 +54,9 @@ def knn_l2(d):
 
 @query()
 def knn_lsh(d):
+    """The approximate form, through k-means cells; its key is kept from the hash form that it replaces."""
     v = d.table("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return retrieve.knn_lsh(v.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "question_id"), v)
+    return retrieve.knn_cells(v.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "question_id"), v)[0]
 
 
 @query()

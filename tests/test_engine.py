@@ -142,8 +142,11 @@ def test_knn_exact_and_approximate(spark, sf):
         d = {j: round(1 - float(x), 9) for j, x in zip(ids, m @ rows[i] / np.linalg.norm(m, axis=1) / np.linalg.norm(rows[i])) if j != i}
         assert near == set(sorted(d, key=lambda j: (d[j], j))[:20])
     found = {}
-    for r in retrieve.knn_lsh(q, v).collect():
+    near, pairs = retrieve.knn_cells(q, v)
+    for r in near.collect():
         found.setdefault(r.question_id, set()).add(r.chunk_id)
+    assert pairs.count() < q.count() * (v.count() - 1)
+    assert retrieve.knn_cells(q, v.limit(0))[0].count() == 0
     recall = sum(len(exact[i] & found.get(i, set())) for i in exact) / sum(map(len, exact.values()))
     assert recall >= 0.9
     assert retrieve.knn(q.limit(0), v, 20).count() == 0
