@@ -19,21 +19,33 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir or the checkpoint folder that the context has.
+
+    Where neither is set, a run on one machine takes a temporary folder; a cluster is refused, as its executors would not
+    find what others wrote there.
+    """
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if path:
+        return path
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once, with its lineage cut: a checkpoint in the folder that the cluster names in spark.checkpoint.dir, or
-    in a temporary one where that is unset (as in tests)."""
-    context = df.sparkSession.sparkContext
+    """df computed once, with its lineage cut: a checkpoint in the shared folder."""
+    context, path = df.sparkSession.sparkContext, shared_dir(df.sparkSession)
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(path)
     return df.checkpoint()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
