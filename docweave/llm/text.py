@@ -7,16 +7,17 @@ that is longer than a slice) and no Python code runs per character.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 SLICE_BYTES = 1 << 20
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 64
@@ -35,16 +36,6 @@ ALNUM[0x61:0x7B] = True
 ALNUM[0x80:] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: computed once, lineage cut, safe against lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
