@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ready, table
-from . import credentials, decontam, exactdedup, langid, packing, quality, shards, simhash, substrings, suffixes
+from . import credentials, decontam, exactdedup, langid, merkle, packing, quality, shards, simhash, substrings, suffixes
 
 
 def op1_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +62,12 @@ def op10_stateful_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(table(ready(spark), sf_dir, "documents")).drop("keep_locator")
 
 
+def op11_recursive_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(table(ready(spark), sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rule_ensemble_quality, op2_golay_simhash, op3_interval_tree_dedup, op4_level_doubling_substrings, op5_size_tiered_shards, op6_best_fit_packing, op7_multipart_credentials, op8_viterbi_language, op9_wu_manber_decontamination, op10_stateful_exact_dedup)}
+    return {f.__name__: f for f in (op1_rule_ensemble_quality, op2_golay_simhash, op3_interval_tree_dedup, op4_level_doubling_substrings, op5_size_tiered_shards, op6_best_fit_packing, op7_multipart_credentials, op8_viterbi_language, op9_wu_manber_decontamination, op10_stateful_exact_dedup, op11_recursive_merkle_climb)}
 
 
 _ORACLES = {
@@ -102,6 +106,28 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)""",
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain, length(coalesce(text, '')) AS size FROM documents),
 r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY plain ORDER BY size DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM r""",
+    "op11_recursive_merkle_climb": r"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, text, concat('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+    xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END)) AS crc FROM documents),
+l AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS start FROM d),
+p AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS size FROM l),
+inner_ AS (SELECT tree, 0 AS level, idx, size, leaf AS hash FROM p
+    UNION ALL SELECT tree, level + 1, idx // 8, max((size + 7) // 8), sha256(string_agg(hash, '' ORDER BY idx)) FROM inner_ WHERE size > 1 GROUP BY tree, level, idx // 8),
+tops AS (SELECT tree, max(level) AS height, arg_max(hash, level) AS subroot FROM inner_ GROUP BY tree),
+outer_ AS (SELECT 0 AS level, tree AS idx, (SELECT count(*) FROM tops) AS size, subroot AS hash FROM tops
+    UNION ALL SELECT level + 1, idx // 8, max((size + 7) // 8), sha256(string_agg(hash, '' ORDER BY idx)) FROM outer_ WHERE size > 1 GROUP BY level, idx // 8),
+run AS (SELECT tree, level, idx, size, hash, tree || '/' || level || '/' || idx // 8 AS run FROM inner_ WHERE size > 1 UNION ALL SELECT -1, level, idx, size, hash, 'root/' || level || '/' || idx // 8 FROM outer_ WHERE size > 1),
+climb AS (SELECT p.tree, p.idx, 0 AS step, p.start AS folded, CASE WHEN p.size > 1 THEN p.tree ELSE -1 END AS at_tree, 0 AS at_level, CASE WHEN p.size > 1 THEN p.idx ELSE p.tree END AS at_idx, '' AS proof FROM p
+    UNION ALL SELECT c.tree, c.idx, max(c.step) + 1, sha256(string_agg(CASE WHEN r.idx = c.at_idx THEN c.folded ELSE r.hash END, '' ORDER BY r.idx)),
+        CASE WHEN max(c.at_tree) >= 0 AND max(c.at_level) + 1 = max(t.height) THEN -1 ELSE max(c.at_tree) END,
+        CASE WHEN max(c.at_tree) >= 0 AND max(c.at_level) + 1 = max(t.height) THEN 0 ELSE max(c.at_level) + 1 END,
+        CASE WHEN max(c.at_tree) >= 0 AND max(c.at_level) + 1 = max(t.height) THEN c.tree ELSE max(c.at_idx) // 8 END,
+        max(c.proof) || coalesce(string_agg(r.hash, '' ORDER BY r.idx) FILTER (r.idx <> c.at_idx), '')
+    FROM climb c JOIN tops t ON t.tree = c.tree JOIN run r ON r.run = CASE WHEN c.at_tree < 0 THEN 'root' ELSE c.at_tree::VARCHAR END || '/' || c.at_level || '/' || c.at_idx // 8 GROUP BY c.tree, c.idx),
+done AS (SELECT tree, idx, arg_max(folded, step) AS folded_root, arg_max(proof, step) AS proof FROM climb GROUP BY tree, idx),
+root AS (SELECT arg_max(hash, level) AS root FROM outer_)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified FROM p JOIN done USING (tree, idx) JOIN tops USING (tree), root""",
 }
 
 
