@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ready, table
-from . import credentials, decontam, exactdedup, langid, merkle, packing, quality, shards, simhash, substrings, suffixes
+from . import conversations, credentials, decontam, exactdedup, langid, merkle, minhash, packing, quality, shards, simhash, substrings, suffixes
 
 
 def op1_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +66,16 @@ def op11_recursive_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(table(ready(spark), sf_dir, "documents"))
 
 
+def op12_iterative_deepening_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(table(ready(spark), sf_dir, "conversations")))
+
+
+def op13_lsh_forest_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(ready(spark), sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rule_ensemble_quality, op2_golay_simhash, op3_interval_tree_dedup, op4_level_doubling_substrings, op5_size_tiered_shards, op6_best_fit_packing, op7_multipart_credentials, op8_viterbi_language, op9_wu_manber_decontamination, op10_stateful_exact_dedup, op11_recursive_merkle_climb)}
+    return {f.__name__: f for f in (op1_rule_ensemble_quality, op2_golay_simhash, op3_interval_tree_dedup, op4_level_doubling_substrings, op5_size_tiered_shards, op6_best_fit_packing, op7_multipart_credentials, op8_viterbi_language, op9_wu_manber_decontamination, op10_stateful_exact_dedup, op11_recursive_merkle_climb, op12_iterative_deepening_repair, op13_lsh_forest_minhash)}
 
 
 _ORACLES = {
@@ -128,6 +136,41 @@ climb AS (SELECT p.tree, p.idx, 0 AS step, p.start AS folded, CASE WHEN p.size >
 done AS (SELECT tree, idx, arg_max(folded, step) AS folded_root, arg_max(proof, step) AS proof FROM climb GROUP BY tree, idx),
 root AS (SELECT arg_max(hash, level) AS root FROM outer_)
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified FROM p JOIN done USING (tree, idx) JOIN tops USING (tree), root""",
+    "op12_iterative_deepening_repair": r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+    lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END)) % 20 AS hit FROM conversations),
+d AS (SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM d),
+r AS (SELECT conv_id, turn, role, text, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+    substr(role, 1, 1) AS letter, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again) AS i FROM e),
+ins(q, added, price, q2, new_lines) AS (VALUES (0, '', 0, 0, []::VARCHAR[]), (0, 'I', 5, 2, ['user:']), (0, 'II', 10, 3, ['user:', 'assistant:']), (1, '', 0, 1, []), (1, 'I', 5, 2, ['user:']), (1, 'II', 10, 3, ['user:', 'assistant:']),
+    (2, '', 0, 2, []), (2, 'I', 5, 3, ['assistant:']), (2, 'II', 10, 2, ['assistant:', 'user:']), (3, '', 0, 3, []), (3, 'I', 5, 2, ['user:']), (3, 'II', 10, 3, ['user:', 'assistant:'])),
+dp AS (SELECT DISTINCT conv_id, 0 AS i, 0 AS q, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM c
+    UNION ALL SELECT conv_id, i + 1, q3, min(total), arg_min(way, lpad(total::VARCHAR, 9, '0') || way), arg_min(became, lpad(total::VARCHAR, 9, '0') || way) FROM (
+        SELECT dp.conv_id, dp.i, CASE edit WHEN 'D' THEN q2 WHEN 'K' THEN CASE letter WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE q2 WHEN 2 THEN 3 ELSE 2 END END AS q3,
+            cost + price + CASE edit WHEN 'D' THEN 2 WHEN 'K' THEN 0 ELSE 1 END + CASE WHEN fault = 'truncated' AND edit <> 'D' THEN 5 ELSE 0 END AS total, audit || added || edit AS way,
+            lines || new_lines || CASE edit WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE q2 WHEN 2 THEN 'assistant:' ELSE 'user:' END || text] END AS became
+        FROM dp JOIN r ON r.conv_id = dp.conv_id AND r.i = dp.i + 1 JOIN ins USING (q) CROSS JOIN (VALUES ('D'), ('K'), ('R')) AS edits(edit)
+        WHERE edit = 'D' OR (fault IN ('', 'truncated') AND (edit = 'R' OR (letter = 's' AND q2 = 0) OR (letter = 'u' AND q2 <> 2) OR (letter = 'a' AND q2 = 2))))
+    GROUP BY conv_id, i, q3),
+n AS (SELECT conv_id, max(i) AS n FROM dp GROUP BY conv_id),
+fin AS (SELECT dp.conv_id, min(cost + price) AS cost, arg_min(audit || added, lpad((cost + price)::VARCHAR, 9, '0') || audit || added) AS audit, arg_min(lines || new_lines, lpad((cost + price)::VARCHAR, 9, '0') || audit || added) AS lines
+    FROM dp JOIN n ON n.conv_id = dp.conv_id AND n.n = dp.i JOIN ins USING (q) WHERE q2 IN (0, 3) GROUP BY dp.conv_id),
+pairs AS (SELECT conv_id, turn, fault, lag(letter) OVER (PARTITION BY conv_id ORDER BY i) || letter AS pair FROM r),
+stat AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+FROM fin LEFT JOIN stat USING (conv_id)""",
+    "op13_lsh_forest_minhash": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS id, doc_id AS root FROM n UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.id WHERE ways.b > reach.root),
+least AS (SELECT id AS doc_id, min(root) AS root FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)""",
 }
 
 
