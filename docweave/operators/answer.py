@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import scope
 
 
 def references(responses: DataFrame, ids: Column) -> DataFrame:
@@ -57,13 +58,15 @@ def answered(responses: DataFrame, max_rounds: int = 3) -> DataFrame:
 
 
 def selected(hits: DataFrame, selections: DataFrame, first_pass: bool = True, fallback: int = 3) -> DataFrame:
-    """(question_id, element_id, ord): the selected hits in rank order; without selection, or on a later pass, the best three."""
+    """(question_id, element_id, ord): the selected hits in rank order; without selection, or on a later pass, the best three.
+    Where hits say their doc_id, it stays beside the element."""
     order = Window.partitionBy("question_id").orderBy("rr", "chunk_id")
-    ranked = hits.groupBy("question_id", "element_id").agg(F.min("rr").alias("rr"), F.min("chunk_id").alias("chunk_id"))
-    top = hits.withColumn("ord", F.row_number().over(order)).filter(F.col("ord") <= fallback).groupBy("question_id", "element_id").agg(F.min("ord").alias("ord"))
+    key = ["question_id", *scope(hits), "element_id"]
+    ranked = hits.groupBy(*key).agg(F.min("rr").alias("rr"), F.min("chunk_id").alias("chunk_id"))
+    top = hits.withColumn("ord", F.row_number().over(order)).filter(F.col("ord") <= fallback).groupBy(*key).agg(F.min("ord").alias("ord"))
     if not first_pass:
         return top
-    chosen = ranked.join(selections.select("question_id", "element_id").distinct(), ["question_id", "element_id"], "left_semi").select("question_id", "element_id", F.row_number().over(order).alias("ord"))
+    chosen = ranked.join(selections.select("question_id", "element_id").distinct(), ["question_id", "element_id"], "left_semi").select(*key, F.row_number().over(order).alias("ord"))
     rest = top.join(chosen.select("question_id").distinct(), "question_id", "left_anti")
     return chosen.unionByName(rest)
 
@@ -85,9 +88,10 @@ def selected_or_all(hits: DataFrame, selections: DataFrame) -> DataFrame:
 
 def first_per_section(chosen: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Of (question_id, element_id, section_id, ord) the first element of each section that `seen` (question_id, section_id) doesn't hold."""
-    order = Window.partitionBy("question_id", "section_id").orderBy("ord", "element_id")
+    key = ["question_id", *scope(chosen, *([] if seen is None else [seen])), "section_id"]
+    order = Window.partitionBy("question_id", *scope(chosen), "section_id").orderBy("ord", "element_id")
     first = chosen.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
-    return first if seen is None else first.join(seen.select("question_id", "section_id"), ["question_id", "section_id"], "left_anti")
+    return first if seen is None else first.join(seen.select(*key), key, "left_anti")
 
 
 def last_messages(messages: DataFrame, n: int = 6) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 LEVELS = 3
+RESOURCES = ("picture", "table")
+#: Where objects are stored unless a caller says otherwise.
+BASE_URL = "http://minio:9000/documents/"
 
 
 def with_parents(lines: DataFrame, levels: int = LEVELS) -> DataFrame:
@@ -39,21 +42,52 @@ def caption_links(captions: DataFrame, resources: DataFrame, reach: float = 300)
 
 
 def linked_to(links: DataFrame, elements: DataFrame, relation: str = "CAPTION_OF") -> DataFrame:
-    """(src, dst, relation) edges of caption links, by the ids of elements (doc_id, ord, id)."""
+    """(doc_id, src, dst, relation) edges of caption links, by the ids of elements (doc_id, ord, id)."""
     ids = elements.select("doc_id", "ord", "id")
     captions = links.join(ids, ["doc_id", "ord"]).select("doc_id", F.col("resource").alias("ord"), F.col("id").alias("src"))
-    return captions.join(ids, ["doc_id", "ord"]).select("src", F.col("id").alias("dst"), F.lit(relation).alias("relation"))
+    return captions.join(ids, ["doc_id", "ord"]).select("doc_id", "src", F.col("id").alias("dst"), F.lit(relation).alias("relation"))
 
 
-def graph_tables(elements: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, parent_of) of elements (doc_id, ord, id, label, line, page_no, par_ord) and documents (doc_id)."""
+def graph_tables(elements: DataFrame, documents: DataFrame, base_url: str = BASE_URL) -> tuple[DataFrame, DataFrame]:
+    """(nodes, parent_of) of elements (doc_id, ord, id, label, line, page_no, par_ord) and documents (doc_id; filename
+    if it isn't doc_<doc_id>.txt). Both keep doc_id, which names a node together with its id. Media objects lie below base_url, unless
+    elements say where (minio_url)."""
     tag = F.replace(F.initcap(F.replace("label", F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
-    url = F.when(F.col("label").isin("picture", "table"), F.concat(F.lit("http://minio:9000/documents/"), T.image_object(F.concat(F.lit("doc_"), "doc_id"), F.col("id"), F.col("label"))))
-    inner = elements.select(F.col("id").alias("node_id"), tag.alias("tag"), "label", F.col("line").alias("text"), url.alias("minio_url"), "page_no", F.lit(None).cast("string").alias("filename"))
+    made = F.concat(F.lit(base_url), T.image_object(F.concat(F.lit("doc_"), "doc_id"), F.col("id"), F.col("label")))
+    stored = F.coalesce(F.nullif("minio_url", F.lit("")), made) if "minio_url" in elements.columns else made
+    url = F.when(F.col("label").isin(*RESOURCES), stored)
+    inner = elements.select("doc_id", F.col("id").alias("node_id"), tag.alias("tag"), "label", F.col("line").alias("text"), url.alias("minio_url"), "page_no", F.lit(None).cast("string").alias("filename"))
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
-    file = F.concat(name, F.lit(".txt"))
-    outer = documents.select(name.alias("node_id"), F.lit("Document").alias("tag"), F.lit("document").alias("label"), file.alias("text"), F.lit(None).cast("string").alias("minio_url"), F.lit(0).alias("page_no"), file.alias("filename"))
+    file = F.col("filename") if "filename" in documents.columns else F.concat(name, F.lit(".txt"))
+    outer = documents.select("doc_id", name.alias("node_id"), F.lit("Document").alias("tag"), F.lit("document").alias("label"), file.alias("text"), F.lit(None).cast("string").alias("minio_url"), F.lit(0).alias("page_no"), file.alias("filename"))
     header = elements.select(F.col("doc_id").alias("d"), F.col("ord").alias("o"), F.col("id").alias("parent"))
     child = Window.partitionBy("doc_id", "par_ord").orderBy("ord")
     linked = elements.withColumn("sequence", F.row_number().over(child)).join(header, (F.col("doc_id") == F.col("d")) & (F.col("par_ord") == F.col("o")), "left")
-    return inner.unionByName(outer), linked.select(F.coalesce("parent", name).alias("src"), F.col("id").alias("dst"), "sequence")
+    return inner.unionByName(outer), linked.select("doc_id", F.coalesce("parent", name).alias("src"), F.col("id").alias("dst"), "sequence")
+
+
+def from_extracted(rows: DataFrame, levels: int = LEVELS, reach: float = 300) -> tuple[DataFrame, DataFrame]:
+    """(elements, linked_to) of extracted documents, as documents_json() reads them.
+
+    A header's level is the depth of its number, 1 without one, `levels` at
+    most. A resource takes the text of the nearest caption that is linked with
+    it, and its own text, if it says no content, becomes its content. Elements
+    without page stand on page 1; without box, at its corner. elements: doc_id
+    (the file name), ord, id, label, line, content, type, page_no, lvl, par_ord,
+    page_position, ref_position, minio_url, filename.
+    """
+    box = lambda side: F.coalesce(F.col(f"bbox.{side}"), F.lit(0.0))
+    base = rows.select(
+        F.col("filename").alias("doc_id"), F.col("pos").alias("ord"), F.coalesce("label", F.lit("text")).alias("label"), F.coalesce("text", F.lit("")).alias("line"), "content", F.coalesce("page_no", F.lit(1)).alias("page_no"),
+        box("l").alias("x"), box("t").alias("y"), "minio_url", "filename",
+    )
+    depth = F.least(F.coalesce(T.numbering_depth(F.col("line")), F.lit(1)), F.lit(levels))
+    on_page = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("ord")) - 1
+    named = base.withColumn("lvl", F.when(F.col("label") == "section_header", depth)).withColumn("id", T.element_id(F.col("doc_id"), F.col("page_no"), on_page, F.col("line")))
+    placed = positions(with_parents(named, levels))
+    links = caption_links(placed.filter("label = 'caption'"), placed.filter(F.col("label").isin(*RESOURCES)), reach)
+    said = links.join(placed.select("doc_id", "ord", "line"), ["doc_id", "ord"]).groupBy("doc_id", F.col("resource").alias("ord")).agg(F.min_by("line", F.struct("distance", "ord")).alias("caption"))
+    resource = F.col("label").isin(*RESOURCES)
+    told = placed.join(said, ["doc_id", "ord"], "left").withColumn("content", F.when(resource, F.coalesce("content", F.nullif("line", F.lit("")))).otherwise(F.col("content")))
+    told = told.withColumn("line", F.when(resource, F.coalesce("caption", F.lit(""))).otherwise(F.col("line"))).withColumn("type", F.when(resource, "resource").otherwise("text"))
+    return told.drop("x", "y", "caption"), linked_to(links, placed)

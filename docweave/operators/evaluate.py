@@ -31,3 +31,26 @@ def compare(now: DataFrame, before: DataFrame, targets: DataFrame) -> DataFrame:
 
 def latency(events: DataFrame, key: str, seconds: str, share: float = 0.95) -> DataFrame:
     return events.groupBy(key).agg(F.round(F.percentile(F.col(seconds), share), 6).alias("p95"), F.count("*").alias("n"))
+
+
+#: Size of a quantile sketch, and by how much of all values the rank of its quantiles may be off (at 99 % confidence 0.003).
+SKETCH_SIZE, RANK_ERROR = 1600, 0.006
+
+
+def sketched(events: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, sketch): a quantile sketch of a bounded size for each key, made where the rows are and merged. Sketches of
+    parts (hours, runs) can be stored and merged again, so past values are not read a second time."""
+    return events.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH_SIZE)).alias("sketch"))
+
+
+def quantiles(sketches: DataFrame, keys: list[str], share: float = 0.95) -> DataFrame:
+    """(keys, quantile, n) of sketches, those of a key merged; the quantile's rank is within RANK_ERROR of share."""
+    merged = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    return merged.select(*keys, F.kll_sketch_get_quantile_double("sketch", F.lit(share)).alias("quantile"), F.kll_sketch_get_n_double("sketch").alias("n"))
+
+
+def answer_report(answers: DataFrame, references: DataFrame, resolved: DataFrame, text: str = "response", chars_a_token: int = 4) -> DataFrame:
+    """One row for a run: n_answers, unsupported_rate (answers that cite nothing that resolves), n_tokens, tokens_a_query."""
+    backed = citation_validity(references, resolved).filter("n_resolved > 0").select("question_id", F.lit(True).alias("backed"))
+    each = answers.select("question_id", F.floor(F.length(text) / chars_a_token).alias("tokens")).join(backed, "question_id", "left")
+    return each.agg(F.count("*").alias("n_answers"), F.round(F.avg(F.col("backed").isNull().cast("double")), 6).alias("unsupported_rate"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"), F.round(F.avg("tokens"), 6).alias("tokens_a_query"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -13,12 +14,17 @@ MAX_HOPS = 10
 CYCLE = 1000
 
 
+def scope(*frames: DataFrame) -> list[str]:
+    """What names a node beside its id: doc_id where all tables have it, as ids of 40 bits are not unique over many documents."""
+    return ["doc_id"] if all("doc_id" in f.columns for f in frames) else []
+
+
 def normalised(nodes: DataFrame) -> DataFrame:
     """One row a node: a Document shows its filename and page 0, a SectionHeader tag wins over others, nulls get defaults."""
-    is_doc = F.col("tag") == "Document"
+    is_doc, key = F.col("tag") == "Document", [*scope(nodes), "node_id"]
     filename = F.col("filename") if "filename" in nodes.columns else F.col("text")
     shown = nodes.select(
-        "node_id",
+        *key,
         "tag",
         F.when(is_doc, "document").otherwise(F.coalesce("label", F.lit(""))).alias("label"),
         F.coalesce(F.when(is_doc, filename).otherwise(F.col("text")), F.lit("")).alias("text"),
@@ -26,13 +32,47 @@ def normalised(nodes: DataFrame) -> DataFrame:
         F.when(is_doc, 0).otherwise(F.coalesce("page_no", F.lit(0))).cast("int").alias("page_no"),
     )
     rank = F.struct(F.when(F.col("tag") == "Document", 0).when(F.col("tag") == "SectionHeader", 1).otherwise(2), "tag")
-    return shown.groupBy("node_id").agg(F.min_by(F.struct("tag", "label", "text", "minio_url", "page_no"), rank).alias("n")).select("node_id", "n.*")
+    return shown.groupBy(*key).agg(F.min_by(F.struct("tag", "label", "text", "minio_url", "page_no"), rank).alias("n")).select(*key, "n.*")
+
+
+def first_parents(parent_of: DataFrame) -> DataFrame:
+    """(dst, parent_id, sequence) of each node that has a parent; of several parents the first by sequence and id."""
+    by = scope(parent_of)
+    first = F.min_by(F.struct(F.col("src").alias("parent_id"), "sequence"), F.struct("sequence", "src")).alias("p")
+    return parent_of.groupBy(*by, "dst").agg(first).select(*by, "dst", "p.*")
 
 
 def parents(parent_of: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(dst, parent_id, tag, label, text) of each node that has a parent; of several parents the first by sequence and id."""
-    first = parent_of.groupBy("dst").agg(F.min_by("src", F.struct("sequence", "src")).alias("parent_id"))
-    return first.join(nodes.select(F.col("node_id").alias("parent_id"), "tag", "label", "text"), "parent_id", "left")
+    """(dst, parent_id, tag, label, text) of each node that has a parent."""
+    by = scope(parent_of, nodes)
+    return first_parents(parent_of).drop("sequence").join(nodes.select(*by, F.col("node_id").alias("parent_id"), "tag", "label", "text"), [*by, "parent_id"], "left")
+
+
+def lineages(first: DataFrame, facts: DataFrame, rounds: int, enough: Callable[[Column], Column] | None = None) -> tuple[DataFrame, bool]:
+    """((node_id, line, next), whether all are whole): the line of each node that has children, from itself up.
+
+    first is first_parents(); facts (node_id, fact struct) say what a line holds
+    of a node. Lines are doubled: each round joins a line with that of the node
+    above its last, so 2**rounds nodes take `rounds` joins, and nodes without
+    children, most of all, take none. A line that has enough() grows no longer;
+    next is the node that it goes on with.
+    """
+    by = scope(first, facts)
+    inner = first.select(*by, F.col("parent_id").alias("node_id")).distinct()
+    above = first.select(*by, F.col("dst").alias("node_id"), F.col("parent_id").alias("next"))
+    line = F.array("fact")
+    on = lambda grown: F.when(~enough(grown), F.col("next")) if enough else F.col("next")
+    named = inner.join(facts, [*by, "node_id"], "left").join(above, [*by, "node_id"], "left")
+    missing = F.struct(F.col("node_id"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema["fact"].dataType.fields[1:]))
+    now = cut(named.withColumn("fact", F.coalesce("fact", missing)).select(*by, "node_id", line.alias("line"), on(line).alias("next")))
+    for _ in range(rounds):
+        if now.filter("next is not null").isEmpty():
+            return now, True
+        more = now.select(*by, F.col("node_id").alias("next"), F.col("line").alias("more"), F.col("next").alias("then"))
+        met = now.join(more, [*by, "next"], "left").withColumn("line", F.when(F.col("more").isNull(), F.col("line")).otherwise(F.concat("line", "more")))
+        met = met.withColumn("next", F.col("then"))
+        now = cut(met.select(*by, "node_id", "line", on(F.col("line")).alias("next")))
+    return now, now.filter("next is not null").isEmpty()
 
 
 def climb(starts: DataFrame, parent_of: DataFrame, nodes: DataFrame, max_hops: int = MAX_HOPS, full: bool = False, levels: int = 1) -> DataFrame:
@@ -42,44 +82,76 @@ def climb(starts: DataFrame, parent_of: DataFrame, nodes: DataFrame, max_hops: i
     with `full`, at the Document), at a Document, at a node without parent, or
     after max_hops, which also bounds cycles. The section is the last header
     that counts (with `full` the first one); without any, the element itself.
-    breadcrumbs (node_id, label, text) run from the top down. Only unfinished
-    rows take part in a hop, and only edges and nodes that they reach.
+    breadcrumbs (node_id, label, text) run from the top down. Each node above
+    is resolved once, whatever the number of starts below it.
     """
-    crumb = F.struct(F.col("parent_id").alias("node_id"), F.coalesce(F.nullif("label", F.lit("")), F.col("tag"), F.lit("")).alias("label"), F.substring(F.coalesce("text", F.lit("")), 1, 120).alias("text"))
-    none = F.array().cast("array<struct<node_id:string,label:string,text:string>>")
-    now = starts.select("element_id").distinct().select("element_id", F.col("element_id").alias("at"), F.lit(None).cast("string").alias("section"), F.lit(0).alias("hops"), none.alias("crumbs"), F.lit(0).alias("headers"))
-    ended = []
-    for hop in range(1, max_hops + 1):
-        reached = parent_of.join(now.select(F.col("at").alias("dst")).distinct(), "dst", "left_semi")
-        first = reached.groupBy("dst").agg(F.min_by("src", F.struct("sequence", "src")).alias("parent_id"))
-        known = nodes.select(F.col("node_id").alias("parent_id"), "tag", "label", "text").join(first.select("parent_id").distinct(), "parent_id", "left_semi")
-        step = cut(now.join(first.join(known, "parent_id", "left"), F.col("at") == F.col("dst"), "left"))
-        ended.append(step.filter("parent_id is null").select("element_id", "section", "hops", "crumbs"))
-        header = F.coalesce(F.col("tag") == "SectionHeader", F.lit(False))
-        section = F.coalesce("section", F.when(header, F.col("parent_id"))) if full else F.when(header, F.col("parent_id")).otherwise(F.col("section"))
-        moved = step.filter("parent_id is not null").select("element_id", F.col("parent_id").alias("at"), section.alias("section"), F.lit(hop).alias("hops"), F.concat(F.array(crumb), "crumbs").alias("crumbs"), (F.col("headers") + header.cast("int")).alias("headers"), F.coalesce("tag", F.lit("")).alias("tag"))
-        stop = (F.col("tag") == "Document") if full else (F.col("tag") == "Document") | (F.col("headers") >= levels)
-        ended.append(moved.filter(stop).drop("at", "tag", "headers"))
-        now = moved.filter(~stop).drop("tag")
-        if now.isEmpty():
-            break
-    else:
-        ended.append(now.drop("at", "headers"))
-    return reduce(DataFrame.unionByName, ended).select("element_id", F.coalesce("section", "element_id").alias("section_id"), "hops", F.col("crumbs").alias("breadcrumbs"))
+    by = scope(starts, parent_of, nodes)
+    edges = parent_of.select(*by, "src", "dst", "sequence")
+    fact = F.struct("node_id", "tag", "label", F.substring(F.coalesce("text", F.lit("")), 1, 120).alias("text"))
+    header = lambda x: F.coalesce(x["tag"] == "SectionHeader", F.lit(False))
+    document = lambda x: F.coalesce(x["tag"] == "Document", F.lit(False))
+    placed = lambda line, test: F.filter(F.transform(line, lambda x, i: F.when(test(x), i + 1)), lambda n: n.isNotNull())
+    enough = lambda line: F.exists(line, document) if full else F.exists(line, document) | (F.size(F.filter(line, header)) >= levels)
+    first = first_parents(edges)
+    lines, _ = lineages(first, nodes.select(*by, "node_id", fact.alias("fact")), max(0, max_hops - 1).bit_length(), enough)
+    up = starts.select(*by, "element_id").distinct().join(first.select(*by, F.col("dst").alias("element_id"), "parent_id"), [*by, "element_id"], "left")
+    met = up.join(lines.select(*by, F.col("node_id").alias("parent_id"), "line"), [*by, "parent_id"], "left")
+    line = F.coalesce("line", F.array().cast(lines.schema["line"].dataType))
+    met = met.select(*by, "element_id", line.alias("line")).withColumns({"heads": placed(F.col("line"), header), "docs": placed(F.col("line"), document)})
+    stops = [F.lit(max_hops), F.size("line"), F.get("docs", F.lit(0))] + ([] if full else [F.get("heads", F.lit(levels - 1))])
+    met = met.withColumn("hops", F.least(*stops))
+    counted = F.filter("heads", lambda n: n <= F.col("hops"))
+    section = F.get("line", (F.array_min(counted) if full else F.array_max(counted)) - 1)["node_id"]
+    crumb = lambda x: F.struct(x["node_id"].alias("node_id"), F.coalesce(F.nullif(x["label"], F.lit("")), x["tag"], F.lit("")).alias("label"), F.coalesce(x["text"], F.lit("")).alias("text"))
+    return met.select(*by, "element_id", F.coalesce(section, "element_id").alias("section_id"), "hops", F.reverse(F.transform(F.slice("line", F.lit(1), F.col("hops")), crumb)).alias("breadcrumbs"))
+
+
+def intervals(parent_of: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, root, pre, last, depth): places in reading order under each root, from 0 for the root itself.
+
+    The nodes below a node are those of its root with a place from pre + 1 to
+    last, so a subtree is one range join and reading order one sort. Children
+    are ordered by sequence, then id. More than CYCLE levels are taken for a
+    cycle and refused; nodes that only lead into a cycle have no root.
+    """
+    by = scope(parent_of, nodes)
+    first = first_parents(parent_of.select(*by, "src", "dst", "sequence"))
+    own = nodes.select(*by, "node_id").distinct().join(first.select(*by, F.col("dst").alias("node_id"), "parent_id", "sequence"), [*by, "node_id"], "left")
+    fact = F.struct("node_id", "sequence")
+    lines, whole = lineages(first, own.select(*by, "node_id", fact.alias("fact")), CYCLE.bit_length())
+    if not whole:
+        raise ValueError(f"more than {CYCLE} levels: the edges hold a cycle")
+    met = own.join(lines.select(*by, F.col("node_id").alias("parent_id"), "line"), [*by, "parent_id"], "left")
+    line = F.concat(F.array(fact), F.coalesce("line", F.array().cast(lines.schema["line"].dataType)))
+    order = lambda x: F.struct(x["sequence"].alias("sequence"), x["node_id"].alias("node_id"))
+    rows = met.select(*by, "node_id", F.transform(F.reverse(line), order).alias("path"))
+    rows = cut(rows.select(*by, "node_id", F.col("path")[0]["node_id"].alias("root"), "path", (F.size("path") - 1).alias("depth")))
+    below = rows.select(*by, F.explode("path.node_id").alias("node_id")).groupBy(*by, "node_id").agg(F.count("*").alias("n"))
+    placed = rows.withColumn("pre", F.row_number().over(Window.partitionBy(*by, "root").orderBy("path")) - 1)
+    return placed.join(below, [*by, "node_id"]).select(*by, "node_id", "root", "pre", (F.col("pre") + F.col("n") - 1).alias("last"), "depth")
+
+
+def below(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """(top, node_id, depth): all nodes below each node (node_id) of roots, by their intervals; depth counts from the top."""
+    by = scope(labels, roots)
+    tops = labels.join(roots.select(*by, "node_id").distinct(), [*by, "node_id"], "left_semi").select(*by, F.col("node_id").alias("top"), "root", F.col("pre").alias("lo"), F.col("last").alias("hi"), F.col("depth").alias("at"))
+    return tops.join(labels, [*by, "root"]).filter((F.col("pre") > F.col("lo")) & (F.col("pre") <= F.col("hi"))).select(*by, "top", "node_id", (F.col("depth") - F.col("at")).alias("depth"))
 
 
 def children(sections: DataFrame, parent_of: DataFrame, nodes: DataFrame) -> DataFrame:
     """(section_id, node_id, label, text, minio_url, page_no, sequence) of the direct children of distinct sections; missing
     properties and sequences get defaults."""
-    below = sections.select("section_id").distinct().join(parent_of, F.col("section_id") == F.col("src"))
-    found = below.join(nodes, F.col("dst") == F.col("node_id"), "left")
-    return found.select("section_id", F.col("dst").alias("node_id"), F.coalesce("label", F.lit("")).alias("label"), F.coalesce("text", F.lit("")).alias("text"), "minio_url", F.coalesce("page_no", F.lit(0)).alias("page_no"), F.coalesce("sequence", F.lit(0)).alias("sequence"))
+    by = scope(sections, parent_of, nodes)
+    edges = parent_of.select(*by, F.col("src").alias("section_id"), F.col("dst").alias("node_id"), "sequence")
+    below_ = sections.select(*by, "section_id").distinct().join(edges, [*by, "section_id"])
+    found = below_.join(nodes.select(*by, "node_id", "label", "text", "minio_url", "page_no"), [*by, "node_id"], "left")
+    return found.select(*by, "section_id", "node_id", F.coalesce("label", F.lit("")).alias("label"), F.coalesce("text", F.lit("")).alias("text"), "minio_url", F.coalesce("page_no", F.lit(0)).alias("page_no"), F.coalesce("sequence", F.lit(0)).alias("sequence"))
 
 
 def ordered_children(found: DataFrame) -> DataFrame:
     """(section_id, elements) with the children in sequence, ties by id."""
     child = F.struct("sequence", "node_id", "label", "text", "minio_url", "page_no")
-    return found.groupBy("section_id").agg(F.array_sort(F.collect_list(child)).alias("elements"))
+    return found.groupBy(*scope(found), "section_id").agg(F.array_sort(F.collect_list(child)).alias("elements"))
 
 
 def subtree(roots: DataFrame, parent_of: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -108,7 +180,7 @@ def neighbours(nodes_in_order: DataFrame) -> DataFrame:
 
 def window_around(rows: DataFrame, size: int = 12) -> DataFrame:
     """Of siblings (target_id, section_id, node_id, sequence), at most `size` around the target, shifted at the ends."""
-    key = Window.partitionBy("target_id", "section_id")
+    key = Window.partitionBy(*scope(rows), "target_id", "section_id")
     numbered = rows.withColumn("n", F.row_number().over(key.orderBy("sequence", "node_id")))
     placed = numbered.withColumn("at", F.max(F.when(F.col("node_id") == F.col("target_id"), F.col("n"))).over(key)).withColumn("total", F.count("*").over(key))
     low = F.greatest(F.lit(1), F.least(F.col("at") - size // 2, F.col("total") - size + 1))

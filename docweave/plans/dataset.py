@@ -92,7 +92,7 @@ class Dataset:
     @cached_property
     def sections(self) -> DataFrame:
         """chosen with section_id and breadcrumbs."""
-        return self.chosen.join(graph.climb(self.chosen, self.parent_of, self.nodes), "element_id").persist()
+        return self.chosen.join(graph.climb(self.chosen, self.parent_of, self.nodes), ["doc_id", "element_id"]).persist()
 
     @cached_property
     def section_elements(self) -> DataFrame:

@@ -92,7 +92,7 @@ _RESUMED = """, live AS (SELECT DISTINCT question_id FROM ranked WHERE (question
 
 def _resumed(d) -> dict[str, DataFrame]:
     live = d.ranked.select("question_id").distinct().filter("floor(question_id / 50) % 7 != 0")
-    all_hits = d.ranked.drop("distance", "rn", "score", "topic", "doc_id")
+    all_hits = d.ranked.drop("distance", "rn", "score", "topic")
     first = d.chosen.groupBy("question_id").agg(F.min_by("element_id", F.struct("ord", "element_id")).alias("old"))
 
     def respond(made: DataFrame, hits: DataFrame, number: int) -> DataFrame:
@@ -276,7 +276,7 @@ def selected_or_all(d):
     FROM cl c JOIN parent_of p ON p.dst = c.spot JOIN nodes n ON n.node_id = p.src WHERE c.hops < 10 AND c.tag <> 'Document' AND c.heads < 2)
     SELECT element_id, arg_max(section, hops) AS section_id, max(hops) AS hops FROM cl GROUP BY 1""")
 def climb_two_levels(d):
-    starts = d.elements.select(F.col("id").alias("element_id"))
+    starts = d.elements.select("doc_id", F.col("id").alias("element_id"))
     return graph.climb(starts, d.parent_of, d.nodes, levels=2).select("element_id", "section_id", "hops")
 
 

@@ -37,9 +37,12 @@ def contexts(chosen: DataFrame, parent_of: DataFrame, nodes: DataFrame, dedupe:
     questions that use it.
     """
     rows = answer.first_per_section(chosen) if dedupe else chosen
+    by = graph.scope(rows, parent_of, nodes)
+    key = [*by, "section_id"]
     below = graph.ordered_children(graph.children(rows, parent_of, nodes))
-    own = graph.normalised(nodes).select(F.col("node_id").alias("section_id"), F.col("tag").alias("own_tag"), F.col("text").alias("own_text"))
-    joined = rows.join(below, "section_id", "left").join(own, "section_id", "left")
+    reached = nodes.join(rows.select(*by, F.col("section_id").alias("node_id")).distinct(), [*by, "node_id"], "left_semi")
+    own = graph.normalised(reached.select(*by, *(c for c in nodes.columns if c != "doc_id"))).select(*by, F.col("node_id").alias("section_id"), F.col("tag").alias("own_tag"), F.col("text").alias("own_text"))
+    joined = rows.join(below, key, "left").join(own, key, "left")
     header = F.coalesce(F.col("own_tag") == "SectionHeader", F.lit(False))
     none = F.array().cast("array<struct<sequence:int,node_id:string,label:string,text:string,minio_url:string,page_no:int>>")
     text = M.section_markdown(F.col("breadcrumbs"), F.coalesce("elements", none), F.when(header, F.col("own_text")))
@@ -49,7 +52,7 @@ def contexts(chosen: DataFrame, parent_of: DataFrame, nodes: DataFrame, dedupe:
 
 def reconstructed(elements: DataFrame, parent_of: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(contexts by element_id, rejected ids): the enclosing section of each valid id."""
-    good, bad = answer.split_valid(elements.select("element_id").distinct(), T.is_node_id(F.col("element_id")))
+    good, bad = answer.split_valid(elements.select(*graph.scope(elements), "element_id").distinct(), T.is_node_id(F.col("element_id")))
     found = graph.climb(good, parent_of, nodes).withColumn("question_id", F.col("element_id")).withColumn("ord", F.lit(1))
     return contexts(found, parent_of, nodes, dedupe=False).drop("question_id", "ord"), bad
 
@@ -64,7 +67,7 @@ def answer_simple(questions: DataFrame, selections: DataFrame, parent_of: DataFr
     """(prompts of the questions from the selected elements as they are, without dropping repeated sections; questions
     without a selected element)."""
     good = selections.filter(T.is_node_id(F.col("element_id")))
-    placed = good.join(graph.climb(good, parent_of, nodes), "element_id")
+    placed = good.join(graph.climb(good, parent_of, nodes), [*graph.scope(good, parent_of, nodes), "element_id"])
     return prompts(questions, contexts(placed, parent_of, nodes, dedupe=False)), questions.join(good, "question_id", "left_anti")
 
 
@@ -110,7 +113,7 @@ def resume(threads: DataFrame, selections: DataFrame, ranked: DataFrame, questio
     taken = answer.selected(hits, selections.join(threads, "question_id", "left_semi"))
     placed, said, last_hits = None, [], []
     for number in range(1, max_rounds + 1):
-        found = taken.join(graph.climb(taken, parent_of, nodes), "element_id")
+        found = taken.join(graph.climb(taken, parent_of, nodes), [*graph.scope(taken, parent_of, nodes), "element_id"])
         fresh = answer.first_per_section(found, placed).withColumn("ord", F.lit(number * 1_000_000) + F.col("ord"))
         placed = cut(fresh if placed is None else placed.unionByName(fresh))
         asked = hits.select("question_id").distinct()
@@ -135,9 +138,9 @@ def resume(threads: DataFrame, selections: DataFrame, ranked: DataFrame, questio
 
 def section_elements(placed: DataFrame, parent_of: DataFrame, nodes: DataFrame) -> DataFrame:
     """(question_id, node_id, filename, page_no, text, minio_url, ord) of the children of the sections (question_id, section_id, ord, breadcrumbs)."""
-    found = graph.children(placed, parent_of, nodes)
+    found, key = graph.children(placed, parent_of, nodes), [*graph.scope(placed, parent_of, nodes), "section_id"]
     file = F.coalesce(F.get(F.filter("breadcrumbs", lambda b: b["label"] == "document"), F.lit(0))["text"], F.lit(""))
-    rows = placed.select("question_id", "section_id", F.col("ord").alias("sec"), file.alias("filename")).join(found, "section_id")
+    rows = placed.select("question_id", *key, F.col("ord").alias("sec"), file.alias("filename")).join(found, key)
     return rows.select("question_id", "node_id", "filename", "page_no", "text", "minio_url", (F.col("sec").cast("long") * 1_000_000 + F.col("sequence")).alias("ord"))
 
 
@@ -151,6 +154,20 @@ def build_corpus(documents: DataFrame, embed=None) -> tuple[DataFrame, DataFrame
     return rows.withColumn("embedding", (embed or retrieve.hashed_embedding())("document")), nodes, parent_of
 
 
+def build_extracted(rows: DataFrame, embed=None, base_url: str = corpus.BASE_URL) -> dict[str, DataFrame]:
+    """elements, nodes, parent_of, linked_to and chunks of extracted documents, as tables.documents_json() reads them.
+
+    Chunks are the elements with text (a resource's is its caption) and keep
+    their positions; documents without elements have no node.
+    """
+    elements, links = corpus.from_extracted(rows)
+    elements = cut(elements)
+    nodes, parent_of = corpus.graph_tables(elements, rows.select(F.col("filename").alias("doc_id"), "filename").distinct(), base_url)
+    spoken = elements.filter(T.stripped(F.col("line")) != "")
+    chunks = spoken.select("doc_id", F.col("id").alias("chunk_id"), F.col("id").alias("element_id"), F.col("id").alias("graph_node_id"), T.cut(F.col("line"), 1000).alias("document"), "filename", "label", "page_no", "page_position", "ref_position")
+    return {"elements": elements, "nodes": nodes, "parent_of": parent_of, "linked_to": links, "chunks": chunks.withColumn("embedding", (embed or retrieve.hashed_embedding())("document"))}
+
+
 def evaluated(hits: DataFrame, golden: DataFrame, previous: DataFrame, k: int = 10) -> DataFrame:
     """Mean context precision and recall of a run against those of the previous run and the targets."""
     by_q = evaluate.retrieval(hits, golden, k)

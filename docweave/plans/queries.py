@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..functions import text as T
-from ..operators import answer, corpus, evaluate, graph, rank, retrieve
+from ..operators import answer, corpus, evaluate, graph, lexical, rank, retrieve
+from ..session import stored
 from ..sources import tables
 from . import pipelines
 from .dataset import SQL, Dataset
@@ -52,11 +53,29 @@ def knn_l2(d):
     return retrieve.knn(v.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "question_id"), v, 20, "l2", 6)
 
 
+def _coded(d, shortlist=None):
+    v = d.table("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = v.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "question_id")
+    dims = v.select(F.max(F.size("embedding"))).first()[0]
+    books = retrieve.codebooks(v, dims)
+    index = stored(retrieve.coded(v, books, dims), "codes")
+    return retrieve.knn_coded(asked, v, index, books, shortlist=shortlist)
+
+
 @query()
 def knn_lsh(d):
-    """The approximate form, through k-means cells; its key is kept from the hash form that it replaces."""
-    v = d.table("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return retrieve.knn_cells(v.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "question_id"), v)[0]
+    """The approximate form, through product-quantised codes; its key is kept from the hash form that it replaces."""
+    return _coded(d)[0]
+
+
+@query("""SELECT count(*) FILTER (vec_id % 50 = 0) AS n_questions, true AS reached, (count(*) >= 2000) AS few_exact FROM embeddings""")
+def knn_recall(d):
+    """Whether the approximate form finds 0.95 of the exact 20 nearest, and takes the exact distances of under a tenth of the pairs (which
+    holds from some 1,200 chunks on)."""
+    found, pairs = _coded(d)
+    total = d.table("embeddings").count()
+    seen = retrieve.recall(found, d.near).crossJoin(pairs.agg(F.count("*").alias("n_pairs")))
+    return seen.select("n_questions", (F.col("recall") >= 0.95).alias("reached"), (F.col("n_pairs") < 0.1 * F.col("n_questions") * total).alias("few_exact"))
 
 
 @query()
@@ -93,6 +112,28 @@ def group_ordinals(d):
     return d.ranked.select("question_id", "filename", F.row_number().over(order).alias("chunk_rank"), "chunk_id")
 
 
+_BM25 = """, tok AS (SELECT chunk_id, unnest(regexp_extract_all(lower(document), '[a-z]+')) AS term FROM chunks),
+    size AS (SELECT chunk_id, count(*) AS size FROM tok GROUP BY 1), tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    total AS (SELECT count(*) AS n, (SELECT count(*) FROM tok) / count(*) AS mean FROM chunks),
+    asked AS (SELECT question_id, unnest(list_distinct(regexp_extract_all(lower(question), '[a-z]+'))) AS term FROM questions),
+    bm AS (SELECT question_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score
+        FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN size USING (chunk_id), total GROUP BY 1, 2)"""
+
+
+@query(f"{_BM25} SELECT question_id, chunk_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rn FROM bm QUALIFY rn <= 20")
+def bm25_topk(d):
+    return lexical.bm25(d.questions, lexical.index(d.chunks, 20), 20)
+
+
+@query(f"""{_BM25} SELECT question_id, chunk_id, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY question_id ORDER BY coalesce(score, 0) DESC, rn) AS rr
+    FROM hits_ LEFT JOIN bm USING (question_id, chunk_id) QUALIFY rr <= 10""".replace("hits_", "(SELECT question_id, chunk_id, rn FROM hits)"))
+def bm25_rerank(d):
+    """The second stage with BM25 in place of the overlap of words: the hits' own pairs are looked up in the index."""
+    scored = lexical.scores(d.hits, lexical.asked_terms(d.questions), lexical.index(d.chunks, 20))
+    hits = d.hits.drop("score").join(scored, ["question_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return rank.reranked(hits, 10).select("question_id", "chunk_id", "score", "rr")
+
+
 # Corpus
 
 
@@ -155,26 +196,33 @@ def subtree(d):
     return graph.subtree(d.nodes.filter("tag = 'Document'"), d.parent_of).select("root", "node_id", "depth")
 
 
+@query(""", sub AS (SELECT node_id AS top, node_id, 0 AS depth FROM nodes WHERE tag = 'SectionHeader' UNION ALL
+    SELECT s.top, p.dst, s.depth + 1 FROM sub s JOIN parent_of p ON p.src = s.node_id) SELECT top, node_id, depth FROM sub WHERE depth > 0""")
+def subtree_by_interval(d):
+    """All that lies below each section header."""
+    return graph.below(graph.intervals(d.parent_of, d.nodes), d.nodes.filter("tag = 'SectionHeader'")).select("top", "node_id", "depth")
+
+
 @query("SELECT section_id, string_agg(node_id, ',' ORDER BY sequence) AS children, count(*) AS n FROM kids GROUP BY 1")
 def children_ordered(d):
-    found = graph.ordered_children(graph.children(d.parent_of.select(F.col("src").alias("section_id")), d.parent_of, d.nodes))
+    found = graph.ordered_children(graph.children(d.parent_of.select("doc_id", F.col("src").alias("section_id")), d.parent_of, d.nodes))
     return found.select("section_id", F.array_join("elements.node_id", ",").alias("children"), F.size("elements").cast("long").alias("n"))
 
 
 @query("SELECT src, dst, sequence FROM parent_of WHERE src LIKE 'doc\\_%' ESCAPE '\\'")
 def root_children(d):
-    roots = d.nodes.filter("tag = 'Document'").select(F.col("node_id").alias("section_id"))
+    roots = d.nodes.filter("tag = 'Document'").select("doc_id", F.col("node_id").alias("section_id"))
     return graph.children(roots, d.parent_of, d.nodes).select(F.col("section_id").alias("src"), F.col("node_id").alias("dst"), "sequence")
 
 
 @query("SELECT c.chunk_id, n.node_id, n.tag, n.text, n.page_no FROM chunks c JOIN nodes n ON n.node_id = c.element_id")
 def element_lookup(d):
-    return d.chunks.select("chunk_id", "element_id").join(graph.normalised(d.nodes), F.col("element_id") == F.col("node_id")).select("chunk_id", "node_id", "tag", "text", "page_no")
+    return d.chunks.select("chunk_id", "doc_id", F.col("element_id").alias("node_id")).join(graph.normalised(d.nodes), ["doc_id", "node_id"]).select("chunk_id", "node_id", "tag", "text", "page_no")
 
 
 @query("SELECT id AS element_id, 'doc_' || doc_id AS document FROM el")
 def doc_of_element(d):
-    found = graph.climb(d.elements.select(F.col("id").alias("element_id")), d.parent_of, d.nodes, full=True)
+    found = graph.climb(d.elements.select("doc_id", F.col("id").alias("element_id")), d.parent_of, d.nodes, full=True)
     return found.select("element_id", F.col("breadcrumbs")[0]["node_id"].alias("document"))
 
 
@@ -187,9 +235,9 @@ def catalog(d):
     SELECT s.root, p.dst, s.path || lpad(CAST(p.sequence AS VARCHAR), 8, '0') || '/' FROM sub s JOIN parent_of p ON p.src = s.node_id)
     SELECT root, sha256(string_agg(text, chr(10) ORDER BY path)) AS text_sha256, count(*) AS n FROM sub JOIN nodes USING (node_id) WHERE root <> node_id GROUP BY 1""")
 def read_document(d):
-    found = graph.subtree(d.nodes.filter("tag = 'Document'"), d.parent_of).filter("depth > 0").join(d.nodes, "node_id")
-    ordered = F.array_sort(F.collect_list(F.struct("path", "text")))
-    return found.groupBy("root").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n"), 256).alias("text_sha256"), F.count("*").alias("n"))
+    labels = graph.intervals(d.parent_of, d.nodes).filter("depth > 0 and root like 'doc%'").join(d.nodes, ["doc_id", "node_id"])
+    ordered = F.array_sort(F.collect_list(F.struct("pre", "text")))
+    return labels.groupBy("root").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n"), 256).alias("text_sha256"), F.count("*").alias("n"))
 
 
 @query("""SELECT src, section_id, lag(section_id) OVER w AS before, lead(section_id) OVER w AS after FROM
@@ -207,9 +255,9 @@ def neighbour_sections(d):
      FROM (SELECT DISTINCT element_id, section_id FROM sections) s JOIN kids k USING (section_id)))
     WHERE n >= greatest(1, least(spot - 6, total - 11)) AND n < greatest(1, least(spot - 6, total - 11)) + 12""")
 def context_window(d):
-    targets = d.sections.select(F.col("element_id").alias("target_id"), "section_id").distinct()
+    targets = d.sections.select("doc_id", F.col("element_id").alias("target_id"), "section_id").distinct()
     found = graph.children(targets, d.parent_of, d.nodes)
-    return graph.window_around(targets.join(found, "section_id")).select("target_id", "node_id", "sequence")
+    return graph.window_around(targets.join(found, ["doc_id", "section_id"])).select("target_id", "node_id", "sequence")
 
 
 @query("""SELECT question_id, section_id, ord, running FROM (SELECT question_id, section_id, ord,
@@ -221,7 +269,7 @@ def context_budget(d):
 
 @query("""SELECT k.section_id, k.node_id FROM kids k JOIN nodes n ON n.node_id = k.section_id WHERE n.tag = 'Document' AND k.label NOT IN ('picture', 'table', 'section_header')""")
 def root_filter(d):
-    roots = d.nodes.filter("tag = 'Document'").select(F.col("node_id").alias("section_id"))
+    roots = d.nodes.filter("tag = 'Document'").select("doc_id", F.col("node_id").alias("section_id"))
     return graph.children(roots, d.parent_of, d.nodes).filter(~F.col("label").isin("picture", "table", "section_header")).select("section_id", "node_id")
 
 
@@ -230,7 +278,7 @@ def root_filter(d):
 
 @query("SELECT section_id, body AS markdown, n FROM body")
 def section_markdown(d):
-    found = graph.ordered_children(graph.children(d.parent_of.select(F.col("src").alias("section_id")), d.parent_of, d.nodes))
+    found = graph.ordered_children(graph.children(d.parent_of.select("doc_id", F.col("src").alias("section_id")), d.parent_of, d.nodes))
     none = F.array().cast("array<struct<label:string,text:string>>")
     return found.select("section_id", F.nullif(M.section_markdown(none, F.col("elements"), F.lit(None).cast("string")), F.lit("")).alias("markdown"), F.size("elements").cast("long").alias("n"))
 
@@ -368,9 +416,9 @@ def element_filename(d):
 @query("SELECT r.question_id, r.chunk_id, u.text AS section_header_text FROM ranked r LEFT JOIN up u ON u.element_id = r.element_id AND u.tag = 'SectionHeader'")
 def hit_section_text(d):
     found = graph.climb(d.ranked, d.parent_of, d.nodes)
-    header = d.nodes.filter("tag = 'SectionHeader'").select(F.col("node_id").alias("section_id"), F.col("text").alias("section_header_text"))
-    own = found.filter("section_id != element_id").join(header, "section_id").select("element_id", "section_header_text")
-    return d.ranked.join(own, "element_id", "left").select("question_id", "chunk_id", "section_header_text")
+    header = d.nodes.filter("tag = 'SectionHeader'").select("doc_id", F.col("node_id").alias("section_id"), F.col("text").alias("section_header_text"))
+    own = found.filter("section_id != element_id").join(header, ["doc_id", "section_id"]).select("doc_id", "element_id", "section_header_text")
+    return d.ranked.join(own, ["doc_id", "element_id"], "left").select("question_id", "chunk_id", "section_header_text")
 
 
 @query("""SELECT question_id, CASE WHEN question_id IN (SELECT question_id FROM sel) THEN 'resume' ELSE 'fallback' END AS route FROM (SELECT DISTINCT question_id FROM ranked)""")
@@ -570,7 +618,7 @@ def latency_p95(d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import pipeline_queries  # noqa: F401  registers its own
+    from . import pipeline_queries, store_queries  # noqa: F401  they register their own
 
     return dict(QUERIES)
 

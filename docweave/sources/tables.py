@@ -50,6 +50,33 @@ def media(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
     return files.select(F.substring_index("path", root.split(":", 1)[-1].lstrip("/"), -1).alias("object_name"), "length", "content")
 
 
+def write_objects(objects: DataFrame, path: str) -> None:
+    """Writes (object_name, content binary) below path, one file an object, by the tasks that hold the rows.
+
+    Names that are null or not safe are left out. A file is written aside and
+    renamed, so a task that runs again leaves one whole object.
+    """
+    safe = objects.filter(T.is_object_name(F.col("object_name"))).select("object_name", "content")
+
+    def put(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}") if not path.startswith("file:/") else (fs.LocalFileSystem(), path.split(":", 1)[1])
+        root = "/" + root.lstrip("/")
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                target = f"{root}/{name}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                aside = f"{target}.{uuid.uuid4().hex}"
+                with store.open_output_stream(aside) as out:
+                    out.write(content or b"")
+                store.move(aside, target)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    safe.mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
 def with_media(refs: DataFrame, objects: DataFrame) -> DataFrame:
     """Image references with the stored object; unsafe names and missing objects stay, with nulls."""
     name = F.when(T.is_object_name(F.col("object_name")), F.col("object_name"))

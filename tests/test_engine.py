@@ -141,17 +141,35 @@ def test_knn_exact_and_approximate(spark, sf):
     for i, near in exact.items():
         d = {j: round(1 - float(x), 9) for j, x in zip(ids, m @ rows[i] / np.linalg.norm(m, axis=1) / np.linalg.norm(rows[i])) if j != i}
         assert near == set(sorted(d, key=lambda j: (d[j], j))[:20])
-    found = {}
-    near, pairs = retrieve.knn_cells(q, v)
-    for r in near.collect():
-        found.setdefault(r.question_id, set()).add(r.chunk_id)
-    assert pairs.count() < q.count() * (v.count() - 1)
-    assert retrieve.knn_cells(q, v.limit(0))[0].count() == 0
-    recall = sum(len(exact[i] & found.get(i, set())) for i in exact) / sum(map(len, exact.values()))
-    assert recall >= 0.9
+    books = retrieve.codebooks(v, m.shape[1])
+    index = retrieve.coded(v, books, m.shape[1])
+    assert index.count() == len(ids)
+    near, pairs = retrieve.knn_coded(q, v, index, books)
+    assert pairs.count() == q.count() * 120  # the short lists
+    one = retrieve.recall(near, retrieve.knn(q, v, 20)).first()
+    assert one.n_questions == q.count() and one.recall >= 0.95
+    assert retrieve.knn_coded(q, v, index.limit(0), books)[0].count() == 0
     assert retrieve.knn(q.limit(0), v, 20).count() == 0
 
 
+def test_knn_blocks_parts_and_sizes(spark, monkeypatch):
+    """More than one block of questions and part of chunks, two sizes of vectors, ties, rows without a vector."""
+    import numpy as np
+
+    monkeypatch.setattr(retrieve, "BLOCK", 7)
+    monkeypatch.setattr(retrieve, "PART", 50)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 2 + i % 2)]) for i in range(300)] + [(300, None), (301, [])]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    got = sorted(map(tuple, retrieve.knn(df.filter("chunk_id % 10 < 2").withColumnRenamed("chunk_id", "question_id"), df, 5, "l2", 6).collect()))
+    want = []
+    for q, v in rows:
+        if q % 10 < 2 and v:
+            far = sorted((round(float(np.linalg.norm(np.subtract(v, w))), 6), c) for c, w in rows if w and len(w) == len(v) and c != q)[:5]
+            want += [(q, c, d, n) for n, (d, c) in enumerate(far, 1)]
+    assert got == sorted(want)
+
+
 def test_header_numbers(spark):
     rows = spark.createDataFrame([("2.1.3 Title", 3), ("4) x", 1), ("IV. x", 1), ("b) x", 2), ("None", None)], "h string, depth int")
     assert all(r.depth == r.got for r in rows.withColumn("got", T.numbering_depth(F.col("h"))).collect())
