@@ -21,9 +21,9 @@ three quarters the same shingles, once in some thousand.
 Candidates whose signatures agree too little are left out, by five standard
 deviations below the limit. All others are confirmed on the full sets, but for
 pairs that chains of confirmed links already connect: first each node's
-best pair, three times over, then all that remain. Where candidates turn out
-to be apart, each is held against the node with the most links beside the
-other, until that finds nothing more.
+best pair, then also the node with the most links beside its candidates, then
+all that remain. Where candidates turn out to be apart, each is held against
+the node with the most links beside the other, until that finds nothing more.
 """
 
 from __future__ import annotations
@@ -47,8 +47,8 @@ POSITIONS = TREES * WIDTH
 LEAST, CROWD = 3, 16
 #: Equal bytes that a candidate needs: the limit's share less five standard deviations.
 AGREE = int(POSITIONS * PERCENT / 100 - 5 * (POSITIONS * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
-#: Rounds in which each node offers its best pair only.
-BEST_ROUNDS = 3
+#: Rounds in which each node offers its best pairs only.
+BEST_ROUNDS = 2
 _FACTORS = mixed(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -173,7 +173,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, text) of keys: a text that has the set, found by the node's least doc_id."""
+    """(id, key, text) of keys: a number for each, and a text that has the set, found by the node's least doc_id."""
     wanted = keys.join(nodes.select("key", "least"), "key").withColumn("id_hash", F.xxhash64("least"))
     wanted = staged(wanted, "wanted")
     near = may_be_in(docs.withColumn("id_hash", F.xxhash64("doc_id")), wanted.select("id_hash"), "id_hash").filter("__may").select("doc_id", "text")
@@ -184,8 +184,8 @@ def _texts(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), batch.column(0), batch.column(1)], ["key", "doc_id", "text"])
 
     read = near.mapInArrow(run, f"key binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string").filter("key is not null")
-    met = read.join(wanted, "key").filter(F.col("doc_id").eqNullSafe(F.col("least")))
-    return staged(met.select("key", "text").dropDuplicates(["key"]), "texts")
+    met = read.join(wanted, "key").filter(F.col("doc_id").eqNullSafe(F.col("least"))).select("key", "text").dropDuplicates(["key"])
+    return staged(met.select(F.monotonically_increasing_id().alias("id"), "key", "text"), "texts")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,17 +203,16 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """Each node's pair with the most agreeing bytes."""
-    best = F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")
-    ends = pairs.withColumn("node", F.explode(F.array("a", "b")))
-    return ends.groupBy("node").agg(best).select("p.a", "p.b").distinct()
-
-
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    side = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}"))
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
     asked = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return staged(asked.mapInArrow(_confirm, "a binary, b binary"), "links")
+    return staged(asked.mapInArrow(_confirm, "a long, b long"), "links")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Each node's pair with the greatest weight."""
+    best = F.max(F.struct("weight", "a", "b")).alias("p")
+    return pairs.withColumn("node", F.explode(F.array("a", "b"))).groupBy("node").agg(best).select("p.a", "p.b").distinct()
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -223,45 +222,67 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
 
 
+def _merged(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """groups after more links: those between groups are merged as links of whole groups."""
+    if groups is None:
+        return staged(connected_components(links), "groups")
+    for c in ("a", "b"):
+        links = links.join(groups.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+    between = links.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a != b").distinct()
+    more = connected_components(between).select(F.col("id").alias("component"), F.col("component").alias("now"))
+    moved = groups.join(more, "component", "full_outer")
+    return staged(moved.select(F.coalesce("id", "component").alias("id"), F.coalesce("now", "component").alias("component")).distinct(), "groups")
+
+
 def _by_way_of(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """For each pair (x, y) both ways: x with the node that y is linked with that has the most links. In a crowd of copies
-    that are like their source but less like each other, the source is among the few candidates of some copies only, and
-    the others find it through them."""
+    """(a, b, weight): for each pair (x, y) both ways, x with the node that y is linked with that has the most links; weight
+    counts the pairs that lead there. In a crowd of copies that are like their source but less like each other, the source
+    is among the few candidates of some copies only, and the others find it through them."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("b").agg(F.count("*").alias("n"))
-    star = both.join(degree, "b").groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("star"))
+    star = both.join(degree, "b").groupBy("a").agg(F.max(F.struct("n", "b")).alias("s")).select("a", F.col("s.b").alias("star"))
     ways = pairs.select(F.col("a").alias("x"), F.col("b").alias("a")).unionByName(pairs.select(F.col("b").alias("x"), "a"))
     found = ways.join(star, "a").filter("x != star")
-    return found.select(F.least("x", "star").alias("a"), F.greatest("x", "star").alias("b")).distinct()
+    return found.groupBy(F.least("x", "star").alias("a"), F.greatest("x", "star").alias("b")).agg(F.count("*").alias("weight"))
 
 
 def components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, component): the nodes that have a link, and the least node that chains of links reach."""
-    pairs = candidates(nodes)
-    none = docs.sparkSession.createDataFrame([], "id binary, component binary")
-    if pairs.isEmpty():
+    """(key, component): the nodes that have a link, and a number that those share which chains of links connect."""
+    found = candidates(nodes)
+    none = docs.sparkSession.createDataFrame([], "key binary, component long")
+    if found.isEmpty():
         return none
-    texts = _texts(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    links, groups, left = None, none, pairs
+    texts = _texts(docs, nodes, found.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    number = lambda c: texts.select(F.col("key").alias(c), F.col("id").alias(f"{c}_id"))
+    numbered = found.join(number("a"), "a").join(number("b"), "b")
+    pairs = staged(numbered.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), F.col("agree").cast("long").alias("weight")), "pairs")
+
+    links, groups, asked, left = None, None, None, pairs
     for turn in range(BEST_ROUNDS + 1):
-        chosen = staged(_best(left), "chosen") if turn < BEST_ROUNDS else left
-        found = _confirmed(chosen, texts)
-        links = found if links is None else links.unionByName(found)
-        groups = staged(connected_components(links), "groups")
-        if turn == BEST_ROUNDS:
-            break
-        left = staged(_apart(left.join(chosen.select("a", "b"), ["a", "b"], "left_anti"), groups), "left")
+        chosen = left if turn == BEST_ROUNDS else _best(left)
+        if turn:
+            ways = _by_way_of(left, links)
+            chosen = chosen.select("a", "b").unionByName(_best(ways) if turn < BEST_ROUNDS else ways.select("a", "b")).distinct()
+            chosen = _apart(chosen.join(asked, ["a", "b"], "left_anti"), groups)
+        chosen = staged(chosen.select("a", "b"), "chosen")
+        new = _confirmed(chosen, texts)
+        links = new if links is None else links.unionByName(new)
+        asked = chosen if asked is None else asked.unionByName(chosen)
+        groups = _merged(groups, new)
+        left = staged(_apart(pairs.join(asked, ["a", "b"], "left_anti") if turn < BEST_ROUNDS else pairs, groups), "left")
         if left.isEmpty():
             break
-    asked = pairs.select("a", "b")
-    while True:
-        apart = staged(_apart(pairs, groups), "apart")
-        more = staged(_apart(_by_way_of(apart, links), groups).join(asked, ["a", "b"], "left_anti"), "more")
-        found = _confirmed(more, texts)
-        if found.isEmpty():
-            return groups
-        links, asked = links.unionByName(found), asked.unionByName(more)
-        groups = staged(connected_components(links), "groups")
+    else:
+        while True:
+            more = staged(_apart(_by_way_of(left, links).join(asked, ["a", "b"], "left_anti"), groups).select("a", "b"), "more")
+            if more.isEmpty():
+                break
+            new = _confirmed(more, texts)
+            if new.isEmpty():
+                break
+            links, asked, groups = links.unionByName(new), asked.unionByName(more), _merged(groups, new)
+            left = staged(_apart(left, groups), "left")
+    return groups.join(texts.select("id", "key"), "id").select("key", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = rows.filter("key is not null")
     nodes = staged(some.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("sig").alias("sig")), "nodes")
     groups = components(docs, nodes)
-    grouped = groups.join(nodes.select("key", "least"), F.col("id") == F.col("key"))
+    grouped = groups.join(nodes.select("key", "least"), "key")
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = grouped.join(least, "component").select("key", "component_id", F.lit(True).alias("linked"))
     classes = nodes.join(named, "key", "left").select("key", "copies", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
