@@ -49,6 +49,8 @@ LEAST, CROWD = 3, 16
 AGREE = int(POSITIONS * PERCENT / 100 - 5 * (POSITIONS * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
 #: Rounds in which each node offers its best pairs only.
 BEST_ROUNDS = 2
+#: Links between groups that one task merges; more take rounds over the cluster.
+FEW_LINKS = 20_000
 _FACTORS = mixed(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -225,11 +227,11 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 def _merged(groups: DataFrame | None, links: DataFrame) -> DataFrame:
     """groups after more links: those between groups are merged as links of whole groups."""
     if groups is None:
-        return staged(connected_components(links), "groups")
+        return staged(connected_components(links, in_task=FEW_LINKS), "groups")
     for c in ("a", "b"):
         links = links.join(groups.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
     between = links.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a != b").distinct()
-    more = connected_components(between).select(F.col("id").alias("component"), F.col("component").alias("now"))
+    more = connected_components(between, in_task=FEW_LINKS).select(F.col("id").alias("component"), F.col("component").alias("now"))
     moved = groups.join(more, "component", "full_outer")
     return staged(moved.select(F.coalesce("id", "component").alias("id"), F.coalesce("now", "component").alias("component")).distinct(), "groups")
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from docweave.llm import minhash
+from docweave.llm.components import connected_components
 from test_simhash import components
 
 
@@ -63,10 +64,11 @@ def edited(rng, words, changes):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("crowd", [16, 4])
-def test_crowded_regions_lose_no_link(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd,few", [(16, 20_000), (4, 0)])
+def test_crowded_regions_lose_no_link(spark, monkeypatch, crowd, few):
     """Many texts share three quarters of their words, some are copies of one with few edits, and one group is dense."""
     monkeypatch.setattr(minhash, "_candidates", lambda batches, f=minhash._candidates: (minhash.__dict__.__setitem__("CROWD", crowd), f(batches))[1])
+    monkeypatch.setattr(minhash, "FEW_LINKS", few)
     rng = np.random.default_rng(5)
     common = [f"c{i}" for i in range(150)]
     own = [[*common, *(f"u{k}x{i}" for i in range(50))] for k in range(150)]
@@ -87,3 +89,12 @@ def test_signatures_estimate_similarity():
     assert np.diff(first).tolist() == [len(x), len(y)]
     sig = minhash.signatures(h, first)
     assert abs((sig[0] == sig[1]).mean() - len(x & y) / len(x | y)) < 0.12
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = np.random.default_rng(7)
+    chain = [(i, i + 1) for i in range(100, 160)]
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 90, (60, 2))] + chain + [(7, 7), (None, 3)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    rounds, one = (sorted(map(tuple, connected_components(df, in_task=n).collect())) for n in (0, 1000))
+    assert one == rounds == sorted(components([e for e in edges if None not in e and e[0] != e[1]]).items())
