@@ -47,11 +47,11 @@ def digest_of(plain: Column) -> Column:
 
 def _best(size: str, row_id: str) -> Column:
     """Of the rows of a group, the one with the greatest size, then the smallest id."""
-    return F.min_by(F.struct(F.col(row_id).alias("keep_id"), F.col("locator")), F.struct((-F.col(size)).alias("size"), F.col(row_id).isNull().alias("none"), F.col(row_id).alias("id")))
+    return F.min_by(F.struct(F.col(row_id).alias("keep_id"), F.col("locator"), F.col(size).alias("keep_size")), F.struct((-F.col(size)).alias("size"), F.col(row_id).isNull().alias("none"), F.col(row_id).alias("id")))
 
 
 def remembered(path: str, schema: StructType) -> DataFrame:
-    """(digest, keep_id, locator, group_size): the keyed state after the arrivals written at path have streamed through it."""
+    """(digest, keep_id, locator, keep_size, group_size): the keyed state after the arrivals written at path have streamed through it."""
     spark = SparkSession.getActiveSession()
     root = f"{shared_dir(spark)}/exact-{uuid.uuid4().hex}"
     files = len(spark.read.schema(schema).parquet(path).inputFiles())
@@ -70,12 +70,12 @@ def remembered(path: str, schema: StructType) -> DataFrame:
     finally:
         for key, value in before.items():
             spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
-    landed_as = f"digest string, best struct<keep_id:{schema['row_id'].dataType.simpleString()},locator:string>, group_size long, batch long"
+    landed_as = f"digest string, best struct<keep_id:{schema['row_id'].dataType.simpleString()},locator:string,keep_size:int>, group_size long, batch long"
     spark.createDataFrame([], landed_as).drop("batch").write.parquet(f"{root}/state/batch=-1")
     landed = spark.read.schema(landed_as).parquet(f"{root}/state")
     # Each batch lands the digests it changed; the last one to do so holds their state.
     last = landed.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("last"))
-    return last.select("digest", "last.best.keep_id", "last.best.locator", "last.group_size")
+    return last.select("digest", "last.best.keep_id", "last.best.locator", "last.best.keep_size", "last.group_size")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,7 +83,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when they are identical without ASCII white space; null
     counts as empty. Of equal texts the row with the most code points, then the
-    smallest id, stays; a null id loses ties. Rows that repeat both id and text
+    smallest id, stays; a null id loses ties. Rows that repeat both id and length
     count each and share their fate. keep_locator is the file that holds the
     row that stays (empty where docs come from no file). A very long text is
     hashed and compared whole; an empty table gives no rows. Only the two named
@@ -103,13 +103,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = plain.select(digest_of(F.col("plain")).alias("digest"), "row_id", "plain", "size", "locator").select("*", cell)
     hit = may_be_in(texts, state.filter("group_size > 1").select(cell), "cell").filter("__may")
     wrong = staged(hit.groupBy("digest").agg(F.min("plain").alias("least"), F.max("plain").alias("most")).filter("least != most").select("digest"), "wrong")
-    kept = F.col("row_id").eqNullSafe(F.col("keep_id"))
+    kept = F.col("row_id").eqNullSafe(F.col("keep_id")) & (F.col("size") == F.col("keep_size"))
     shown = lambda rows, locator: rows.select(F.col("row_id").alias("doc_id"), "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"), F.col(locator).alias("keep_locator"))
     known = state.withColumnRenamed("locator", "keep_locator")
     if wrong.isEmpty():
         return shown(meet(arrivals, known, ["digest"], "group_size", ["row_id", "size"]), "keep_locator")
     split = texts.join(wrong, "digest")
     groups = split.groupBy("digest", "plain").agg(_best("size", "row_id").alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select("digest", "plain", "best.keep_id", F.col("best.locator").alias("keep_locator"), "group_size")
+    groups = groups.select("digest", "plain", "best.keep_id", F.col("best.locator").alias("keep_locator"), "best.keep_size", "group_size")
     right = meet(arrivals.join(wrong, "digest", "left_anti"), known, ["digest"], "group_size", ["row_id", "size"])
     return shown(right, "keep_locator").unionByName(shown(split.join(groups, ["digest", "plain"]), "keep_locator"))

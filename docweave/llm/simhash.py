@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .text import LOWER, NOT_SPACE, joined, pieces, signed, staged, words
+from .text import LOWER, NOT_SPACE, joined, meet, pieces, signed, staged, words
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -232,14 +232,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and wordless texts all have fingerprint zero and are linked
     like any others; an empty table gives an empty table; rows with equal ids
-    each get a row; rows with a null id have a component only if others share
-    their fingerprint or links. Only the two named columns are read.
+    each get a row and are not linked by their id. A row without id takes part
+    in links; component_id is null only if none of its component has an id.
+    Only the two named columns are read.
     """
     marked = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    edges = links(nodes)
-    by = lambda side: nodes.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node"))
-    joined = edges.join(by("a"), "a").join(by("b"), "b")
-    groups = connected_components(joined, "a_node", "b_node")
-    classes = nodes.join(groups, nodes["node"] == groups["id"], "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    groups = connected_components(links(nodes))
+    named = nodes.join(groups, nodes["fp"] == groups["id"], "left").select("fp", "least", "copies", "component")
+    least = named.filter("component is not null").groupBy("component").agg(F.min("least").alias("of_all"))
+    classes = named.join(least, "component", "left").select("fp", "copies", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("of_all")).alias("component_id"))
+    met = meet(marked, staged(classes, "classes"), ["fp"], "copies", ["doc_id"])
+    return met.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -13,8 +13,8 @@ def expected(rows):
         groups[re.sub(r"[\x20\x09-\x0D]", "", text or "")].append((-len(text or ""), i is None, i))
     out = []
     for plain, each in groups.items():
-        keep = min(each, key=lambda x: (x[0], x[1], x[2] or 0))[2]
-        out += [(i, keep, len(each), i == keep, hashlib.sha256(plain.encode()).hexdigest()) for _, _, i in each]
+        most, _, keep = min(each, key=lambda x: (x[0], x[1], x[2] or 0))
+        out += [(i, keep, len(each), i == keep and size == most, hashlib.sha256(plain.encode()).hexdigest()) for size, _, i in each]
     return sorted(out, key=str)
 
 
@@ -40,6 +40,11 @@ def test_equal_digests_of_rows_without_id_are_split(spark, one_digest):
     assert sorted((str(r.keep_id), r.group_size) for r in exactdedup.exact_groups(docs).collect()) == [("3", 1), ("None", 1), ("None", 1)]
 
 
+def test_of_rows_with_one_id_the_longest_stays(spark):
+    docs = spark.createDataFrame([(7, "a b"), (7, "ab"), (8, "a b"), (9, "c")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.kept) for r in exactdedup.exact_groups(docs).collect()) == [(7, False), (7, True), (8, False), (9, True)]
+
+
 def test_state_is_restored_by_later_batches(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/docs"
     rows = [(5, "a b"), (4, "c d")], [(3, "ab"), (6, "e")], [(9, "a  b"), (2, "cd"), (1, None)]

@@ -80,3 +80,14 @@ def test_random_and_dense_fingerprints(spark, monkeypatch, short_run):
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in sorted(fps)], "fp long")
     got = [(r.a & MASK, r.b & MASK) for r in simhash.links(df).collect()]
     assert components(got) == components(close(sorted(fps)))
+
+
+def test_links_run_over_fingerprints(spark, monkeypatch):
+    """Rows without id carry links; rows that share an id are not linked by it."""
+    rows = [(2, 0), (5, 0x0F), (5, 0x0F0F0F0F0F), (1, 0xFF << 40), (None, 0x0F << 40), (9, 0), (None, 0x7 << 20)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.select("doc_id", "fp"))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
+    least = components(close(sorted({f for _, f in rows})), {f for _, f in rows})
+    ids = {g: min((i for i, f in rows if least[f] == g and i is not None), default=None) for g in set(least.values())}
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(((i, ids[least[f]]) for i, f in rows), key=str)
+    assert (5, 5) in [(r.doc_id, r.component_id) for r in got]
