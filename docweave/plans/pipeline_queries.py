@@ -329,11 +329,12 @@ def stream_tokens(d):
     rows = d.thread_events.select(F.col("thread_id").cast("string").alias("thread_id"), F.row_number().over(order).cast("long").alias("seq"), "kind", "payload")
     stop = F.min(F.when(F.col("kind") == "done", F.col("seq"))).over(Window.partitionBy("thread_id"))
     rows = rows.withColumn("late", F.coalesce(F.col("seq") >= stop, F.lit(False)))
-    for part in range(3):
-        arrives = F.when(F.col("late"), 2).otherwise((F.col("seq") * 7) % 3)
-        rows.filter(arrives == part).drop("late").coalesce(1).write.mode("append").parquet(f"{path}/events")
-    stream = d.spark.readStream.schema("thread_id string, seq long, kind string, payload string").option("maxFilesPerTrigger", 1).parquet(f"{path}/events")
-    updates = threads.landed(threads.accumulated(stream), path, "update")
+    schema = "thread_id string, seq long, kind string, payload string"
+    d.spark.createDataFrame([], schema).write.parquet(f"{path}/events")
+    arrives = F.when(F.col("late"), 2).otherwise((F.col("seq") * 7) % 3)
+    put = lambda part: lambda: rows.filter(arrives == part).drop("late").write.mode("append").parquet(f"{path}/events")
+    stream = d.spark.readStream.schema(schema).parquet(f"{path}/events")
+    updates = threads.landed(threads.accumulated(stream), path, "update", [put(part) for part in range(3)])
     return updates.groupBy("thread_id").agg(F.max_by(F.struct("text", "n_tokens", "done"), "batch").alias("u")).select("thread_id", "u.*")
 
 
@@ -353,10 +354,10 @@ def stream_resumed(d):
 
 @query("SELECT event_id, kind FROM ev")
 def stream_delivered_once(d):
-    """Every event is delivered twice, in two files."""
+    """Every event is delivered twice, the second time after the first was taken."""
     path = scratch(d.spark, "delivered")
     rows = d.thread_events.select("event_id", "kind", F.col("ts").cast("timestamp").alias("at"))
-    for _ in range(2):
-        rows.coalesce(1).write.mode("append").parquet(f"{path}/events")
+    rows.limit(0).write.parquet(f"{path}/events")
+    deliver = lambda: rows.write.mode("append").parquet(f"{path}/events")
     stream = d.spark.readStream.schema("event_id long, kind string, at timestamp").parquet(f"{path}/events")
-    return threads.landed(threads.delivered_once(stream, "event_id", "at"), path).select("event_id", "kind")
+    return threads.landed(threads.delivered_once(stream, "event_id", "at", "3650 days"), path, arrivals=[deliver, deliver]).select("event_id", "kind")

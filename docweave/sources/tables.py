@@ -44,7 +44,8 @@ def golden(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame
 
 
 def media(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
-    """(object_name, length, content) of the files below path; the content is read only if it is selected."""
+    """(object_name, length, content) of the files below path; the content is read only if it is selected. Files of no bytes are not
+    seen by the reader and so count as missing."""
     root = path.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     return files.select(F.substring_index("path", root.split(":", 1)[-1].lstrip("/"), -1).alias("object_name"), "length", "content")

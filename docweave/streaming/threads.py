@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..sources import tables
 
@@ -18,40 +18,75 @@ def event_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(tables.decoded(F.col("value")).alias("e")).filter("e is not null").select("e.*")
 
 
-def accumulated(events: DataFrame) -> DataFrame:
-    """(thread_id, text, n_tokens, done) after each batch, for streams of (thread_id string, seq long, kind, payload).
+class Tokens(StatefulProcessor):
+    """A thread's tokens as a map by seq, and beside it the seq of the last reset and whether it is done.
 
-    A reset drops what has a smaller seq; tokens are joined in the order of
-    seq, whichever batch brings them, so a late one takes its place; a seq that
-    came before is ignored. After done nothing is added, and the state keeps no
-    text.
+    A batch writes the tokens that it brings and no others; what is stored is
+    read when the text is put together. A thread that hears nothing for
+    `wait_ms` is forgotten.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, texts, floor, done = state.get if state.exists else ([], [], -1, False)
+    def __init__(self, wait_ms: int | None):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tokens = handle.getMapState("tokens", "seq long", "payload string")
+        self.mark = handle.getValueState("mark", "floor long, done boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        floor, done = self.mark.get() if self.mark.exists() else (-1, False)
         if done:
-            for _ in batches:  # late events of a finished thread
+            for _ in rows:  # late events of a finished thread
                 pass
             return
-        held = dict(zip(seqs, texts))
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for seq, kind, payload in zip(rows["seq"].tolist(), rows["kind"], rows["payload"]):
+        held = {k[0]: v[0] for k, v in self.tokens.iterator()} if self.tokens.exists() else {}
+        events = pd.concat(list(rows)).sort_values("seq")
+        for seq, kind, payload in zip(events["seq"].tolist(), events["kind"], events["payload"]):
             if done or seq <= floor or seq in held:
                 continue
             if kind == "reset":
                 floor = seq
-                held = {k: v for k, v in held.items() if k > seq}
+                for k in [k for k in held if k < seq]:
+                    del held[k]
+                    self.tokens.removeKey((k,))
             elif kind == "done":
                 done = True
                 held = {k: v for k, v in held.items() if k < seq}
             else:
                 held[seq] = payload or ""
+                self.tokens.updateValue((seq,), (held[seq],))
+        self.mark.update((floor, done))
+        if done:
+            self.tokens.clear()
+        if self.wait_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if not done:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
         order = sorted(held)
-        text = "".join(held[k] for k in order)
-        state.update(([], [], floor, True) if done else (order, [held[k] for k in order], floor, False))
-        yield pd.DataFrame({"thread_id": [key[0]], "text": [text], "n_tokens": [len(order)], "done": [done]})
+        yield pd.DataFrame({"thread_id": [key[0]], "text": ["".join(held[k] for k in order)], "n_tokens": [len(order)], "done": [done]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.tokens.clear()
+        self.mark.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
 
-    return events.groupBy("thread_id").applyInPandasWithState(step, "thread_id string, text string, n_tokens long, done boolean", "seqs array<long>, texts array<string>, floor long, done boolean", "update", GroupStateTimeout.NoTimeout)
+def accumulated(events: DataFrame, wait_ms: int | None = None) -> DataFrame:
+    """(thread_id, text, n_tokens, done) after each batch, for streams of (thread_id string, seq long, kind, payload).
+
+    A reset drops what has a smaller seq; tokens are joined in the order of
+    seq, whichever batch brings them, so a late one takes its place; a seq that
+    came before is ignored. After done nothing is added, and the state keeps no
+    text. With wait_ms, a thread that is silent for so long is forgotten. The
+    stream has to run with the state on disk, as landed() does.
+    """
+    mode = "None" if wait_ms is None else "ProcessingTime"
+    return events.groupBy("thread_id").transformWithStateInPandas(Tokens(wait_ms), "thread_id string, text string, n_tokens long, done boolean", "update", mode)
 
 
 def resumed(questions: DataFrame, selections: DataFrame, wait: str = "1 hour") -> DataFrame:
@@ -78,13 +113,39 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()
 
 
-def landed(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """What the stream gives for all that is there now: the rows of every micro-batch, with its number in `batch`."""
+#: State in RocksDB, whose size memory does not bound; a batch saves its changes only.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+def started(writer: DataStreamWriter, spark: SparkSession, idle: bool = True) -> StreamingQuery:
+    """Starts a stream with its state on disk. A stream takes its settings when it starts, so the session has its own again at once.
+    Without idle, no batch runs for want of rows: a stream with timers that takes what is there would not end otherwise."""
+    settings = STATE | {"spark.sql.streaming.noDataMicroBatches.enabled": str(idle).lower()}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        return writer.start()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def landed(stream: DataFrame, path: str, mode: str = "append", arrivals: Iterable[Callable[[], None]] = (lambda: None,), idle: bool = True) -> DataFrame:
+    """The rows of every micro-batch, with its number in `batch`: after each arrival the stream takes what is there and ends,
+    and the next goes on from its checkpoint."""
     spark = stream.sparkSession
 
     def land(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(land).start().awaitTermination()
+    for arrive in arrivals:
+        arrive()
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(land)
+        started(writer, spark, idle).awaitTermination()
     spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/batch=-1")
     return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/rows")

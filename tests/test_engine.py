@@ -238,8 +238,8 @@ def test_streams(spark, tmp_path):
     for part in (events[:3], events[3:], events[2:4]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
     stream = threads.accumulated(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src))
-    query = stream.writeStream.outputMode("update").format("memory").queryName("acc").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
-    query.awaitTermination()
+    threads.started(stream.writeStream.outputMode("update").format("memory").queryName("acc").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True), spark).awaitTermination()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != threads.STATE["spark.sql.streaming.stateStore.providerClass"]
     last = {r.thread_id: r for r in spark.table("acc").collect()}
     assert (last["t"].text, last["t"].done, last["u"].text) == ("ab", True, "x")
     batch = answer.since_reset(spark.createDataFrame(events, schema).filter("kind != 'token' or seq < 6"))
