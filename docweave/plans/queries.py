@@ -165,17 +165,17 @@ def section_depth(d):
 
 @query("SELECT node_id, tag, label, text, minio_url, page_no, filename FROM nodes")
 def nodes(d):
-    return d.nodes
+    return d.nodes.drop("doc_id")
 
 
 @query("SELECT src, dst, sequence FROM parent_of")
 def edges(d):
-    return d.parent_of
+    return d.parent_of.drop("doc_id")
 
 
 @query("""SELECT node_id, tag, label, text, minio_url, page_no FROM nodes""")
 def node_text(d):
-    return graph.normalised(d.nodes)
+    return graph.normalised(d.nodes).drop("doc_id")
 
 
 # Graph
@@ -377,7 +377,7 @@ def chunk_last_wins(d):
 
 @query("SELECT question_id, element_id, ord FROM chosen")
 def fallback_top3(d):
-    return d.chosen
+    return d.chosen.drop("doc_id")
 
 
 @query("SELECT question_id, arg_min(element_id, (length(document), rr)) AS element_id FROM ranked WHERE rr <= 3 GROUP BY 1")
