@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +56,23 @@ def answer_report(answers: DataFrame, references: DataFrame, resolved: DataFrame
     backed = citation_validity(references, resolved).filter("n_resolved > 0").select("question_id", F.lit(True).alias("backed"))
     each = answers.select("question_id", F.floor(F.length(text) / chars_a_token).alias("tokens")).join(backed, "question_id", "left")
     return each.agg(F.count("*").alias("n_answers"), F.round(F.avg(F.col("backed").isNull().cast("double")), 6).alias("unsupported_rate"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"), F.round(F.avg("tokens"), 6).alias("tokens_a_query"))
+
+
+def exact_quantile(rows: DataFrame, value: str, share: float = 0.5):
+    """The least value that at least a share of the values of rows do not exceed; None where there is none.
+
+    A sketch names a narrow band of values that holds it, so only that band is
+    sorted, over the cluster; should the sketch have been unlucky, all are.
+    """
+    known = rows.select(F.col(value).alias("v")).filter("v is not null")
+    at = lambda x: F.kll_sketch_get_quantile_double("s", F.lit(min(max(x, 0.0), 1.0)))
+    ends = known.agg(F.kll_sketch_agg_double(F.col("v").cast("double"), F.lit(SKETCH_SIZE)).alias("s"), F.count("*").alias("n"))
+    ends = ends.filter("n > 0").select("n", at(share - 2 * RANK_ERROR).alias("lo"), at(share + 2 * RANK_ERROR).alias("hi")).first()
+    if ends is None:
+        return None
+    place = max(1, math.ceil(share * ends["n"]))
+    v = F.col("v").cast("double")
+    under, within = known.agg(F.count_if(v < ends["lo"]), F.count_if(v.between(ends["lo"], ends["hi"]))).first()
+    if under < place <= under + within:
+        known, place = known.filter(v.between(ends["lo"], ends["hi"])), place - under
+    return known.orderBy("v").offset(place - 1).limit(1).first()[0]

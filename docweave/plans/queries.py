@@ -588,8 +588,9 @@ def upsert_latest(d):
 @query("""SELECT event_id, thread_id, kind FROM ev WHERE ts > (SELECT quantile_disc(ts, 0.5) FROM events)""")
 def incremental_ingest(d):
     """What lies after the cursor of the last run: here the median time stands for the cursor."""
-    at = d.thread_events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY at)").alias("cursor")).first()["cursor"]
-    return d.thread_events.filter(F.unix_micros(F.col("ts").cast("timestamp")) > F.lit(int(at))).select("event_id", "thread_id", "kind")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cursor = evaluate.exact_quantile(d.thread_events.select(at.alias("at")), "at", 0.5)
+    return d.thread_events.filter(at > F.lit(cursor)).select("event_id", "thread_id", "kind")
 
 
 # Evaluation

@@ -134,3 +134,16 @@ def test_sketches_are_as_near_as_stated(spark):
     for r in found:
         rank = events.filter((F.col("k") == r.k) & (F.col("v") <= r["quantile"])).count() / r.n
         assert abs(rank - 0.95) <= evaluate.RANK_ERROR
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    import math
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 9 != 0, (F.col("id") * 7919) % 1009).alias("v"))
+    plain = sorted(i * 7919 % 1009 for i in range(5000) if i % 9)
+    for share in (0.0, 0.01, 0.5, 0.95, 1.0):
+        want = plain[max(1, math.ceil(share * len(plain))) - 1]
+        assert evaluate.exact_quantile(rows, "v", share) == want
+    monkeypatch.setattr(evaluate, "RANK_ERROR", -0.1)  # a band that misses it
+    assert evaluate.exact_quantile(rows, "v", 0.5) == plain[math.ceil(0.5 * len(plain)) - 1]
+    assert evaluate.exact_quantile(rows.filter("v is null"), "v") is None
