@@ -31,7 +31,7 @@ def sources(questions: DataFrame, chunks: DataFrame, k: int = 20, rerank_k: int
 
 
 def contexts(chosen: DataFrame, parent_of: DataFrame, nodes: DataFrame, dedupe: bool = True) -> DataFrame:
-    """(question_id, element_id, section_id, ord, path, markdown) of chosen (question_id, element_id, section_id, breadcrumbs, ord).
+    """(question_id, element_id, section_id, ord, path, markdown; doc_id if all tables have it) of chosen (question_id, element_id, section_id, breadcrumbs, ord).
 
     Each distinct section is expanded and rendered once, then joined to the
     questions that use it.
@@ -47,7 +47,7 @@ def contexts(chosen: DataFrame, parent_of: DataFrame, nodes: DataFrame, dedupe:
     none = F.array().cast("array<struct<sequence:int,node_id:string,label:string,text:string,minio_url:string,page_no:int>>")
     text = M.section_markdown(F.col("breadcrumbs"), F.coalesce("elements", none), F.when(header, F.col("own_text")))
     path = F.array_join("breadcrumbs.text", " > ")
-    return joined.select("question_id", "element_id", "section_id", "ord", path.alias("path"), M.with_orphan(text, F.col("own_text"), header).alias("markdown"))
+    return joined.select("question_id", *by, "element_id", "section_id", "ord", path.alias("path"), M.with_orphan(text, F.col("own_text"), header).alias("markdown"))
 
 
 def reconstructed(elements: DataFrame, parent_of: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
