@@ -28,7 +28,7 @@ the node with the most links beside the other, until that finds nothing more.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +86,8 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _keys(h: np.ndarray, first: np.ndarray) -> list[bytes | None]:
+def set_names(h: np.ndarray, first: np.ndarray) -> list[bytes | None]:
+    """A 128-bit digest of each row's set, null for an empty one."""
     return [xxhash.xxh3_128_digest(h[a:b].tobytes()) if b > a else None for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
 
@@ -98,7 +99,7 @@ def marked(docs: DataFrame) -> DataFrame:
             sizes, keys, sigs = [], [], []
             for _, _, buf, off in pieces(batch.column(1), 1 << 19):
                 h, first = shingle_sets(buf, off)
-                key = _keys(h, first)
+                key = set_names(h, first)
                 sizes.append(np.diff(first))
                 keys += key
                 sigs += [s.tobytes() if k is not None else None for s, k in zip(signatures(h, first), key)]
@@ -182,7 +183,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [k for _, _, buf, off in pieces(batch.column(1), 1 << 19) for k in _keys(*shingle_sets(buf, off))]
+            names = [k for _, _, buf, off in pieces(batch.column(1), 1 << 19) for k in set_names(*shingle_sets(buf, off))]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), batch.column(0), batch.column(1)], ["key", "doc_id", "text"])
 
     read = near.mapInArrow(run, f"key binary, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string").filter("key is not null")
@@ -190,7 +191,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
     return staged(met.select(F.monotonically_increasing_id().alias("id"), "key", "text"), "texts")
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, text of a, text of b) to the pairs that are similar enough, by their full sets."""
     for batch in batches:
         sides = []
@@ -199,16 +200,16 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for x, y in zip(*sides):
             less, more = sorted((len(x), len(y)))
-            common = len(np.intersect1d(x, y, assume_unique=True)) if 100 * less >= PERCENT * more else 0
-            keep.append(100 * common >= PERCENT * (less + more - common))
+            common = len(np.intersect1d(x, y, assume_unique=True)) if 100 * less >= percent * more else 0
+            keep.append(100 * common >= percent * (less + more - common))
         kept = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
     asked = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return staged(asked.mapInArrow(_confirm, "a long, b long"), "links")
+    return staged(asked.mapInArrow(lambda batches: _confirm(batches, percent), "a long, b long"), "links")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -248,9 +249,9 @@ def _by_way_of(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return found.groupBy(F.least("x", "star").alias("a"), F.greatest("x", "star").alias("b")).agg(F.count("*").alias("weight"))
 
 
-def components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def components(docs: DataFrame, nodes: DataFrame, find: Callable[[DataFrame], DataFrame] = candidates, percent: int = PERCENT) -> DataFrame:
     """(key, component): the nodes that have a link, and a number that those share which chains of links connect."""
-    found = candidates(nodes)
+    found = find(nodes)
     none = docs.sparkSession.createDataFrame([], "key binary, component long")
     if found.isEmpty():
         return none
@@ -267,7 +268,7 @@ def components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             chosen = chosen.select("a", "b").unionByName(_best(ways) if turn < BEST_ROUNDS else ways.select("a", "b")).distinct()
             chosen = _apart(chosen.join(asked, ["a", "b"], "left_anti"), groups)
         chosen = staged(chosen.select("a", "b"), "chosen")
-        new = _confirmed(chosen, texts)
+        new = _confirmed(chosen, texts, percent)
         links = new if links is None else links.unionByName(new)
         asked = chosen if asked is None else asked.unionByName(chosen)
         groups = _merged(groups, new)
@@ -279,7 +280,7 @@ def components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             more = staged(_apart(_by_way_of(left, links).join(asked, ["a", "b"], "left_anti"), groups).select("a", "b"), "more")
             if more.isEmpty():
                 break
-            new = _confirmed(more, texts)
+            new = _confirmed(more, texts, percent)
             if new.isEmpty():
                 break
             links, asked, groups = links.unionByName(new), asked.unionByName(more), _merged(groups, new)
@@ -287,8 +288,15 @@ def components(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return groups.join(texts.select("id", "key"), "id").select("key", "component")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs.
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    mark: Callable[[DataFrame], DataFrame] = marked,
+    find: Callable[[DataFrame], DataFrame] = candidates,
+    percent: int = PERCENT,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs; mark names the sets and find gives the pairs to confirm.
 
     A null, empty or wordless text has no shingles, is linked with nothing and
     is its own component. Rows with equal sets are linked whatever their ids;
@@ -298,10 +306,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no rows. Only the two named columns are read.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = staged(marked(docs), "marked")
+    rows = staged(mark(docs), "marked")
     some = rows.filter("key is not null")
     nodes = staged(some.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("sig").alias("sig")), "nodes")
-    groups = components(docs, nodes)
+    groups = components(docs, nodes, find, percent)
     grouped = groups.join(nodes.select("key", "least"), "key")
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = grouped.join(least, "component").select("key", "component_id", F.lit(True).alias("linked"))
