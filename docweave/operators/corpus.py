@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -26,6 +28,37 @@ def with_parents(lines: DataFrame, levels: int = LEVELS) -> DataFrame:
     return named.withColumn("par_ord", parent).drop(*(f"__m{k}" for k in range(1, levels + 1)))
 
 
+def _outline(levels: pa.Array) -> pa.Array:
+    """Lists of header levels (0 for what is no header) to lists of (par, seq): what with_parents() and the order under a parent say."""
+    flat, first = levels.flatten().to_numpy(zero_copy_only=False), np.asarray(levels.offsets) - levels.offsets[0].as_py()
+    n = len(flat)
+    begin = np.repeat(first[:-1], np.diff(first))
+    at, parent = np.arange(n), np.full(n, -1)
+    for k in range(1, int(flat.max(initial=0)) + 1):
+        last = np.maximum.accumulate(np.r_[-1, np.where(flat == k, at, -1)])[:-1]
+        parent = np.where((flat == 0) | (flat > k), np.maximum(parent, last), parent)
+    parent = np.where(parent < begin, -1, parent)
+    # Siblings have the same parent or, without one, the same document; their order is that of the lines.
+    key = np.where(parent < 0, n + begin, parent)
+    order = np.argsort(key, kind="stable")
+    fresh = np.r_[True, key[order][1:] != key[order][:-1]] if n else np.zeros(0, bool)
+    seq = np.zeros(n, np.int64)
+    seq[order] = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0)) + 1 if n else seq[order]
+    par = pa.array((parent - begin).astype(np.int32), mask=parent < 0)
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([par, pa.array(seq.astype(np.int32))], ["par", "seq"]))
+
+
+def outlined(levels: Column) -> Column:
+    """(par, seq) of each line of a document, from the array of its lines' levels (null for what is no header): the place of
+    the parent, null for none, and the number under it, from 1. The rows of a document never leave it, so nothing is shuffled."""
+
+    @F.arrow_udf("array<struct<par:int,seq:int>>")
+    def outline(levels: pa.Array) -> pa.Array:
+        return _outline(levels)
+
+    return outline(F.transform(levels, lambda x: F.coalesce(x.cast("int"), F.lit(0))))
+
+
 def positions(elements: DataFrame) -> DataFrame:
     """page_position and ref_position: places on the page and under the parent, from 0."""
     page = Window.partitionBy("doc_id", "page_no").orderBy("ord")
@@ -51,7 +84,7 @@ def linked_to(links: DataFrame, elements: DataFrame, relation: str = "CAPTION_OF
 def graph_tables(elements: DataFrame, documents: DataFrame, base_url: str = BASE_URL) -> tuple[DataFrame, DataFrame]:
     """(nodes, parent_of) of elements (doc_id, ord, id, label, line, page_no, par_ord) and documents (doc_id; filename
     if it isn't doc_<doc_id>.txt). Both keep doc_id, which names a node together with its id. Media objects lie below base_url, unless
-    elements say where (minio_url)."""
+    elements say where (minio_url). Elements that know their parent's id and their sequence (parent, sequence) are taken at their word."""
     tag = F.replace(F.initcap(F.replace("label", F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
     made = F.concat(F.lit(base_url), T.image_object(F.concat(F.lit("doc_"), "doc_id"), F.col("id"), F.col("label")))
     stored = F.coalesce(F.nullif("minio_url", F.lit("")), made) if "minio_url" in elements.columns else made
@@ -60,6 +93,8 @@ def graph_tables(elements: DataFrame, documents: DataFrame, base_url: str = BASE
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
     file = F.col("filename") if "filename" in documents.columns else F.concat(name, F.lit(".txt"))
     outer = documents.select("doc_id", name.alias("node_id"), F.lit("Document").alias("tag"), F.lit("document").alias("label"), file.alias("text"), F.lit(None).cast("string").alias("minio_url"), F.lit(0).alias("page_no"), file.alias("filename"))
+    if {"parent", "sequence"} <= set(elements.columns):
+        return inner.unionByName(outer), elements.select("doc_id", F.coalesce("parent", name).alias("src"), F.col("id").alias("dst"), "sequence")
     header = elements.select(F.col("doc_id").alias("d"), F.col("ord").alias("o"), F.col("id").alias("parent"))
     child = Window.partitionBy("doc_id", "par_ord").orderBy("ord")
     linked = elements.withColumn("sequence", F.row_number().over(child)).join(header, (F.col("doc_id") == F.col("d")) & (F.col("par_ord") == F.col("o")), "left")
