@@ -142,7 +142,7 @@ def unsearchable(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 #: Rows that codebooks are fitted on, at most about: a bounded sample, while every row is indexed.
 SAMPLE = 20_000
 #: Numbers in a subvector, centres of a codebook, rounds of its fit.
-PART_DIMS, CENTRES, ROUNDS = 4, 256, 15
+PART_DIMS, CENTRES, ROUNDS = 2, 256, 15
 
 
 def _centres(rows: pd.DataFrame) -> pd.DataFrame:
@@ -182,7 +182,7 @@ def codebooks(chunks: DataFrame, dims: int, seed: int = 1) -> list[np.ndarray]:
 
 
 def coded(chunks: DataFrame, books: list[np.ndarray], dims: int) -> DataFrame:
-    """(chunk_id, size, code): a byte a subvector, the number of its nearest centre. This is the index: a sixteenth of the vectors' size."""
+    """(chunk_id, size, code): a byte a subvector, the number of its nearest centre. This is the index: an eighth of the vectors' size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
