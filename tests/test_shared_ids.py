@@ -5,7 +5,8 @@ from collections import Counter
 import duckdb
 import pytest
 
-from docweave.operators import corpus
+from docweave.operators import corpus, graph
+from docweave.operators.skew import narrowed
 from docweave.plans import queries as engine
 
 PAD = "x" * 50
@@ -71,3 +72,38 @@ def test_outline_is_that_of_windows(spark):
     docs = spark.createDataFrame([(d, [x or None for x in doc]) for d, doc in enumerate(levels)], "doc_id int, lvl array<int>")
     got = {(r.doc_id, i): (p.par, p.seq) for r in docs.select("doc_id", corpus.outlined(docs.lvl).alias("p")).collect() for i, p in enumerate(r.p)}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["contexts_of_elements", "chunk_scan", "chunk_metadata"])
+def test_chunks_of_shared_ids(spark, tmp_path, name):
+    """Elements with a chunk whose id another document's element has, as a paragraph whose parent shares its id with a header."""
+    a, b = MIXED[1]
+    con, n = duckdb.connect(), max(MIXED[1]) + 1
+    con.execute(f"create table documents as select range as doc_id, case range when {a} then 'T\nzz{PAD}{'A' * 20}\nlast' when {b} then 'S\n{PAD}{'B' * 20}\n{'q' * 70}' end as text from range({n})")
+    con.execute(f"create table embeddings as select d + k.range * {n} as vec_id, [1.0::float] as embedding, 0 as label from (values ({a}), ({b})) v(d), range(3) k")
+    for t in ("documents", "embeddings"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    df = engine.queries()[name](spark, str(tmp_path))
+    # Texts of tied children are open in their order.
+    cols = ["element_id", "section_id"] if name == "contexts_of_elements" else sorted(df.columns)
+    got = Counter(map(tuple, df.select(cols).collect()))
+    assert got == Counter(con.execute(f"select {', '.join(cols)} from ({engine.oracle_sql()[name]})").fetchall())
+
+
+def test_narrowed_keeps_all_that_meet(spark):
+    rows, keys = spark.range(5000).selectExpr("cast(id as string) as a", "id"), spark.range(0, 6000, 7).selectExpr("cast(id as string) as k")
+    kept = narrowed(rows, "a", keys, "k")
+    assert kept.columns == rows.columns and 715 <= kept.count() < 800
+    assert kept.join(keys, kept.a == keys.k).count() == 715
+    assert narrowed(rows, "a", keys.limit(0), "k").count() == 0
+
+
+def test_climb_from_few_starts_is_the_climb(spark):
+    """Chains, a second parent, a cycle and a missing node: what lies above is taken out level by level, each row once."""
+    edges = [(f"n{i}", f"n{i + 1}", 1) for i in range(14)] + [("x", "n5", 2), ("n2", "x", 1), ("c1", "c0", 1), ("c0", "c1", 1), ("lost", "z", 1), ("n3", "lost", 1)]
+    nodes = [(f"n{i}", "Document" if not i else "SectionHeader" if i % 4 == 0 else "Group", "", f"t{i}") for i in range(15)] + [(k, "Group", "", k) for k in ("x", "c0", "c1", "z")] + [("n5", "Paragraph", "", "again")]
+    up, n = spark.createDataFrame(edges, "src string, dst string, sequence int"), spark.createDataFrame(nodes, "node_id string, tag string, label string, text string")
+    starts = spark.createDataFrame([("n14",), ("n7",), ("c0",), ("z",), ("none",)], "element_id string")
+    for kw in ({"every": True}, {"full": True}):
+        plain, few = (Counter(map(str, graph.climb(starts, up, n, **kw, few=few).collect())) for few in (False, True))
+        assert plain == few, kw
