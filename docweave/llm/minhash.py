@@ -288,6 +288,26 @@ def components(docs: DataFrame, nodes: DataFrame, find: Callable[[DataFrame], Da
     return groups.join(texts.select("id", "key"), "id").select("key", "component")
 
 
+def completed(docs: DataFrame, nodes: DataFrame, groups: DataFrame, more: DataFrame, percent: int) -> DataFrame:
+    """groups (key, component) after the pairs (a, b) of nodes in different groups, all of which are confirmed on the full sets."""
+    more = staged(more, "more")
+    if more.isEmpty():
+        return groups
+    texts = _texts(docs, nodes, more.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    pairs = more
+    for c in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("key").alias(c), F.col("id").alias(f"{c}_id")), c)
+    links = _confirmed(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), texts, percent)
+    if links.isEmpty():
+        return groups
+    for c in ("a", "b"):
+        links = links.join(texts.select(F.col("id").alias(c), F.col("key").alias(f"key_{c}")), c).drop(c)
+    groups = staged(groups, "groups")
+    least = groups.groupBy("component").agg(F.min("key").alias("least"))
+    edges = links.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).unionByName(groups.join(least, "component").select(F.col("key").alias("a"), F.col("least").alias("b")))
+    return connected_components(edges).withColumnRenamed("id", "key")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -295,8 +315,10 @@ def near_duplicates(
     mark: Callable[[DataFrame], DataFrame] = marked,
     find: Callable[[DataFrame], DataFrame] = candidates,
     percent: int = PERCENT,
+    rest: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs; mark names the sets and find gives the pairs to confirm.
+    Where find may leave out pairs, rest gives all those of nodes that the groups so far keep apart.
 
     A null, empty or wordless text has no shingles, is linked with nothing and
     is its own component. Rows with equal sets are linked whatever their ids;
@@ -310,6 +332,8 @@ def near_duplicates(
     some = rows.filter("key is not null")
     nodes = staged(some.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("sig").alias("sig")), "nodes")
     groups = components(docs, nodes, find, percent)
+    if rest is not None:
+        groups = completed(docs, nodes, groups, rest(nodes, groups), percent)
     grouped = groups.join(nodes.select("key", "least"), "key")
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = grouped.join(least, "component").select("key", "component_id", F.lit(True).alias("linked"))

@@ -19,8 +19,10 @@ A key of n evenly spread sets holds about n * 5 / 2^24 of them, 300 at 10^9.
 Within a key FILTER_BITS bits of the fingerprints are compared, and what is near
 enough is confirmed on the full sets. Runs of a key with more than RUN rows are
 compared in overlapping blocks of RUN rows, in the order of the fingerprints; in
-a run over CROWD a row offers its nearest and the row with the most neighbours,
-never all pairs.
+a run over CROWD a row offers its nearest and the row with the most neighbours
+at first, not all pairs. Once these are confirmed and grouped, all other pairs
+of such runs, and of those that lie on a task's edge, that no chain of links
+connects are compared and confirmed too (rest()), so nothing is left out.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import minhash
 from .simhash import golay
-from .text import mixed, pieces, signed, staged
+from .text import may_be_in, mixed, pieces, signed, staged
 
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -151,11 +153,18 @@ def _near_in_runs(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (at, f1, f2, k1, k2) in order to pairs (a, b, agree). One run of at most RUN rows is held beside a batch."""
+    """Rows (at, f1, f2, k1, k2) in order to pairs (a, b, agree, null), and (null, null, null, at) for each run of which not all
+    pairs were compared: those over CROWD, and the first and last of a task, which others may hold the rest of. One run of at
+    most RUN rows is held beside a batch."""
+
+    def partial(found: np.ndarray) -> pa.RecordBatch:
+        none = lambda kind: pa.nulls(len(found), kind)
+        return pa.RecordBatch.from_arrays([none(pa.binary()), none(pa.binary()), none(pa.int32()), pa.array(found.astype(np.int32))], ["a", "b", "agree", "at"])
 
     def settle(at: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         size = np.diff(np.r_[edge, len(at)])
+        yield partial(at[edge[size > CROWD]])
         # A run's blocks overlap by half.
         long = [(s + d, min(RUN, n - d)) for s, n in zip(edge[size > RUN].tolist(), size[size > RUN].tolist()) for d in range(0, n - RUN // 2, RUN // 2)]
         begin = np.concatenate([edge[size <= RUN], np.array([s for s, _ in long], np.int64)])
@@ -169,10 +178,16 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ends = [np.ascontiguousarray(rows[run, x, 2:]).tobytes() for x in (i, j)]
                     names = [[e[p : p + 16] for p in range(0, len(e), 16)] for e in ends]
                     both = sorted({(min(a, b), max(a, b), d) for a, b, d in zip(*names, differ.tolist())})
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in both], pa.binary()), pa.array([x[1] for x in both], pa.binary()), pa.array([FILTER_BITS - x[2] for x in both], pa.int32())], ["a", "b", "agree"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in both], pa.binary()), pa.array([x[1] for x in both], pa.binary()), pa.array([FILTER_BITS - x[2] for x in both], pa.int32()), pa.nulls(len(both), pa.int32())], ["a", "b", "agree", "at"])
 
+    last = None
     at, data = np.zeros(0, np.int32), np.zeros((0, 4), np.int64)
     for batch in batches:
+        if batch.num_rows:
+            ends = batch.column(0).to_numpy(zero_copy_only=False)[[0, -1]]
+            if last is None:
+                yield partial(ends[:1])
+            last = ends[1:]
         at = np.concatenate([at, batch.column(0).to_numpy(zero_copy_only=False)])
         data = np.concatenate([data, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(1, 5)], axis=1)])
         if not len(at):
@@ -184,14 +199,47 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from settle(at, data)
             at, data = at[-RUN // 2 :], data[-RUN // 2 :]
     yield from settle(at, data)
+    if last is not None:
+        yield partial(last)
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("sig is not null").select("key", "sig").mapInArrow(_key_rows, "at int, f1 long, f2 long, k1 long, k2 long")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, agree): pairs of nodes (key, sig) that share a key and differ in few enough of FILTER_BITS, each once."""
-    rows = nodes.filter("sig is not null").select("key", "sig").mapInArrow(_key_rows, "at int, f1 long, f2 long, k1 long, k2 long")
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((a, b, agree), (at)): pairs of nodes (key, sig) that share a key and differ in few enough of FILTER_BITS, each once, and
+    the keys that not all pairs were offered of."""
     # A key's rows lie together in the order of their fingerprints; the range of a crowded key may span tasks.
-    found = rows.repartitionByRange("at", "f1").sortWithinPartitions("at", "f1", "f2").mapInArrow(_candidates, "a binary, b binary, agree int")
-    return staged(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "candidates")
+    found = _keyed(nodes).repartitionByRange("at", "f1").sortWithinPartitions("at", "f1", "f2").mapInArrow(_candidates, "a binary, b binary, agree int, at int")
+    found = staged(found, "found")
+    return staged(found.filter("a is not null").groupBy("a", "b").agg(F.max("agree").alias("agree")), "candidates"), found.filter("a is null").select("at").distinct()
+
+
+def rest(nodes: DataFrame, groups: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(a, b), each once: all pairs of nodes (key, sig) that share one of the keys `crowded` (at), differ in few enough bits and
+    are not in one of groups (key, component). A run is dealt to tasks in parts of RUN rows that meet the whole run."""
+    crowded = staged(crowded, "crowded")
+    hashed = lambda df: df.withColumn("__h", F.xxhash64("at"))
+    few = may_be_in(hashed(_keyed(nodes)), hashed(crowded), "__h").filter("__may").drop("__may", "__h").join(crowded, "at", "left_semi")
+    halves = nodes.select("key").mapInArrow(_halved, "key binary, k1 long, k2 long")
+    named = halves.join(groups, "key", "left").select("k1", "k2", "key", F.coalesce(F.col("component").cast("string"), F.hex("key")).alias("of"))
+    rows = staged(few.join(named, ["k1", "k2"]).select("at", "f1", "f2", "key", "of"), "crowd")
+    # A run that lies in one group has nothing to compare.
+    sizes = rows.groupBy("at").agg(F.count("*").alias("n"), F.min("of").alias("x"), F.max("of").alias("y")).filter("x != y")
+    parts = F.ceil(F.col("n") / RUN).cast("int")
+    open_ = staged(rows.join(sizes.select("at", parts.alias("parts")), "at"), "open")
+    one = open_.select("at", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), *(F.col(c).alias(f"{c}_a") for c in ("f1", "f2", "key", "of")))
+    two = open_.select("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_b") for c in ("f1", "f2", "key", "of")))
+    differ = sum(F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in ("f1", "f2"))
+    met = one.join(two, ["at", "part"]).filter((F.col("key_a") < F.col("key_b")) & (F.col("of_a") != F.col("of_b")) & (differ <= MAX_DIFFER))
+    return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+
+
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        both = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8").reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["key", "k1", "k2"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,4 +251,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked by it; a row without id takes part in links. A very long text is read
     whole; an empty table gives no rows. Only the two named columns are read.
     """
-    return minhash.near_duplicates(docs, id_col, text_col, mark=marked, find=candidates, percent=PERCENT)
+    crowded = []
+
+    def find(nodes: DataFrame) -> DataFrame:
+        found, keys = candidates(nodes)
+        crowded.append(keys)
+        return found
+
+    return minhash.near_duplicates(docs, id_col, text_col, marked, find, PERCENT, lambda nodes, groups: rest(nodes, groups, crowded[0]))

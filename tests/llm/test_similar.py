@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.llm import similar
+from docweave.llm import minhash, similar
 from docweave.llm.simhash import golay
 from test_minhash import edited, shingles
 from test_simhash import components
@@ -79,3 +79,36 @@ def test_large_group_of_copies_that_all_differ(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     got = similar.near_duplicates(docs).agg(F.sum((F.col("component_id") == 0).cast("int")), F.count("*")).first()
     assert tuple(got) == (1500, 1500)
+
+
+def test_crowded_runs_lose_no_pair(spark):
+    """A crowd of 60 fingerprints, all near each other under one key: its own candidates are few, the rest has all pairs that no
+    group holds."""
+    rng = np.random.default_rng(11)
+    base, width = rng.integers(0, 2, similar.FILTER_BITS), similar.FILTER_BITS // 8
+    rows = []
+    for i in range(60):
+        bits = base.copy()
+        bits[rng.choice(similar.FILTER_BITS, 9, replace=False)] ^= 1
+        at = np.full(similar.KEYS, -1, "<i4")
+        at[0] = 5
+        rows.append((bytes([i]) * 16, np.packbits(bits).tobytes() + at.tobytes()))
+    nodes = spark.createDataFrame(rows, "key binary, sig binary")
+    groups = spark.createDataFrame([(rows[i][0], 1) for i in range(50)], "key binary, component long")
+    found, crowded = similar.candidates(nodes)
+    assert len(rows[0][1]) == width + 4 * similar.KEYS and found.count() < 60 * 59 // 2
+    assert [r.at for r in crowded.collect()] == [5]
+    got = {(bytes(r.a), bytes(r.b)) for r in similar.rest(nodes, groups, crowded).collect()}
+    assert got == {(rows[i][0], rows[j][0]) for j in range(60) for i in range(j) if j >= 50}
+
+
+def test_confirmed_rest_joins_groups(spark):
+    texts = {0: "a b c d e f g h", 1: "a b c d e f g h", 2: "p q r s t u v", 3: "a b c d e f g h i", 4: "z y x w v"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    marked = similar.marked(docs)
+    nodes = marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
+    key = {r.doc_id: bytes(r.key) for r in marked.collect()}
+    groups = spark.createDataFrame([(key[2], 7), (key[3], 7)], "key binary, component long")
+    more = spark.createDataFrame([(key[0], key[3]), (key[0], key[4])], "a binary, b binary")
+    out = {bytes(r.key): r.component for r in minhash.completed(docs, nodes, groups, more, 80).collect()}
+    assert set(out) == {key[0], key[2], key[3]} and len({bytes(c) for c in out.values()}) == 1
