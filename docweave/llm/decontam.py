@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import ALNUM, LOWER, fresh, pieces, sequence_hash, word_hashes, words
+from .text import ALNUM, LOWER, fresh, pieces, releasing, sequence_hash, word_hashes, words
 
 WINDOW = 10
 BLOCK_STRINGS = 200_000
@@ -149,7 +149,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     now = docs.select(*columns, F.col(text_col).cast("string").alias(work))
     any_block = False
     for table in _blocks(benchmark.select(item_col, item_text_col), window, block_strings):
-        now = now.mapInArrow(_scanner(spark.sparkContext.broadcast(pickle.dumps(table)), kept, any_block), schema)
+        now = now.mapInArrow(releasing(_scanner(spark.sparkContext.broadcast(pickle.dumps(table)), kept, any_block)), schema)
         any_block = True
     if not any_block:
         now = now.mapInArrow(_scanner(None, kept, False), schema)

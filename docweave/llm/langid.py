@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, fresh, pieces, utf8, words
+from .text import LOWER, fresh, pieces, releasing, utf8, words
 
 BUCKETS = 1 << 15
 #: A language is a candidate for a script if at least this share of its words has it.
@@ -85,7 +85,7 @@ def language_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
         k, m = np.nonzero(scripts)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[i, k].astype(np.int32)), pa.array(np.r_[j, -1 - m].astype(np.int32)), pa.array(np.r_[grams[i, j], scripts[k, m]])], ["language", "bucket", "n"])
 
-    return docs.mapInArrow(run, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(releasing(run), "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -239,7 +239,7 @@ def labelled(docs: DataFrame, model: Model, text_col: str = "text", with_spans:
 
     kept = docs.select(*columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double" + ", lang_spans array<struct<first:long,n:long,lang:string>>" * with_spans + ", fit double, script_share double" * with_fit
-    return docs.select(*columns, F.col(text_col).cast("string").alias(fresh("__text", columns))).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(text_col).cast("string").alias(fresh("__text", columns))).mapInArrow(releasing(run), schema)
 
 
 def fit_bounds(rows: DataFrame) -> DataFrame:

@@ -26,12 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import pieces, same_bytes, staged, word_hashes
+from .text import pieces, releasing, same_bytes, staged, word_hashes
 
 CAPACITY = 1024
 EOS = 2
 _CACHED = 300_000
-_SLICE = 1 << 21
+_SLICE = 1 << 19
 
 #: Bytes beside which a single space may end and begin a token chunk: not white space,
 #: and not a byte that may belong to a non-ASCII white-space character.
@@ -152,7 +152,7 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str, pattern: str,
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(releasing(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def matched(size: np.ndarray, is_slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import minhash
 from .simhash import golay
-from .text import may_be_in, mixed, pieces, signed, staged
+from .text import may_be_in, mixed, pieces, releasing, signed, staged
 
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -119,7 +119,7 @@ def marked(docs: DataFrame) -> DataFrame:
             n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n", "key", "sig"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, key binary, sig binary")
+    return docs.mapInArrow(releasing(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, key binary, sig binary")
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

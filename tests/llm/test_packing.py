@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docweave.llm import packing, queries
+from docweave.llm import packing, text, queries
 
 
 @pytest.fixture(scope="module")
@@ -130,3 +130,19 @@ def test_chunks_with_one_hash_are_told_apart(spark, tokenizer, monkeypatch):
 def test_a_text_of_several_mb(spark, tokenizer):
     docs = spark.createDataFrame([(1, "word and other words " * 150_000 + "x" * 100_000), (2, "short")], "doc_id long, text string")
     check(docs, queries.pack_documents(docs).collect(), tokenizer)
+
+
+def test_workers_give_back_what_they_freed(spark):
+    """After a task that filled and freed many small pieces of memory, with one kept above them, the worker is small again."""
+
+    def big(batches):
+        held = [bytes(1000) for _ in range(200_000)]
+        keep.append(bytes(1000))
+        del held
+        yield from batches
+
+    keep, sizes = [], {}
+    for name, run in (("plain", big), ("releasing", text.releasing(big))):
+        list(run(iter([])))
+        sizes[name] = int(open("/proc/self/statm").read().split()[1]) * 4 >> 10
+    assert sizes["releasing"] < sizes["plain"] - 100, sizes

@@ -1,5 +1,6 @@
 import sys
 
+import pyarrow as pa
 import pytest
 import test_decontam
 import test_exactdedup
@@ -82,3 +83,16 @@ def test_dedup_stages_decide_by_row(spark, sf, edge, pipeline):
     assert sorted(str(r.doc_id) for r in got) == ["10", "3", "4", "5", "7", "8", "9"]
     got = [r.doc_id for r in pipeline.near(spark, edge, sf).collect()]
     assert got.count(4) == 1 and got.count(None) == got.count(2) == got.count(3) == 0 and len(got) == len(set(got))
+
+
+def test_workers_are_handed_few_bytes_at_once(spark, sf, pipeline):
+    """A stage of the pipeline leaves the session with batches of 8 MB; a longer row comes alone."""
+
+    def n_bytes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    docs = spark.range(40, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("words "), 200_000).alias("text"))
+    pipeline.decontamination(spark, docs, sf)
+    sizes = [r.n for r in docs.mapInArrow(n_bytes, "n long").collect()]
+    assert len(sizes) >= 5 and max(sizes) < 12 << 20
