@@ -18,11 +18,14 @@ similarity of 0.8 meet directly and 99 % at 0.85; in a group, one link suffices.
 A key of n evenly spread sets holds about n * 5 / 2^24 of them, 300 at 10^9.
 Within a key FILTER_BITS bits of the fingerprints are compared, and what is near
 enough is confirmed on the full sets. Runs of a key with more than RUN rows are
-compared in overlapping blocks of RUN rows, in the order of the fingerprints; in
-a run over CROWD a row offers its nearest and the row with the most neighbours
-at first, not all pairs. Once these are confirmed and grouped, all other pairs
-of such runs, and of those that lie on a task's edge, that no chain of links
-connects are compared and confirmed too (rest()), so nothing is left out.
+compared in overlapping blocks of RUN rows, in the order of the fingerprints. A
+run with more near pairs than rows (and than CROWD) is crowded: there a row
+offers the row with the most neighbours or, if that is too far, its nearest at
+first, so a run gives about a pair a row at most. Once these are confirmed and
+grouped, all other pairs of such runs, of long ones and of those that lie on a
+task's edge that no chain of links connects are compared (rest()), by WIDE_BITS
+more bits, each pair under the least key that it shares, and what is near enough
+by both counts is confirmed too.
 """
 
 from __future__ import annotations
@@ -49,7 +52,10 @@ LISTED = 4
 CELLS = 1024
 #: Bits compared before sets are, and how many may differ: at a similarity of 0.8, 19.3 on average and 4 standard deviations more.
 FILTER_BITS, MAX_DIFFER = 128, 36
-RUN, CROWD, NEAREST = 1024, 16, 4
+#: Bits compared besides where all pairs of a crowd are, and how many of all bits may differ then: 107 on average at a similarity of
+#: 0.8 and 4 standard deviations more.
+WIDE_BITS, MAX_WIDE = 576, 147
+RUN, CROWD = 1024, 16
 _ROWS = 256
 _EMPTY = xxhash.xxh3_128_digest(b"")
 
@@ -100,8 +106,8 @@ def keys(margin: np.ndarray) -> np.ndarray:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key, sig) of (doc_id, text): the size and name of each row's set, and its keys after FILTER_BITS of its
-    fingerprint. The empty set has a name and no sig."""
+    """(doc_id, n, key, sig) of (doc_id, text): the size and name of each row's set, and its keys between FILTER_BITS and
+    WIDE_BITS of its fingerprint. The empty set has a name and no sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plane = planes()
@@ -114,8 +120,9 @@ def marked(docs: DataFrame) -> DataFrame:
                 for lo in range(0, len(first) - 1, _ROWS):
                     part = first[lo : lo + _ROWS + 1]
                     margin = margins(h[part[0] : part[-1]], part - part[0], plane)
-                    bits = np.packbits(margin[:, :FILTER_BITS] > 0, axis=1)
-                    sigs += [f.tobytes() + k.tobytes() if some else None for f, k, some in zip(bits, keys(margin).astype("<i4"), np.diff(part) > 0)]
+                    bits = np.packbits(margin[:, : FILTER_BITS + WIDE_BITS] > 0, axis=1)
+                    few = FILTER_BITS // 8
+                    sigs += [f[:few].tobytes() + k.tobytes() + f[few:].tobytes() if some else None for f, k, some in zip(bits, keys(margin).astype("<i4"), np.diff(part) > 0)]
             n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n", "key", "sig"])
 
@@ -128,34 +135,38 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             name, sig = (np.frombuffer(b"".join(batch.column(c).slice(lo, 4096).to_pylist()), np.uint8) for c in (0, 1))
-            sig = sig.reshape(-1, width + 4 * KEYS)
-            at = np.ascontiguousarray(sig[:, width:]).view("<i4")
+            sig = sig.reshape(len(name) // 16, -1)
+            at = np.ascontiguousarray(sig[:, width : width + 4 * KEYS]).view("<i4")
             row, place = np.nonzero(at >= 0)
             halves = [x[row] for side in (np.ascontiguousarray(sig[:, :width]), name.reshape(-1, 16)) for x in side.view("<i8").T]
             yield pa.RecordBatch.from_arrays([pa.array(at[row, place]), *map(pa.array, halves)], ["at", "f1", "f2", "k1", "k2"])
 
 
-def _near_in_runs(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(r, n, 2) fingerprints of r runs to pairs (run, i, j, differing bits) that are near enough."""
+def _near_in_runs(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(r, n, 2) fingerprints of r runs to pairs (run, i, j, differing bits) that are near enough, and whether each run is
+    crowded: then it gives a pair a row at most."""
     r, n, _ = f.shape
     differ = np.zeros((r, n, n), np.int64)
     for half in range(2):
         differ += np.bitwise_count((f[:, :, None, half] ^ f[:, None, :, half]).view(np.uint64))
     differ[:, np.arange(n), np.arange(n)] = FILTER_BITS + 1
-    if n <= CROWD:
-        run, i, j = np.nonzero(np.triu(differ <= MAX_DIFFER))
-    else:
-        hub = (differ <= MAX_DIFFER).sum(axis=2).argmax(axis=1)
-        others = np.concatenate([np.argpartition(differ, NEAREST, axis=2)[:, :, :NEAREST], np.broadcast_to(hub[:, None, None], (r, n, 1))], axis=2)
-        run, i, k = np.nonzero(np.take_along_axis(differ, others, 2) <= MAX_DIFFER)
-        j = others[run, i, k]
-    return run, i, j, differ[run, i, j]
+    near = differ <= MAX_DIFFER
+    crowded = near.sum(axis=(1, 2)) > 2 * max(CROWD, n)
+    run, i, j = np.nonzero(np.triu(near) & ~crowded[:, None, None])
+    if crowded.any():
+        some = np.flatnonzero(crowded)
+        near, far = near[some], differ[some]
+        hub = near.sum(axis=2).argmax(axis=1)
+        other = np.where(near[np.arange(len(some)), hub], hub[:, None], far.argmin(axis=2))
+        of, row = np.nonzero(np.take_along_axis(near, other[:, :, None], 2)[:, :, 0])
+        run, i, j = np.r_[run, some[of]], np.r_[i, row], np.r_[j, other[of, row]]
+    return run, i, j, differ[run, i, j], crowded
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (at, f1, f2, k1, k2) in order to pairs (a, b, agree, null), and (null, null, null, at) for each run of which not all
-    pairs were compared: those over CROWD, and the first and last of a task, which others may hold the rest of. One run of at
-    most RUN rows is held beside a batch."""
+    pairs were offered: those over RUN or crowded, and the first and last of a task, which others may hold the rest of. One run
+    of at most RUN rows is held beside a batch."""
 
     def partial(found: np.ndarray) -> pa.RecordBatch:
         none = lambda kind: pa.nulls(len(found), kind)
@@ -164,7 +175,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle(at: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         size = np.diff(np.r_[edge, len(at)])
-        yield partial(at[edge[size > CROWD]])
+        yield partial(at[edge[size > RUN]])
         # A run's blocks overlap by half.
         long = [(s + d, min(RUN, n - d)) for s, n in zip(edge[size > RUN].tolist(), size[size > RUN].tolist()) for d in range(0, n - RUN // 2, RUN // 2)]
         begin = np.concatenate([edge[size <= RUN], np.array([s for s, _ in long], np.int64)])
@@ -174,7 +185,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in np.array_split(some, max(1, len(some) * n * n // 2_000_000)):
                 if len(part):
                     rows = data[part[:, None] + np.arange(n)]
-                    run, i, j, differ = _near_in_runs(rows[:, :, :2])
+                    run, i, j, differ, crowded = _near_in_runs(rows[:, :, :2])
+                    yield partial(at[part[crowded]])
                     ends = [np.ascontiguousarray(rows[run, x, 2:]).tobytes() for x in (i, j)]
                     names = [[e[p : p + 16] for p in range(0, len(e), 16)] for e in ends]
                     both = sorted({(min(a, b), max(a, b), d) for a, b, d in zip(*names, differ.tolist())})
@@ -218,28 +230,39 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def rest(nodes: DataFrame, groups: DataFrame, crowded: DataFrame) -> DataFrame:
     """(a, b), each once: all pairs of nodes (key, sig) that share one of the keys `crowded` (at), differ in few enough bits and
-    are not in one of groups (key, component). A run is dealt to tasks in parts of RUN rows that meet the whole run."""
+    are not in one of groups (key, component). A run is dealt to tasks in parts of RUN rows that meet the whole run. Nodes
+    whose sig ends with its keys are compared by FILTER_BITS alone."""
     crowded = staged(crowded, "crowded")
     hashed = lambda df: df.withColumn("__h", F.xxhash64("at"))
     few = may_be_in(hashed(_keyed(nodes)), hashed(crowded), "__h").filter("__may").drop("__may", "__h").join(crowded, "at", "left_semi")
-    halves = nodes.select("key").mapInArrow(_halved, "key binary, k1 long, k2 long")
-    named = halves.join(groups, "key", "left").select("k1", "k2", "key", F.coalesce(F.col("component").cast("string"), F.hex("key")).alias("of"))
-    rows = staged(few.join(named, ["k1", "k2"]).select("at", "f1", "f2", "key", "of"), "crowd")
+    wide = [f"w{i}" for i in range(WIDE_BITS // 64)]
+    halves = nodes.filter("sig is not null").select("key", "sig").mapInArrow(_halved, "key binary, k1 long, k2 long, " + ", ".join(f"{w} long" for w in wide))
+    named = halves.join(groups, "key", "left").select("k1", "k2", "key", *wide, F.coalesce(F.col("component").cast("string"), F.hex("key")).alias("of"))
+    rows = staged(few.join(named, ["k1", "k2"]).select("at", "f1", "f2", *wide, "key", "of"), "crowd")
     # A run that lies in one group has nothing to compare.
     sizes = rows.groupBy("at").agg(F.count("*").alias("n"), F.min("of").alias("x"), F.max("of").alias("y")).filter("x != y")
     parts = F.ceil(F.col("n") / RUN).cast("int")
     open_ = staged(rows.join(sizes.select("at", parts.alias("parts")), "at"), "open")
-    one = open_.select("at", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), *(F.col(c).alias(f"{c}_a") for c in ("f1", "f2", "key", "of")))
-    two = open_.select("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_b") for c in ("f1", "f2", "key", "of")))
-    differ = sum(F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in ("f1", "f2"))
-    met = one.join(two, ["at", "part"]).filter((F.col("key_a") < F.col("key_b")) & (F.col("of_a") != F.col("of_b")) & (differ <= MAX_DIFFER))
-    return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    # Two rows of different groups keep all keys that they share open, so the least of these is among the `ats` of both.
+    held = open_.groupBy("key").agg(F.collect_list("at").alias("ats"))
+    open_, columns = open_.join(held, "key"), ("f1", "f2", *wide, "key", "of", "ats")
+    one = open_.select("at", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    two = open_.select("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    differ = lambda names: sum(F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in names)
+    near = (differ(("f1", "f2")) <= MAX_DIFFER) & (differ(("f1", "f2", *wide)) <= MAX_WIDE)
+    least = F.array_min(F.array_intersect("ats_a", "ats_b")) == F.col("at")
+    met = one.join(two, ["at", "part"]).filter((F.col("key_a") < F.col("key_b")) & (F.col("of_a") != F.col("of_b")) & near & least)
+    return met.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
 def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes (key, sig) to the halves of their names and the wide bits behind their keys, zeros where there are none."""
+    begin = FILTER_BITS // 8 + 4 * KEYS
     for batch in batches:
         both = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["key", "k1", "k2"])
+        wide = np.frombuffer(b"".join(s[begin:].ljust(WIDE_BITS // 8, b"\0") for s in batch.column(1).to_pylist()), "<i8").reshape(len(both), -1)
+        columns = [pa.array(np.ascontiguousarray(c)) for c in (*both.T, *wide.T)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "k1", "k2", *(f"w{i}" for i in range(WIDE_BITS // 64))])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

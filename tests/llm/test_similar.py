@@ -112,3 +112,25 @@ def test_confirmed_rest_joins_groups(spark):
     more = spark.createDataFrame([(key[0], key[3]), (key[0], key[4])], "a binary, b binary")
     out = {bytes(r.key): r.component for r in minhash.completed(docs, nodes, groups, more, 80).collect()}
     assert set(out) == {key[0], key[2], key[3]} and len({bytes(c) for c in out.values()}) == 1
+
+
+def test_a_crowd_gives_a_pair_a_row_and_its_pairs_once(spark):
+    """Runs with many near pairs are told as crowded, however few rows they have; a pair that shares two keys comes once, and
+    not at all if the bits behind the keys are too far apart."""
+    rng = np.random.default_rng(12)
+    base, total = rng.integers(0, 2, similar.FILTER_BITS + similar.WIDE_BITS), similar.FILTER_BITS // 8
+    rows = []
+    for i in range(14):
+        bits = base.copy()
+        bits[rng.choice(similar.FILTER_BITS, 9, replace=False)] ^= 1
+        if i == 0:
+            bits[similar.FILTER_BITS :] = rng.integers(0, 2, similar.WIDE_BITS)
+        at, packed = np.full(similar.KEYS, -1, "<i4"), np.packbits(bits).tobytes()
+        at[:2] = 5, 9
+        rows.append((bytes([i]) * 16, packed[:total] + at.tobytes() + packed[total:]))
+    nodes = spark.createDataFrame(rows, "key binary, sig binary").coalesce(1)
+    found, crowded = similar.candidates(nodes)
+    assert found.count() <= 14 * 2 and sorted(r.at for r in crowded.collect()) == [5, 9]
+    none = spark.createDataFrame([], "key binary, component long")
+    got = [(bytes(r.a), bytes(r.b)) for r in similar.rest(nodes, none, crowded).collect()]
+    assert sorted(got) == sorted((rows[i][0], rows[j][0]) for j in range(14) for i in range(1, j))
