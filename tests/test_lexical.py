@@ -52,6 +52,23 @@ def test_bm25_matches_plain_scores(spark, monkeypatch, texts, share):
         lexical.bm25(questions, index, 6)
 
 
+def test_bm25_in_blocks_and_parts_is_that_of_lookups(spark, monkeypatch, texts):
+    """Questions held against parts of the chunks give no more than k rows a part, and the hits of the lookups."""
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id long, document string")
+    asked = [(i, t) for i, t in enumerate(["the of waa wab", "THE of", "wzz nothing", "", "wac wad wae waf the", "the"])] + [(5, "the of")]
+    questions = spark.createDataFrame(asked, "question_id long, question string")
+    index = lexical.index(chunks, 5)
+    want = sorted(map(tuple, lexical.bm25(questions, index, 5).collect()))
+    for name, value in (("LOOKUPS", 0), ("BLOCK", 2), ("PART", 100)):
+        monkeypatch.setattr(lexical, name, value)
+    terms = lexical.asked_terms(questions)
+    met = lexical._held(terms, index, 700, 5).groupBy("question_id").count()
+    assert all(5 <= r["count"] <= 5 * 7 for r in met.filter("question_id in (0, 1, 4, 5)").collect())
+    got = sorted(map(tuple, lexical.bm25(questions, index, 5).collect()))
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want]
+    assert all(abs(x[2] - y[2]) < 2e-6 for x, y in zip(got, want))
+
+
 def test_bm25_of_nothing(spark):
     chunks = spark.createDataFrame([], "chunk_id long, document string")
     questions = spark.createDataFrame([(1, "any")], "question_id long, question string")

@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from docweave.operators import corpus, graph
+from docweave.operators import corpus, graph, lexical
 from docweave.operators.skew import narrowed
 from docweave.plans import queries as engine
 
@@ -104,6 +104,21 @@ def test_chunks_of_shared_ids(spark, tmp_path, name):
     assert got == Counter(con.execute(f"select {', '.join(cols)} from ({engine.oracle_sql()[name]})").fetchall())
 
 
+@pytest.mark.parametrize("lookups", [1 << 22, 0])
+def test_words_of_chunks_with_shared_ids(spark, tmp_path, monkeypatch, lookups):
+    """A chunk that stands twice, as its element's id is shared, has its words and its size twice, and asks for its words twice."""
+    monkeypatch.setattr(lexical, "LOOKUPS", lookups)
+    a, b = MIXED[1]
+    con, n = duckdb.connect(), max(MIXED[1]) + 3
+    con.execute(f"create table documents as select range as doc_id, case range when {a} then 'T\nzz{PAD}{'A' * 20}\nlast t' when {b} then 'S\n{PAD}{'B' * 20} t t\n{'q ' * 70}' end as text from range({n})")
+    con.execute(f"create table embeddings as select d + k.range * {n} as vec_id, [1.0::float] as embedding, 0 as label from (values ({a}), ({b})) v(d), range(150) k")
+    for t in ("documents", "embeddings"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    columns = "question_id, chunk_id, score, rn"
+    got = engine.queries()["bm25_topk"](spark, str(tmp_path)).selectExpr(*columns.split(", ")).collect()
+    assert got and Counter(map(tuple, got)) == Counter(con.execute(f"select {columns} from ({engine.oracle_sql()['bm25_topk']})").fetchall())
+
+
 def test_narrowed_keeps_all_that_meet(spark):
     rows, keys = spark.range(5000).selectExpr("cast(id as string) as a", "id"), spark.range(0, 6000, 7).selectExpr("cast(id as string) as k")
     kept = narrowed(rows, "a", keys, "k")
